@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .dac import token_ids
+from .near_dedup import near_duplicates
+from .secrets import secret_report
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +24,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
-    return token_ids(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.PATTERN)
+    return token_ids(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op7_near_dedup": op7_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_ids": op9_token_ids,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
