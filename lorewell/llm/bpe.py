@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
+from .units import Memo, units
 
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
 MAX_STATES = 200_000
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,48 +115,61 @@ class BpeTransducer:
 
     def _last(self, before: bytes, window: bytes, lasts: tuple[int, ...]) -> int:
         """Length of the last token of the encoding of the window's bytes."""
-        n = len(window)
-        for size in range(min(n, self.longest), 0, -1):
-            token = window[n - size :]
-            if token not in self.ranks or not self._is_sound(token):
+        n, ranks, follows = len(window), self.ranks, self.follows
+        for start in range(max(0, n - self.longest), n):
+            token = window[start:]
+            if token not in ranks or (n - start > 1 and not self._is_sound(token)):
                 continue
-            end = n - size
-            left = window[end - lasts[end - 1] : end] if end else before
-            if not left or self._may_follow(left, token):
-                return size
+            left = window[start - lasts[start - 1] : start] if start else before
+            if not left:
+                return n - start
+            found = follows.get((left, token))
+            if found is None:
+                found = self._may_follow(left, token)
+            if found:
+                return n - start
         raise ValueError("the ranks lack a single byte")
 
     @staticmethod
     def _path(lasts: tuple[int, ...], end: int) -> list[int]:
-        """Boundaries of the encoding of the window up to end, the last first."""
+        """Boundaries of the encoding of the window up to end, the first first."""
         out = []
         while end > 0:
             out.append(end)
             end -= lasts[end - 1]
-        return out
+        return out[::-1]
 
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         before, window, lasts = state
         window += bytes((byte,))
         lasts += (self._last(before, window, lasts),)
-        emitted: list[int] = []
-        # Every later token starts here or at a prefix behind which a token has begun: what their encodings share is settled.
-        common = set(self._path(lasts, len(window)))
-        for end in range(len(window)):
+        # Every later token starts here or at a prefix behind which a token has begun: what their encodings share, up
+        # to the boundary where their paths meet, is settled.
+        cut = len(window)
+        for end in range(1 if window not in self.begun else 0, len(window)):
+            if end < 1:
+                cut = 0
+                break
             if window[end:] in self.begun:
-                common &= set(self._path(lasts, end))
-                if not common:
+                while cut != end:
+                    if cut > end:
+                        cut -= lasts[cut - 1]
+                    else:
+                        end -= lasts[end - 1]
+                if not cut:
                     break
-        if common:
-            cut, begin = max(common), 0
-            for end in self._path(lasts, cut)[::-1]:
-                before = window[begin:end]
-                emitted.append(self.ranks[before])
-                begin = end
-            window, lasts = window[cut:], lasts[cut:]
-            if any(x > i + 1 for i, x in enumerate(lasts)):  # encodings that cross the cut can't be continued
-                lasts = tuple(min(x, i + 1) for i, x in enumerate(lasts))
-        return (before, window, lasts), tuple(emitted)
+        if not cut:
+            return (before, window, lasts), ()
+        emitted, begin = [], 0
+        for end in self._path(lasts, cut):
+            before = window[begin:end]
+            emitted.append(self.ranks[before])
+            begin = end
+        window = window[cut:]
+        if window and window not in self.begun:
+            before = b""  # nothing can start right behind it any more
+        # An encoding that crosses the cut can't be continued; its length no longer matters.
+        return (before, window, tuple([x if x <= i else i for i, x in enumerate(lasts[cut:], 1)])), tuple(emitted)
 
     def _arc(self, node: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         state, emitted = self._step(node[-1], byte)
@@ -177,41 +191,53 @@ class BpeTransducer:
             out += emitted
         _, window, lasts = node[-1]
         begin = 0
-        for end in self._path(lasts, len(window))[::-1]:
+        for end in self._path(lasts, len(window)):
             out.append(self.ranks[window[begin:end]])
             begin = end
         return out
 
 
 class BpeCodec:
-    """Texts to ids and back, for one vocabulary and one pattern of pieces."""
+    """Texts to ids and back, for one vocabulary and one pattern of pieces.
+
+    Units between single spaces, and the pieces in them, go through the transducer when they are first met.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.fst = BpeTransducer(ranks)
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.max_pieces = max_pieces
+        self.pieces, self.units = Memo(max_pieces), Memo(max_pieces)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece as little-endian 32-bit integers; two generations of a bounded table."""
-        found = self.older.get(piece)
-        if found is None:
-            found = array.array("I", self.fst.encode_piece(piece.encode("utf-8"))).tobytes()
-        if len(self.pieces) >= self.max_pieces:
-            self.older, self.pieces = self.pieces, {}
-        self.pieces[piece] = found
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text by its pieces."""
+        out = []
+        new, old = self.pieces.new, self.pieces.old
+        for piece in self.find(text):
+            found = new.get(piece)
+            if found is None:
+                found = new[piece] = old.get(piece) or array.array("I", self.fst.encode_piece(piece.encode("utf-8"))).tobytes()
+            out.append(found)
+        self.pieces.turn()
+        return b"".join(out)
+
+    def _unit(self, unit: str) -> bytes:
+        found = self.units.new[unit] = self.units.old.get(unit) or self._whole(" " + unit)
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        get, make = self.pieces.get, self._piece
-        return b"".join([get(p) or make(p) for p in self.find(text)])
+        cut = units(text)
+        if cut is None:
+            return self._whole(text)
+        self.units.turn()
+        get, make = self.units.new.get, self._unit
+        first = self._whole(cut[0])
+        return first + b"".join([get(u) or make(u) for u in cut[1:]])
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
