@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, work_path, written
+from .units import Memo, units
 
 MAGIC = b"LWDAC01\n"
 RANK_BITS = 512
@@ -104,59 +105,74 @@ class DacFile:
         return out
 
 
-class PieceEncoder:
+class UnitEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The library splits a text by its byte-level pattern and encodes every piece by itself.  Pieces repeat, so each new
-    one goes through the library once and is kept in a table of two bounded generations.
+    Units between single spaces repeat, so each goes through the library when it is first met.  New ones go together:
+    one space begins each, so a token that begins with a space begins a unit's ids.
     """
 
-    def __init__(self, path: str, pattern: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_units: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         gc.set_threshold(100_000, 50, 1000)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
-        self.max_pieces = max_pieces
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
+        self.memo = Memo(max_units)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _add(self, missing: list[str]) -> None:
+        new, old = self.memo.new, self.memo.old
+        fresh = []
+        for u in dict.fromkeys(missing):
+            if u in old:
+                new[u] = old[u]
+            else:
+                fresh.append(u)
+        if fresh:
+            ids = self._ids(" " + " ".join(fresh))
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) != len(fresh):
+                raise ValueError("a unit's ids don't begin with its space")
+            raw = ids.tobytes()
+            for u, a, b in zip(fresh, (4 * begins).tolist(), [*(4 * begins[1:]).tolist(), len(raw)]):
+                new[u] = raw[a:b]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for some in itertools.batched(texts, 256):
-            pieces = [self.find(t) for t in some]
-            if len(self.new) >= self.max_pieces:
-                self.old, self.new = self.new, {}
-            new, old = self.new, self.old
-            missing = set()
-            for p in pieces:
-                missing.update(p)
-            missing = [p for p in missing if p not in new]
-            if old:
-                for p in missing:
-                    if p in old:
-                        new[p] = old[p]
-                missing = [p for p in missing if p not in new]
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                new[p] = np.array(e.ids, "<u4").tobytes()
-            get = new.__getitem__
-            for p in pieces:
-                yield b"".join([get(x) for x in p])
-
-
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
-def encoder(path: str, pattern: str) -> PieceEncoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = PieceEncoder(path, pattern)
-    return _ENCODERS[path, pattern]
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, segment_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+        for some in itertools.batched(texts, 64):
+            self.memo.turn()
+            cuts = [units(t) for t in some]
+            get = self.memo.new.get
+            found = [c and list(map(get, c[1:])) for c in cuts]
+            missing = [u for c, f in zip(cuts, found) if f for u, x in zip(c[1:], f) if x is None]
+            if missing:
+                self._add(missing)
+            get = self.memo.new.__getitem__
+            for text, c, f in zip(some, cuts, found):
+                if c is None:
+                    yield self._ids(text).tobytes() if text else b""
+                else:
+                    yield self._ids(c[0]).tobytes() + b"".join([x or get(u) for u, x in zip(c[1:], f)])
+
+
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, end it with end_id and write files in ascending order of documents.
 
     Rows are dealt by ranges of (id, hash of the text) and sorted, so files follow one another in that order: ids that
@@ -169,7 +185,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, pattern:
         from pyspark import TaskContext
 
         part, before, seq = TaskContext.get().partitionId(), 0, 0
-        enc, end = encoder(tokenizer_path, pattern), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         docs_, ids_, size = [], [], 0
 
         def close() -> pd.DataFrame:
@@ -221,9 +237,9 @@ def read_token_files(spark, path: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), (base + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, path: str | None = None) -> DataFrame:
     """Write a table's token files (to a new path in the shared folder if none is given) and read them back."""
     spark = docs.sparkSession
     path = path or work_path(spark, "dac")
-    write_token_files(docs, path, tokenizer_path, pattern, end_id)
+    write_token_files(docs, path, tokenizer_path, end_id)
     return read_token_files(spark, path)
