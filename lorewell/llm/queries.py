@@ -8,7 +8,17 @@ from .bpe import bpe_encode
 from .common import table
 from .dac import token_ids
 from .near_dedup import near_duplicates
+from .pii import pii_report
 from .secrets import secret_report
+from .winnow import edited_likeness
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +42,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_winnowing": op4_winnowing,
+    "op6_pii": op6_pii,
     "op7_near_dedup": op7_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_ids": op9_token_ids,
