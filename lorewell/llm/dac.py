@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,27 +182,29 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     files: a lost executor leaves none behind, and any store that Spark writes to will do.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before, seq = TaskContext.get().partitionId(), 0, 0
         enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
         docs_, ids_, size = [], [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal before, seq, docs_, ids_, size
             bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids_])])
             data = pack(np.frombuffer(b"".join(ids_), "<u4"), np.array(docs_, dtype="<i8"), bounds, part=part, seq=seq, before=before)
             before, seq, docs_, ids_, size = before + size, seq + 1, [], [], 0
-            return pd.DataFrame({"data": [data]})
-
-        for pdf in batches:
-            for doc_id, ids in zip(pdf["doc_id"], enc.encode(pdf["text"].tolist())):
-                docs_.append(doc_id)
-                ids_.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= segment_ids:
-                    yield close()
+            return pa.RecordBatch.from_pydict({"data": [data]})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # few texts at a time become Python objects
+                some = batch.slice(at, 64)
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+                    docs_.append(doc_id)
+                    ids_.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= segment_ids:
+                        yield close()
         if docs_:
             yield close()
 
@@ -209,7 +212,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     key = F.xxhash64("text")
     dealt = rows.repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key)
     # The text writer copies a value's bytes as they are and adds a line end, which readers of the format skip.
-    dealt.mapInPandas(run, "data binary").select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    dealt.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .dac import token_ids
+from .langid import language_report
 from .near_dedup import near_duplicates
 from .pii import pii_report
 from .secrets import secret_report
 from .winnow import edited_likeness
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_winnowing": op4_winnowing,
     "op6_pii": op6_pii,
     "op7_near_dedup": op7_near_dedup,
