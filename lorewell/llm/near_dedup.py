@@ -7,8 +7,10 @@ losing a pair that is exactly at it.
 
 Equal sets are one class and only classes go on.  In each bucket every class is tried against one hub, the class whose
 buckets are the fullest, so a group of n near copies costs n trials.  What then still lies in another component than its
-bucket's hub is tried against all of the bucket's other components: no candidate pair is left untried, none is tried
-whose two sides are already linked.  Links are confirmed on full sets.
+bucket's hub meets all of the bucket's other components: no candidate pair is passed over but for those whose two sides
+are linked already and those that an exact bound rules out.  The bound: sets are hashed to the parities of SKETCH bins, and
+one element that only one of two sets has changes one parity, so the parities that differ never outnumber the elements
+that differ.  What remains is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,8 @@ from .common import id_and_text, written
 from .textvec import mixed, set_class, shingle_sets
 
 ROWS = 6
+#: Bins of the parity sketch, in words of 64 bits.
+SKETCH_WORDS = 16
 
 
 def bands_for(threshold: float, miss: float, rows: int = ROWS) -> int:
@@ -57,8 +62,14 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed((v * weights).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each bin whether an odd number of hashes falls into it, as 64-bit words."""
+    odd = (np.bincount((hashes >> np.uint64(64 - 10)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (name of the set; null if it is empty), keys (one for each band)."""
+    """Per row: doc_id, n_shingles, cls (name of the set; null if it is empty), keys (one for each band), sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -71,9 +82,9 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     own = band_keys(min_max([sets[i] for i in full], -(-bands * rows // 2)), bands, rows).view(np.int64)
                     for i, row in zip(full, own):
                         keys[i] = row
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "cls": [set_class(s) if len(s) else None for s in sets], "keys": keys})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "cls": [set_class(s) if len(s) else None for s in sets], "keys": keys, "sketch": [parities(s) if len(s) else None for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, cls binary, keys array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, cls binary, keys array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
@@ -174,10 +185,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     # Those that their bucket's hub did not reach, against the bucket's other components.
     placed = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = written(placed.join(hubs, "key").select("key", "cls", "n", "root", "hub"), "placed")
+    mixed_keys = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+    sketches = whole.groupBy("cls").agg(F.first("sketch").alias("sketch"))
+    placed = placed.join(mixed_keys, "key", "left_semi").join(sketches, "cls")
+    placed = written(placed.select("key", "cls", "n", "root", "hub", *(F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH_WORDS))), "mixed")
     hub_root = placed.where("cls = hub").select("key", F.col("root").alias("hub_root"))
-    apart = placed.join(hub_root, "key").where("root <> hub_root").select("key", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-    second = apart.join(placed.select("key", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), "hub"), "key")
-    second = second.where("xr <> yr and y <> hub").where(near(F.col("xn"), F.col("yn"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    words = range(SKETCH_WORDS)
+    apart = placed.join(hub_root, "key").where("root <> hub_root").select("key", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), *(F.col(f"s{i}").alias(f"x{i}") for i in words))
+    other = placed.where("cls <> hub").select("key", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), *(F.col(f"s{i}").alias(f"y{i}") for i in words))
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in words))
+    # Linked sets differ in at most (1 - share) of their union, which is at most the smaller one's size / share.
+    possible = (F.col("xr") != F.col("yr")) & near(F.col("xn"), F.col("yn")) & (differ * num <= (den - num) * F.least("xn", "yn"))
+    second = apart.join(other, (apart["key"] == other["key"]) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = written(second.join(tried, ["a", "b"], "left_anti"), "second")
     more = written(confirmed(second, texts, k, share), "links")
