@@ -210,7 +210,7 @@ def fit(docs: DataFrame, most_per_label: int = 300, most_chars: int = 2000, lang
     counts = sorted(((r["n"], r["lang"]) for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()), reverse=True)
     texts, langs = [], []
     for n, lang in counts:
-        bound = -(1 << 63) + int(min(1.0, 2.0 * most_per_label / n + 20 / n) * ((1 << 64) - 1))
+        bound = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (2.0 * most_per_label + 20) / n) * (1 << 64)))
         rows = own.where((F.col("lang") == lang) & (F.col("h") <= bound)).orderBy("h", "text").limit(most_per_label).collect()
         texts += [r["text"] for r in rows]
         langs += [lang] * len(rows)
