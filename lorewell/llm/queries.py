@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import table
 from .dac import token_ids
+from .decontam import find_leaks
 from .langid import language_report
 from .near_dedup import near_duplicates
 from .pii import pii_report
@@ -22,6 +23,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_winnowing": op4_winnowing,
+    "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,
     "op7_near_dedup": op7_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
