@@ -20,6 +20,7 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,15 +264,18 @@ def codec(path: str, pattern: str) -> BpeCodec:
     return _CODECS[path, pattern]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, stream_ids: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text and decode the ids again: doc_id, n_tokens, ids, decoded.
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "texts", stream_ids: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode every whole text and decode the ids again: doc_id, n_tokens and, by `output`,
 
-    ids is an array of the token ids, decoded the text that the streaming decoder makes of them.  With digests, the
-    columns ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes)
-    replace those two, so large results needn't leave the workers.  A null or empty text has no tokens.  Rows are
-    independent: repeated rows give repeated results, an empty table an empty result, other columns are not kept.
+    texts: ids (array of token ids) and decoded (the text that the streaming decoder makes of them);
+    ids: ids and exact (whether the decoded text is the text);
+    digests: ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the decoded bytes).
+
+    A null or empty text has no tokens.  Rows are independent: repeated rows give repeated results, an empty table an
+    empty result, other columns are not kept.
     """
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string")
+    kinds = {"texts": ("ids array<int>", "decoded string"), "ids": ("ids array<int>", "exact boolean"), "digests": ("ids_sha256 string", "decoded_sha256 string")}[output]
+    a, b = (k.split()[0] for k in kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(ranks_path, pattern)
@@ -282,17 +286,17 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = F
                 ids = c.encode(text)
                 n.append(len(ids) // 4)
                 parts = c.decode_stream(ids[i : i + step] for i in range(0, len(ids), step))
-                if digests:
+                if output == "digests":
                     first.append(hashlib.sha256(ids).hexdigest())
                     decoded = hashlib.sha256()
                     for part in parts:
                         decoded.update(part.encode("utf-8"))
                     second.append(decoded.hexdigest())
                 else:
-                    first.append(list(memoryview(ids).cast("I")))
-                    second.append("".join(parts))
-            a, b = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series(n, dtype="int64"), a: pd.Series(first, dtype=object), b: pd.Series(second, dtype=object)})
+                    first.append(np.frombuffer(ids, "<i4"))
+                    decoded_text = "".join(parts)
+                    second.append(decoded_text == text if output == "ids" else decoded_text)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series(n, dtype="int64"), a: pd.Series(first, dtype=object), b: second})
 
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, ", ".join(("doc_id long", "n_tokens long", *kinds)))

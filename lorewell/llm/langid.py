@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,6 +218,31 @@ def fit(docs: DataFrame, most_per_label: int = 300, most_chars: int = 2000, lang
     return train(texts, langs, **options)
 
 
+def judge(model: BiGru, texts: list[str]) -> tuple[list[str], list[float], list[np.ndarray]]:
+    """Language, score and byte labels of each text."""
+    if not model.labels:
+        return ["und"] * len(texts), [0.0] * len(texts), [np.zeros(0, np.uint8)] * len(texts)
+    found, p = label_positions(model, [t.encode("utf-8") for t in texts])
+    best, score = p.argmax(axis=1), p.max(axis=1)
+    known = [bool(s > 0 and _LETTER.search(t)) for t, s in zip(texts, score)]
+    return [model.labels[b] if k else "und" for b, k in zip(best, known)], [min(1.0, float(s)) if k else 0.0 for s, k in zip(score, known)], found
+
+
+def accepted(docs: DataFrame, model: BiGru, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language with a score of at least `least`."""
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: BiGru = pickle.loads(packed.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                preds, scores, _ = judge(own, [t or "" for t in part.column(text_col).to_pylist()])
+                yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(preds, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: BiGru, spans: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score; with spans also the runs of equally labelled bytes (lang, start, end).
 
@@ -231,11 +257,8 @@ def identify(docs: DataFrame, model: BiGru, spans: bool = False, id_col: str = "
         for pdf in batches:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64]
-                texts = part["text"].tolist()
-                found, p = label_positions(own, [t.encode("utf-8") for t in texts])
-                best, score = p.argmax(axis=1), p.max(axis=1)
-                known = [bool(s > 0 and _LETTER.search(t)) for t, s in zip(texts, score)]
-                out = {"doc_id": part["doc_id"].to_numpy(), "lang_pred": [own.labels[b] if k else "und" for b, k in zip(best, known)], "score": [min(1.0, float(s)) if k else 0.0 for s, k in zip(score, known)]}
+                preds, scores, found = judge(own, part["text"].tolist())
+                out = {"doc_id": part["doc_id"].to_numpy(), "lang_pred": preds, "score": scores}
                 if spans:
                     out["spans"] = []
                     for f in found:

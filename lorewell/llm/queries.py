@@ -12,13 +12,23 @@ from .langid import language_report
 from .near_dedup import near_duplicates
 from .pii import pii_report
 from .secrets import secret_report
+from .urlfilter import judge_urls
+from .warc import archived
 from .winnow import edited_likeness
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
-    return bpe_encode(table(spark, sf_dir, "documents"), tok.path("byte_bpe_multi_50k.tiktoken"), tok.PATTERN, digests=True)
+    return bpe_encode(table(spark, sf_dir, "documents"), tok.path("byte_bpe_multi_50k.tiktoken"), tok.PATTERN, output="digests")
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +62,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op4_winnowing": op4_winnowing,
     "op5_decontamination": op5_decontamination,
     "op6_pii": op6_pii,

@@ -16,6 +16,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,3 +263,25 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[{}]") -
             out += [text[done:a], mark.format(kind)]
         done = max(done, b)
     return "".join([*out, text[done:]])
+
+
+def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, secrets in the texts replaced by their kinds; chars_col, if there, is the new length."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(text_col).to_pylist()
+                found = scan([t or "" for t in texts], rules)
+                if any(found):
+                    clean = [redacted(t, s) if s else t for t, s in zip(texts, found)]
+                    part = part.set_column(names.index(text_col), part.schema.field(text_col), pa.array(clean, part.schema.field(text_col).type))
+                    if chars_col in names:
+                        old = part.column(chars_col).to_pylist()
+                        new = [len(t) if s else n for t, s, n in zip(clean, found, old)]
+                        part = part.set_column(names.index(chars_col), part.schema.field(chars_col), pa.array(new, part.schema.field(chars_col).type))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)

@@ -47,7 +47,7 @@ def test_bpe_equals_tiktoken(spark, docs):
     got = by_id(bpe_encode(docs, path, tok.PATTERN, stream_ids=7).collect())
     for i, want in expected(lambda t: (enc.encode_ordinary(t), t)).items():
         assert [(r["ids"], r["decoded"]) for r in got[i]] == want
-    digests = by_id(bpe_encode(docs, path, tok.PATTERN, digests=True).collect())
+    digests = by_id(bpe_encode(docs, path, tok.PATTERN, output="digests").collect())
     for i, want in expected(lambda t: (len(enc.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest())).items():
         assert [(r["n_tokens"], r["decoded_sha256"]) for r in digests[i]] == want
     assert bpe_encode(empty(spark), path, tok.PATTERN).count() == 0
