@@ -28,11 +28,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it again, so a lost executor costs no recomputation.
+
+    few_files deals the rows anew into files of the advisory partition size: one for a small table, many for a large one.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -112,7 +112,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round is a written table; edges never exceed the links in number, and no task holds a node's neighbours.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", True)
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -122,11 +122,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "small")
+        edges = written(small, "small", True)
         before, now = now, mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
@@ -151,19 +150,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     # Buckets with more than one class.
 
     keyed = whole.select("cls", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).groupBy("key", "cls").agg(F.first("n").alias("n"))
-    keyed = written(keyed, "keyed")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keyed.join(sizes, "key"), "members")
+    members = written(keyed.join(sizes, "key"), "members", True)
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "cls")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "cls", "n")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
-    hubs = written(hubs, "hubs")
+    hubs = written(hubs, "hubs", True)
 
     num, den = share.numerator, share.denominator
     near = lambda m, n: F.least(m, n) * den >= F.greatest(m, n) * num  # noqa: E731  else the sizes alone rule the link out
 
     trial = members.join(hubs, "key").where(F.col("cls") != F.col("hub")).where(near(F.col("n"), F.col("hub_n")))
-    first = written(trial.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "first")
+    first = written(trial.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "first", True)
 
     # One text of each class in a bucket; a row whose id another text repeats is told by its class.
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "doc_id")
@@ -174,21 +172,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
             yield pdf.loc[own, ["cls", "text"]]
 
     found = rows.join(wanted.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cls", "text").mapInPandas(told, "cls binary, text string")
-    texts = written(found, "texts")
+    texts = written(found, "texts", True)
     repeated = texts.groupBy("cls").count().where("count > 1").limit(1).count()
     if repeated:
         texts = written(texts.groupBy("cls").agg(F.min("text").alias("text")), "texts")
 
-    links = written(confirmed(first, texts, k, share), "links")
-    root = written(components(links), "roots")
+    links = written(confirmed(first, texts, k, share), "links", True)
+    root = components(links)
 
     # Those that their bucket's hub did not reach, against the bucket's other components.
     placed = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = written(placed.join(hubs, "key").select("key", "cls", "n", "root", "hub"), "placed")
+    placed = placed.join(hubs, "key").select("key", "cls", "n", "root", "hub")
     mixed_keys = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
     sketches = whole.groupBy("cls").agg(F.first("sketch").alias("sketch"))
     placed = placed.join(mixed_keys, "key", "left_semi").join(sketches, "cls")
-    placed = written(placed.select("key", "cls", "n", "root", "hub", *(F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH_WORDS))), "mixed")
+    placed = written(placed.select("key", "cls", "n", "root", "hub", *(F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH_WORDS))), "mixed", True)
     hub_root = placed.where("cls = hub").select("key", F.col("root").alias("hub_root"))
     words = range(SKETCH_WORDS)
     apart = placed.join(hub_root, "key").where("root <> hub_root").select("key", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), *(F.col(f"s{i}").alias(f"x{i}") for i in words))
@@ -198,10 +196,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     possible = (F.col("xr") != F.col("yr")) & near(F.col("xn"), F.col("yn")) & (differ * num <= (den - num) * F.least("xn", "yn"))
     second = apart.join(other, (apart["key"] == other["key"]) & possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(second.join(tried, ["a", "b"], "left_anti"), "second")
-    more = written(confirmed(second, texts, k, share), "links")
+    second = written(second.join(tried, ["a", "b"], "left_anti"), "second", True)
+    more = written(confirmed(second, texts, k, share), "links", True)
     if more.limit(1).count():
-        root = written(components(links.unionByName(more)), "roots")
+        root = components(links.unionByName(more))
 
     named = classes.select("cls", F.col("doc_id").alias("least_id")).join(root.withColumnRenamed("node", "cls"), "cls")
     ids = named.groupBy("root").agg(F.min("least_id").alias("component"))
