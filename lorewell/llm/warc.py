@@ -9,6 +9,7 @@ merges the runs' pieces, so the parts one after the other are one globally order
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -77,8 +78,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Archive files of at most RECORDS_PER_FILE records below a path."""
-    records(pages, least_bytes).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Gzipped archive files of at most RECORDS_PER_FILE records below a path; offsets count unpacked bytes."""
+    records(pages, least_bytes).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -119,7 +120,7 @@ def read_runs(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, data in zip(pdf["path"], pdf["content"]):
-                rows = sorted((capture(h, b, file, o, n) for h, b, o, n in parse(bytes(data))), key=sort_key)
+                rows = sorted((capture(h, b, file, o, n) for h, b, o, n in parse(gzip.decompress(data))), key=sort_key)
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
                 out["refers_to"], out["page_id"] = out["refers_to"].astype("Int64"), out["page_id"].astype("Int64")
                 out["place"] = range(len(out))
@@ -219,4 +220,4 @@ def archived(pages: DataFrame, path: str | None = None, least_bytes: int = 0) ->
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts", "part", "place"]
     if not spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").take(1):
         return spark.createDataFrame([], RUN_SCHEMA + ", part int, place long").select(*columns)
-    return merged(written(read_runs(spark, path), "runs")).select(*columns)
+    return merged(written(read_runs(spark, path), "runs", True)).select(*columns)
