@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell.functions.dialect import Duck, Spark
 from lorewell.sources.tables import register
 
-from . import relational
+from . import memory, relational
+
+PLANS = relational.PLANS | memory.PLANS
 
 
 def run_plan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir)
-    return spark.sql(relational.PLANS[name](Spark()))
+    return spark.sql(PLANS[name](Spark()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in relational.PLANS}
-ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in relational.PLANS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in PLANS}
+ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in PLANS.items()}

@@ -261,7 +261,7 @@ def f28_web_query_plan(d):
 
 @plan
 def f29_url_trust(d):
-    return f"SELECT page_id, CASE WHEN {any_of(d, 'lower(url)', ('wikipedia', 'docs.', 'developer.'))} THEN 0.8 WHEN substr(url, 1, 8) = 'https://' THEN 0.7 ELSE 0.6 END AS trust, coalesce(nullif(url, ''), concat('title:', CAST(page_id AS STRING))) AS source_id FROM pages"
+    return f"SELECT page_id, CASE WHEN {any_of(d, 'lower(url)', ('wikipedia', 'docs.', 'developer.'))} THEN CAST(0.8 AS DOUBLE) WHEN substr(url, 1, 8) = 'https://' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS trust, coalesce(nullif(url, ''), concat('title:', CAST(page_id AS STRING))) AS source_id FROM pages"
 
 
 @plan
