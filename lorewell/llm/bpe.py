@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ from .common import id_and_text
 from .units import Memo, units
 
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
-MAX_STATES = 200_000
-MAX_PIECES = 400_000
+MAX_STATES = 100_000
+MAX_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -277,26 +277,33 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "te
     kinds = {"texts": ("ids array<int>", "decoded string"), "ids": ("ids array<int>", "exact boolean"), "digests": ("ids_sha256 string", "decoded_sha256 string")}[output]
     a, b = (k.split()[0] for k in kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         step = 4 * stream_ids
-        for pdf in batches:
-            n, first, second = [], [], []
-            for text in pdf["text"]:
-                ids = c.encode(text)
-                n.append(len(ids) // 4)
-                parts = c.decode_stream(ids[i : i + step] for i in range(0, len(ids), step))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):  # few texts at a time become Python objects
+                part = batch.slice(at, 128)
+                n, first, second = [], [], []
+                for text in part.column(1).to_pylist():
+                    ids = c.encode(text)
+                    n.append(len(ids) // 4)
+                    parts = c.decode_stream(ids[i : i + step] for i in range(0, len(ids), step))
+                    if output == "digests":
+                        first.append(hashlib.sha256(ids).hexdigest())
+                        decoded = hashlib.sha256()
+                        for x in parts:
+                            decoded.update(x.encode("utf-8"))
+                        second.append(decoded.hexdigest())
+                    else:
+                        first.append(ids)
+                        decoded_text = "".join(parts)
+                        second.append(decoded_text == text if output == "ids" else decoded_text)
                 if output == "digests":
-                    first.append(hashlib.sha256(ids).hexdigest())
-                    decoded = hashlib.sha256()
-                    for part in parts:
-                        decoded.update(part.encode("utf-8"))
-                    second.append(decoded.hexdigest())
+                    made = pa.array(first, pa.string())
                 else:
-                    first.append(np.frombuffer(ids, "<i4"))
-                    decoded_text = "".join(parts)
-                    second.append(decoded_text == text if output == "ids" else decoded_text)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": pd.Series(n, dtype="int64"), a: pd.Series(first, dtype=object), b: second})
+                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(first), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), made, pa.array(second)], ["doc_id", "n_tokens", a, b])
 
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, ", ".join(("doc_id long", "n_tokens long", *kinds)))
+    return rows.mapInArrow(run, ", ".join(("doc_id long", "n_tokens long", *kinds)))
