@@ -30,7 +30,7 @@ def s07_recent_large_files(d):
 
 @plan
 def s08_patterns_over_schemas(d):
-    return "SELECT doc_id AS pattern_id, source AS subtype, CAST(0.5 AS DOUBLE) AS confidence FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT d.doc_id, 'labelled', CASE WHEN l.quality = 1 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    return "SELECT doc_id AS pattern_id, source AS subtype, CAST(0.5 AS DOUBLE) AS confidence FROM documents WHERE lang = 'en' UNION ALL SELECT d.doc_id, 'labelled', CASE WHEN l.quality = 1 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 
 
 @plan
@@ -142,7 +142,7 @@ def f41_chunk_defaults(d):
 
 @plan
 def f43_query_with_summaries(d):
-    return f"WITH {MESSAGES}, s AS (SELECT session_id, {d.join(d.collect('substr(text, 1, 40)', 'seq'), ' ')} AS summaries FROM messages GROUP BY session_id) SELECT b.item_id, concat(s.summaries, ' ', b.text) AS query FROM benchmark b JOIN s ON s.session_id = b.item_id"
+    return f"WITH {MESSAGES}, s AS (SELECT session_id, {d.join(d.collect('text', 'seq'), ' ')} AS summaries FROM messages GROUP BY session_id) SELECT b.item_id, concat(s.summaries, ' ', b.text) AS query FROM benchmark b JOIN s ON s.session_id = b.item_id"
 
 
 @plan
@@ -227,7 +227,7 @@ def u13_service_route(d):
 
 @plan
 def l07_web_lane(d):
-    return f"WITH {queries_cte(d, 3)}, qt AS (SELECT query_id, {d.explode(tokens(d, 'query'))} AS tok FROM queries), pt AS (SELECT page_id, {d.explode(d.distinct(d.filter(d.split('lower(html)', '[^a-z0-9]+'), 't', 'length(t) >= 3')))} AS tok FROM pages), h AS (SELECT query_id, page_id, count(*) AS shared FROM qt JOIN pt ON qt.tok = pt.tok GROUP BY query_id, page_id), s AS (SELECT h.query_id, h.page_id, round(0.1 * shared + CASE WHEN substr(p.url, 1, 8) = 'https://' THEN {D('0.7')} ELSE {D('0.6')} END, 6) AS score FROM h JOIN pages p ON h.page_id = p.page_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS BIGINT) AS rn FROM s) SELECT query_id, page_id, score FROM r WHERE rn <= 5"
+    return f"WITH {queries_cte(d)}, qt AS (SELECT query_id, {d.explode(tokens(d, 'query'))} AS tok FROM queries), pt AS (SELECT page_id, {d.explode(d.distinct(d.filter(d.split('lower(html)', '[^a-z0-9]+'), 't', 'length(t) >= 3')))} AS tok FROM pages), h AS (SELECT query_id, page_id, count(*) AS shared FROM qt JOIN pt ON qt.tok = pt.tok GROUP BY query_id, page_id), s AS (SELECT h.query_id, h.page_id, round(0.1 * shared + CASE WHEN substr(p.url, 1, 8) = 'https://' THEN {D('0.7')} ELSE {D('0.6')} END, 6) AS score FROM h JOIN pages p ON h.page_id = p.page_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS BIGINT) AS rn FROM s) SELECT query_id, page_id, score FROM r WHERE rn <= 5"
 
 
 @plan

@@ -25,9 +25,8 @@ def plan(f):
     return f
 
 
-def queries_cte(d, words=8):
-    q = d.join(d.first(d.filter(d.split(normalised(d, "text"), " "), "t", "t <> ''"), words), " ")
-    return f"queries AS (SELECT item_id AS query_id, {q} AS query FROM benchmark)"
+def queries_cte(d):
+    return f"queries AS (SELECT item_id AS query_id, {normalised(d, 'text')} AS query FROM benchmark)"
 
 
 def overlap(shared, query_size):
@@ -64,7 +63,7 @@ def s11_edge_scan_both_directions(d):
 
 @plan
 def s15_point_lookups(d):
-    return f"WITH {MESSAGES}, wanted AS (SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id % 10 = 3) SELECT m.session_id, m.message_id, {d.length('m.text')} AS n FROM messages m WHERE EXISTS (SELECT 1 FROM wanted w WHERE w.session_id = m.session_id)"
+    return f"WITH {MESSAGES}, wanted AS (SELECT DISTINCT item_id AS session_id FROM benchmark) SELECT m.session_id, m.message_id, {d.length('m.text')} AS n FROM messages m WHERE EXISTS (SELECT 1 FROM wanted w WHERE w.session_id = m.session_id)"
 
 
 # ---- merges ----------------------------------------------------------------------------------------------------------
@@ -82,8 +81,8 @@ def k05_immutable_first_value(d):
 
 @plan
 def k07_replace_chunks(d):
-    new = "SELECT doc_id, 0 AS chunk_index, substr(text, 1, 200) AS text FROM documents WHERE doc_id % 3 = 0"
-    old = "SELECT doc_id, 0 AS chunk_index, substr(text, 1, 100) AS text FROM documents UNION ALL SELECT doc_id, 1, substr(text, 101, 100) FROM documents WHERE length(text) > 100"
+    new = "SELECT d.doc_id, 0 AS chunk_index, d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+    old = "SELECT doc_id, 0 AS chunk_index, substr(text, 1, 1000) AS text FROM documents UNION ALL SELECT doc_id, 1, substr(text, 1001) FROM documents WHERE length(text) > 1000"
     return f"WITH fresh AS ({new}), old AS ({old}) SELECT doc_id, chunk_index, text FROM fresh UNION ALL SELECT o.doc_id, o.chunk_index, o.text FROM old o WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.doc_id = o.doc_id)"
 
 
@@ -362,7 +361,7 @@ def j03_lineage_recovery(d):
 
 @plan
 def j04_not_yet_compacted(d):
-    return f"WITH {MESSAGES}, done AS (SELECT session_id, message_id FROM messages WHERE message_id % 2 = 0) SELECT m.session_id, m.message_id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM done x WHERE x.session_id = m.session_id AND x.message_id = m.message_id)"
+    return f"WITH {MESSAGES}, done AS (SELECT session_id, message_id FROM messages WHERE sender = 'assistant') SELECT m.session_id, m.message_id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM done x WHERE x.session_id = m.session_id AND x.message_id = m.message_id)"
 
 
 EDGES = "edges AS (SELECT DISTINCT user_id AS src, CAST(floor(value) AS BIGINT) % 40 AS dst, event_type AS relation FROM events)"
@@ -584,9 +583,9 @@ def u11_context_partition(d):
 # ---- lanes -----------------------------------------------------------------------------------------------------------
 
 
-def scored(d, words=8):
+def scored(d):
     """Query and message token counts through an inverted index: hits(query_id, session_id, message_id, shared, nq)."""
-    q = f"{queries_cte(d, words)}, qt AS (SELECT query_id, {tokens(d, 'query')} AS toks FROM queries), qe AS (SELECT query_id, {d.size('toks')} AS nq, {d.explode('toks')} AS tok FROM qt)"
+    q = f"{queries_cte(d)}, qt AS (SELECT query_id, {tokens(d, 'query')} AS toks FROM queries), qe AS (SELECT query_id, {d.size('toks')} AS nq, {d.explode('toks')} AS tok FROM qt)"
     m = f"{MESSAGES}, me AS (SELECT session_id, message_id, {d.explode(tokens(d, 'text'))} AS tok FROM messages)"
     return f"{q}, {m}, hits AS (SELECT query_id, session_id, message_id, count(*) AS shared, max(nq) AS nq FROM qe JOIN me ON qe.tok = me.tok GROUP BY query_id, session_id, message_id)"
 
@@ -610,8 +609,9 @@ def l03_episodic_lane(d):
 
 @plan
 def l04_promoted_lane(d):
-    hits = d.size(d.filter("qt", "t", d.contains("body", "t")))
-    return f"WITH {FACTS}, {queries_cte(d, 4)}, qt AS (SELECT query_id, {tokens(d, 'query')} AS qt FROM queries WHERE query_id < 20), f AS (SELECT fact_id, lower(text) AS body, confidence, quality FROM facts WHERE quality = 1), s AS (SELECT query_id, fact_id, confidence, {hits} AS hits FROM qt JOIN f ON fact_id % 20 = query_id), r AS (SELECT query_id, fact_id, round(CAST(0.2 + least(0.6, 0.08 * hits) AS DOUBLE), 6) AS lexical_score, round(CAST(least(1.0, confidence) AS DOUBLE), 6) AS trust_score FROM s) SELECT * FROM r"
+    """Query tokens found among a fact's tokens, through an inverted index; confidence counts as trust."""
+    q = f"{queries_cte(d)}, qe AS (SELECT query_id, {d.explode(tokens(d, 'query'))} AS tok FROM queries), fe AS (SELECT fact_id, confidence, {d.explode(tokens(d, 'text'))} AS tok FROM facts WHERE quality = 1)"
+    return f"WITH {FACTS}, {q}, s AS (SELECT query_id, fact_id, max(confidence) AS confidence, count(*) AS hits FROM qe JOIN fe ON qe.tok = fe.tok GROUP BY query_id, fact_id), r AS (SELECT query_id, fact_id, round(CAST(0.2 + least(0.6, 0.08 * hits) AS DOUBLE), 6) AS lexical_score, round(CAST(least(1.0, confidence) AS DOUBLE), 6) AS trust_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, fact_id) AS BIGINT) AS rn FROM s) SELECT query_id, fact_id, lexical_score, trust_score FROM r WHERE rn <= 8"
 
 
 @plan
@@ -629,7 +629,7 @@ def l06_large_file_lane(d):
 def l09_bm25(d):
     """Okapi BM25 with k1 1.5, b 0.75; a negative idf counts as a quarter of the mean idf."""
     words = lambda x: d.filter(d.split(normalised(d, x), " "), "t", "t <> ''")
-    return f"""WITH {queries_cte(d, 6)}, q AS (SELECT query_id, {d.explode(tokens(d, 'query'))} AS tok FROM queries),
+    return f"""WITH {queries_cte(d)}, q AS (SELECT query_id, {d.explode(tokens(d, 'query'))} AS tok FROM queries),
 dw AS (SELECT doc_id, {words('text')} AS w FROM documents), dl AS (SELECT doc_id, {d.size('w')} AS n FROM dw),
 st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
 tf AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, {d.explode('w')} AS tok FROM dw) x GROUP BY doc_id, tok),
@@ -673,7 +673,7 @@ def l16_skill_ranking(d):
 
 @plan
 def l18_similar_cases(d):
-    return f"WITH {CASES}, s AS (SELECT a.case_id AS case_a, b.case_id AS case_b, 6 * CASE WHEN a.artifact = b.artifact THEN 1 ELSE 0 END + 1.5 * b.success AS score FROM cases a JOIN cases b ON a.user_id = b.user_id AND a.case_id <> b.case_id WHERE a.case_id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_a ORDER BY score DESC, case_b) AS BIGINT) AS rn FROM s WHERE score > 0) SELECT case_a, case_b, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE rn <= 5"
+    return f"WITH {CASES}, s AS (SELECT a.case_id AS case_a, b.case_id AS case_b, 6 * CASE WHEN a.artifact = b.artifact THEN 1 ELSE 0 END + 1.5 * b.success AS score FROM cases a JOIN cases b ON a.user_id = b.user_id AND a.case_id <> b.case_id WHERE a.case_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_a ORDER BY score DESC, case_b) AS BIGINT) AS rn FROM s WHERE score > 0) SELECT case_a, case_b, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE rn <= 5"
 
 
 @plan
