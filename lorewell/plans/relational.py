@@ -637,10 +637,10 @@ df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
 raw AS (SELECT tok, ln(docs - df + 0.5) - ln(df + 0.5) AS idf FROM df CROSS JOIN st),
 m AS (SELECT avg(idf) AS mean_idf FROM raw),
 idf AS (SELECT tok, CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS idf FROM raw CROSS JOIN m),
-s AS (SELECT q.query_id, tf.doc_id, round(sum(idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl.n / st.mean))), 6) AS score
+s AS (SELECT q.query_id, tf.doc_id, round(sum(idf.idf * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * dl.n / st.mean))), 4) AS score
  FROM q JOIN tf ON q.tok = tf.tok JOIN idf ON idf.tok = tf.tok JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY q.query_id, tf.doc_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id DESC) AS BIGINT) AS rn FROM s WHERE score > 0)
-SELECT query_id, doc_id, round(score, 4) AS score FROM r WHERE rn <= 5"""
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS BIGINT) AS rn FROM s WHERE score > 0)
+SELECT query_id, doc_id, score FROM r WHERE rn <= 5"""
 
 
 @plan
