@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feat = written(features(rows, k, bands, ROWS), "features")
     whole = feat.where("cls is not null")
-    classes = whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    classes = written(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes", True)
 
     # Buckets with more than one class.
 
@@ -184,8 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     placed = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = placed.join(hubs, "key").select("key", "cls", "n", "root", "hub")
     mixed_keys = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-    sketches = whole.groupBy("cls").agg(F.first("sketch").alias("sketch"))
-    placed = placed.join(mixed_keys, "key", "left_semi").join(sketches, "cls")
+    placed = placed.join(mixed_keys, "key", "left_semi").join(classes.select("cls", "sketch"), "cls")
     placed = written(placed.select("key", "cls", "n", "root", "hub", *(F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH_WORDS))), "mixed", True)
     hub_root = placed.where("cls = hub").select("key", F.col("root").alias("hub_root"))
     words = range(SKETCH_WORDS)
