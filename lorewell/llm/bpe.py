@@ -29,8 +29,8 @@ from .common import id_and_text
 from .units import Memo, units
 
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
-MAX_STATES = 100_000
-MAX_PIECES = 250_000
+MAX_STATES = 50_000
+MAX_PIECES = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,21 +114,20 @@ class BpeTransducer:
         """Whether merging the token's own bytes gives the token."""
         return len(token) == 1 or bool(self._halves(token)[0])
 
-    def _last(self, before: bytes, window: bytes, lasts: tuple[int, ...]) -> int:
-        """Length of the last token of the encoding of the window's bytes."""
-        n, ranks, follows = len(window), self.ranks, self.follows
+    def _last(self, before: bytes, window: bytes, n: int, lasts) -> int:
+        """Length of the last token of the encoding of the window's first n bytes."""
+        ranks, follows = self.ranks, self.follows
         for start in range(max(0, n - self.longest), n):
-            token = window[start:]
-            if token not in ranks or (n - start > 1 and not self._is_sound(token)):
-                continue
-            left = window[start - lasts[start - 1] : start] if start else before
-            if not left:
-                return n - start
-            found = follows.get((left, token))
-            if found is None:
-                found = self._may_follow(left, token)
-            if found:
-                return n - start
+            token = window[start:n]
+            if token in ranks:
+                left = window[start - lasts[start - 1] : start] if start else before
+                if n - start > 1 and not self._is_sound(token):
+                    continue
+                if not left:
+                    return n - start
+                found = follows.get((left, token))
+                if found or (found is None and self._may_follow(left, token)):
+                    return n - start
         raise ValueError("the ranks lack a single byte")
 
     @staticmethod
@@ -143,7 +142,7 @@ class BpeTransducer:
     def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         before, window, lasts = state
         window += bytes((byte,))
-        lasts += (self._last(before, window, lasts),)
+        lasts += (self._last(before, window, len(window), lasts),)
         # Every later token starts here or at a prefix behind which a token has begun: what their encodings share, up
         # to the boundary where their paths meet, is settled.
         cut = len(window)
@@ -182,18 +181,38 @@ class BpeTransducer:
         return arc
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a piece that is itself a token is that token."""
-        whole = self.ranks.get(piece)
+        """Ids of one piece; a piece that is itself a token is that token.
+
+        The arcs that are there are followed; the first missing one is added.  What comes after it is encoded from the
+        state it leads to without new states: texts add states where they often come by, not for every rare ending.
+        """
+        ranks = self.ranks
+        whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        node, out = self.start, []
+        node, out, at = self.start, [], 0
         for byte in piece:
-            node, emitted = node.get(byte) or self._arc(node, byte)
+            arc = node.get(byte)
+            if arc is None:
+                break
+            node = arc[0]
+            if arc[1]:
+                out += arc[1]
+            at += 1
+        if at < len(piece):
+            node, emitted = self._arc(node, piece[at])
             out += emitted
-        _, window, lasts = node[-1]
+            at += 1
+        before, window, lasts = node[-1]
+        if at < len(piece):
+            n = len(window)
+            window += piece[at:]
+            lasts = list(lasts)
+            for n in range(n + 1, len(window) + 1):
+                lasts.append(self._last(before, window, n, lasts))
         begin = 0
         for end in self._path(lasts, len(window)):
-            out.append(self.ranks[window[begin:end]])
+            out.append(ranks[window[begin:end]])
             begin = end
         return out
 
