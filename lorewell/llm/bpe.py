@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .units import Memo, units
+from .units import Memo
 
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
 MAX_STATES = 50_000
-MAX_PIECES = 120_000
+MAX_PIECES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -220,7 +220,7 @@ class BpeTransducer:
 class BpeCodec:
     """Texts to ids and back, for one vocabulary and one pattern of pieces.
 
-    Units between single spaces, and the pieces in them, go through the transducer when they are first met.
+    Pieces repeat, so each goes through the transducer when it is met and not in the table.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
@@ -228,36 +228,23 @@ class BpeCodec:
 
         self.find = regex.compile(pattern).findall
         self.fst = BpeTransducer(ranks)
-        self.pieces, self.units = Memo(max_pieces), Memo(max_pieces)
+        self.pieces = Memo(max_pieces)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
-    def _whole(self, text: str) -> bytes:
-        """Ids of a text by its pieces."""
-        out = []
-        new, old = self.pieces.new, self.pieces.old
-        for piece in self.find(text):
-            found = new.get(piece)
-            if found is None:
-                found = new[piece] = old.get(piece) or array.array("I", self.fst.encode_piece(piece.encode("utf-8"))).tobytes()
-            out.append(found)
-        self.pieces.turn()
-        return b"".join(out)
-
-    def _unit(self, unit: str) -> bytes:
-        found = self.units.new[unit] = self.units.old.get(unit) or self._whole(" " + unit)
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.old.get(piece)
+        if found is None:
+            found = array.array("I", self.fst.encode_piece(piece.encode("utf-8"))).tobytes()
+        self.pieces.new[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        cut = units(text)
-        if cut is None:
-            return self._whole(text)
-        self.units.turn()
-        get, make = self.units.new.get, self._unit
-        first = self._whole(cut[0])
-        return first + b"".join([get(u) or make(u) for u in cut[1:]])
+        self.pieces.turn()
+        get, make = self.pieces.new.get, self._piece
+        return b"".join([get(p) or make(p) for p in self.find(text)])
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
