@@ -15,7 +15,8 @@ CASES = "cases AS (SELECT event_id AS case_id, user_id, event_type AS artifact,
 #: Lexicons that occur in the invented prose, in place of the English defaults.
 POSITIVE, NEGATIVE = ("with", "this"), ("from", "that")
 TOPICS = {"t_that": ("that", "than"), "t_with": ("with", "this"), "t_from": ("from", "ther", "thon")}
-AS_OF = "TIMESTAMP '2026-01-31 00:00:00'"
+#: Patterns that both engines read alike.
+NEWLINE, BLANKS, SENTENCE_ENDS, UNUSUAL = r"\n", r"[ \t\n]+", r"[.\n]+", r"[^a-z0-9\s\-\>:/]"
 
 PLANS = {}
 
@@ -94,7 +95,7 @@ def k10_evidence_upsert(d):
 
 @plan
 def k15_session_export(d):
-    return f"WITH {MESSAGES}, parts AS (SELECT session_id, message_id, count(*) AS n_parts FROM (SELECT session_id, message_id, {d.explode(d.split('text', chr(92) + 'n'))} AS part FROM messages) p GROUP BY session_id, message_id) SELECT m.session_id, count(*) AS messages, CAST(sum(p.n_parts) AS BIGINT) AS parts, {d.join(d.collect('m.sender', 'm.seq'), ',')} AS senders FROM messages m LEFT JOIN parts p ON m.session_id = p.session_id AND m.message_id = p.message_id GROUP BY m.session_id"
+    return f"WITH {MESSAGES}, parts AS (SELECT session_id, message_id, count(*) AS n_parts FROM (SELECT session_id, message_id, {d.explode(d.split('text', NEWLINE))} AS part FROM messages) p GROUP BY session_id, message_id) SELECT m.session_id, count(*) AS messages, CAST(sum(p.n_parts) AS BIGINT) AS parts, {d.join(d.collect('m.sender', 'm.seq'), ',')} AS senders FROM messages m LEFT JOIN parts p ON m.session_id = p.session_id AND m.message_id = p.message_id GROUP BY m.session_id"
 
 
 @plan
@@ -128,7 +129,8 @@ def f05_alnum_tokens(d):
 @plan
 def f06_graph_tokens(d):
     x = "replace(replace(lower(concat(event_type, ':', CAST(user_id AS STRING), '-', CAST(event_id AS STRING))), ':', ' '), '-', ' ')"
-    return f"SELECT event_id, {d.join(d.filter(d.split(x, '[ ]+'), 't', chr(39).join(['t <> ', '', '']) ), '|')} AS toks FROM events"
+    toks = d.filter(d.split(x, "[ ]+"), "t", "t <> ''")
+    return f"SELECT event_id, {d.join(toks, '|')} AS toks FROM events"
 
 
 def cluster_terms(d, x):
@@ -158,7 +160,9 @@ def f09_f10_overlap_and_jaccard(d):
 @plan
 def f11_f12_hits_and_occurrences(d):
     hits = d.size(d.filter(d.list("'the'", "'with'", "'que'", "'und'"), "t", d.contains("lower(text)", "t")))
-    return f"SELECT doc_id, {hits} AS hits, {d.idiv('(' + d.length('text') + ' - ' + d.length(chr(114) + 'eplace(text, ' + chr(39) + 'the' + chr(39) + ', ' + chr(39) * 2 + ')') + ')', '3')} AS occurrences FROM documents"
+    without = "replace(text, 'the', '')"
+    occurrences = d.idiv(f"({d.length('text')} - {d.length(without)})", "3")
+    return f"SELECT doc_id, {hits} AS hits, {occurrences} AS occurrences FROM documents"
 
 
 def hint_rows(d, x, lexicon):
@@ -190,7 +194,7 @@ def without_speech_act(d, x):
     for p in lx.SPEECH_ACTS:
         x = d.replace_all(x, "(?i)" + p, "")
     x = d.replace_all(x, r"^\s*[:\-]\s*", "")
-    return f"trim({d.replace_all(x, r'[ ' + chr(92) + r't' + chr(92) + r'n]+', ' ')})"
+    return f"trim({d.replace_all(x, BLANKS, ' ')})"
 
 
 SPOKEN = "spoken AS (SELECT item_id, concat(CASE item_id % 5 WHEN 0 THEN 'The user said that ' WHEN 1 THEN 'Note that  ' WHEN 2 THEN 'I remember: ' WHEN 3 THEN ' - we concluded ' ELSE '' END, text) AS text FROM benchmark)"
@@ -210,7 +214,7 @@ def f16_sentences(d):
 def canonical(d, x):
     x = f"lower({without_speech_act(d, x)})"
     x = d.replace_all(d.replace_all(f"replace({x}, '→', '->')", r"\b(the user|user)\s+said\s+", "user "), r"\bpreferences?\b", "prefers")
-    return f"trim({d.replace_all(d.replace_all(x, r'[^a-z0-9' + chr(92) + 's' + chr(92) + '-' + chr(92) + '>:/]', ' '), '[ ' + chr(92) + 't' + chr(92) + 'n]+', ' ')})"
+    return f"trim({d.replace_all(d.replace_all(x, UNUSUAL, ' '), BLANKS, ' ')})"
 
 
 @plan
@@ -693,7 +697,7 @@ def c07_compaction(d):
 @plan
 def c09_promotion_units(d):
     unit = canonical(d, "s")
-    return f"WITH {SPOKEN}, s AS (SELECT item_id, {d.explode(d.split('text', '[.' + chr(92) + 'n]+'))} AS s FROM spoken), u AS (SELECT item_id, {unit} AS unit FROM s WHERE length(trim(s)) >= 20) SELECT concat('prom:proposition:', substr(sha1(unit), 1, 16)) AS pattern_id, count(*) AS dedup_count, min(item_id) AS first_item FROM u WHERE unit <> '' GROUP BY unit"
+    return f"WITH {SPOKEN}, s AS (SELECT item_id, {d.explode(d.split('text', SENTENCE_ENDS))} AS s FROM spoken), u AS (SELECT item_id, {unit} AS unit FROM s WHERE length(trim(s)) >= 20) SELECT concat('prom:proposition:', substr(sha1(unit), 1, 16)) AS pattern_id, count(*) AS dedup_count, min(item_id) AS first_item FROM u WHERE unit <> '' GROUP BY unit"
 
 
 @plan
@@ -709,7 +713,7 @@ def c11_promotion_state(d):
 @plan
 def c12_distilled_sentences(d):
     kind = f"CASE WHEN {d.rlike('s', 'rating|score')} THEN 'rubric' WHEN {d.rlike('s', '^(the|la|die)')} THEN 'template' WHEN {d.contains('s', repr('with'))} THEN 'example' WHEN {d.contains('s', repr('not '))} THEN 'anti_pattern' WHEN {d.contains('s', repr('then '))} THEN 'workflow' ELSE 'principle' END"
-    return f"WITH s AS (SELECT doc_id, {d.explode(d.split('lower(text)', '[.' + chr(92) + 'n]+'))} AS s FROM documents), t AS (SELECT doc_id, trim(s) AS s FROM s WHERE length(trim(s)) >= 20) SELECT doc_id, {kind} AS kind, count(*) AS n FROM t GROUP BY doc_id, {kind}"
+    return f"WITH s AS (SELECT doc_id, {d.explode(d.split('lower(text)', SENTENCE_ENDS))} AS s FROM documents), t AS (SELECT doc_id, trim(s) AS s FROM s WHERE length(trim(s)) >= 20) SELECT doc_id, {kind} AS kind, count(*) AS n FROM t GROUP BY doc_id, {kind}"
 
 
 @plan
