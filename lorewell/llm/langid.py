@@ -11,7 +11,6 @@ White space, digits and ASCII punctuation say nothing about the language: their
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,10 @@ ROWS = 2048
 _COUNTS = np.ones(256, dtype=np.float32)
 _COUNTS[:128] = 0
 _COUNTS[65:91] = _COUNTS[97:123] = 1
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -139,7 +141,7 @@ class BiGru:
 
 def train(texts: list[str], langs: list[str], hidden: int = 12, steps: int = 220, rows: int = 96, length: int = 64, rate: float = 0.02, seed: int = 1) -> BiGru:
     """Fit by Adam on random windows; languages are drawn alike, however rare.  Texts without letters are left out."""
-    pairs = [(t.encode("utf-8"), lang) for t, lang in zip(texts, langs) if lang is not None and t and _LETTER.search(t)]
+    pairs = [(t.encode("utf-8"), lang) for t, lang in zip(texts, langs) if lang is not None and t and has_letter(t)]
     labels = sorted({lang for _, lang in pairs})
     model = BiGru.fresh(labels, hidden, seed)
     if len(labels) < 2:
@@ -224,7 +226,7 @@ def judge(model: BiGru, texts: list[str]) -> tuple[list[str], list[float], list[
         return ["und"] * len(texts), [0.0] * len(texts), [np.zeros(0, np.uint8)] * len(texts)
     found, p = label_positions(model, [t.encode("utf-8") for t in texts])
     best, score = p.argmax(axis=1), p.max(axis=1)
-    known = [bool(s > 0 and _LETTER.search(t)) for t, s in zip(texts, score)]
+    known = [bool(s > 0 and has_letter(t)) for t, s in zip(texts, score)]
     return [model.labels[b] if k else "und" for b, k in zip(best, known)], [min(1.0, float(s)) if k else 0.0 for s, k in zip(score, known)], found
 
 
