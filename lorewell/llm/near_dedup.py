@@ -145,13 +145,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feat = written(features(rows, k, bands, ROWS), "features")
     whole = feat.where("cls is not null")
-    classes = written(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes", True)
+    classes = written(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch"))), "classes")
 
-    # Buckets with more than one class.
-
-    keyed = whole.select("cls", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).groupBy("key", "cls").agg(F.first("n").alias("n"))
+    # Buckets with more than one class: counted with partial sums, then joined, which Spark splits where a key is hot.
+    keyed = classes.select("cls", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keyed.join(sizes, "key"), "members", True)
+    members = keyed.join(sizes, "key").join(classes.select("cls", F.col("n_shingles").alias("n")), "cls")
+    members = written(members, "members", True)
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "cls")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "cls", "n")).alias("hub")).select("key", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
