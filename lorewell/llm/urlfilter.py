@@ -5,18 +5,16 @@ probability after the longest known context, each order interpolated with the on
 score is the difference of its log likelihoods divided by its length; the threshold is calibrated on labelled URLs that
 the models haven't counted.
 
-Counts are made over all labelled URLs by one aggregation.  The models keep contexts seen at least LEAST times, of these
-the MOST_CONTEXTS most frequent: that bounds what is broadcast, however many URLs there are.
+Counts are made over all labelled URLs by one aggregation.  The models keep every context seen at least LEAST times.
+They stay a table: the ratios of all grams that occur are made by joins, order by order, and each URL sums those of its
+characters; nothing of the models is gathered in one place.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,8 @@ from .common import written
 
 ORDER = 5
 LEAST = 2
-MOST_CONTEXTS = 60_000
+#: So many copies of the ratios' table, that URLs are dealt to: a gram that most of them have goes to as many tasks.
+SALTS = 8
 #: Probability of any character where nothing is known.
 BASE = 1 / 256
 #: Quantiles of the labelled scores that are tried as thresholds.
@@ -78,7 +77,8 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 def context_counts(urls: DataFrame, order: int = ORDER) -> DataFrame:
     """(context, next, accepted, rejected): how often a character follows each context of up to `order` characters.
 
-    urls: seen (what the models read), rejected.  The end of a URL counts as a character."""
+    urls: seen (what the models read), rejected (null: neither, its grams get rows all the same).  The end of a URL counts
+    as a character."""
     text = F.concat(F.lit("\x02"), F.col("seen"), F.lit("\x03"))
     grams = F.flatten(F.transform(F.sequence(F.lit(2), F.length(text)), lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(order), i - 1)), lambda k: F.substring(text, i - k, k + 1))))
     rows = urls.select("rejected", F.explode(grams).alias("gram"))
@@ -87,7 +87,7 @@ def context_counts(urls: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Models:
-    """Both models: for each context its counts of next characters."""
+    """Both models in memory, for checks: for each context its counts of next characters."""
 
     def __init__(self, rows: list[tuple[str, str, int, int]], order: int = ORDER):
         self.order = order
@@ -127,25 +127,40 @@ class Models:
         return sum(self.ratio(text[max(0, i - self.order) : i + 1]) for i in range(1, len(text))) / (len(text) - 1)
 
 
-def fitted(urls: DataFrame) -> Models:
-    """Models of all labelled urls (seen, rejected), pruned to the most frequent contexts."""
-    counts = written(context_counts(urls), "contexts")
-    sizes = counts.groupBy("context").agg(F.sum(F.col("accepted") + F.col("rejected")).alias("n")).where(F.col("n") >= LEAST)
-    top = sizes.orderBy(F.desc("n"), "context").limit(MOST_CONTEXTS).select("context")
-    return Models([tuple(r) for r in counts.join(top, "context").toPandas().itertuples(index=False)])
+def gram_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, ratio): what Models.ratio gives for each gram of context_counts, with contexts seen at least LEAST times."""
+    nodes = counts.groupBy("context").agg(*(x for c in ("accepted", "rejected") for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds")))).where(F.col("accepted_n") + F.col("rejected_n") >= LEAST)
+    # A context has no more rows than there are characters, so neither join has a hot key.
+    grams = written(counts.join(nodes, "context", "left").withColumn("gram", F.concat("context", "next")), "contexts")
 
+    def probability(c: str, below):
+        n, kinds = F.col(f"{c}_n"), F.col(f"{c}_kinds")
+        return F.when(n > 0, (F.col(c) + kinds * below) / (n + kinds)).otherwise(below)
 
-def scored(urls: DataFrame, models: Models) -> DataFrame:
-    """The rows with their score, a column more."""
-    sent = urls.sparkSession.sparkContext.broadcast(pickle.dumps(models))  # bounded by MOST_CONTEXTS
+    out = last = None
+    for k in range(order + 1):
+        rows = grams.where(F.length("gram") == k + 1)
+        if last is None:
+            below = [F.lit(BASE), F.lit(BASE)]
+        else:
+            rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(last.select(F.col("gram").alias("suffix"), F.col("a").alias("below_a"), F.col("r").alias("below_r")), "suffix")
+            below = [F.col("below_a"), F.col("below_r")]
+        last = rows.select("gram", probability("accepted", below[0]).alias("a"), probability("rejected", below[1]).alias("r"))
+        last = written(last, "probabilities")
+        out = last if out is None else out.unionByName(last)
+    return out.select("gram", F.log(F.col("r") / F.col("a")).alias("ratio"))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own: Models = pickle.loads(sent.value)
-        for s in batches:
-            yield pd.Series([own.score(x) for x in s], dtype="float64")
 
-    return urls.withColumn("score", score("seen"))
+def scored(urls: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
+    """(uid, score): mean log ratio of each URL's characters, as Models.score; urls: uid (one for each row), seen.
+
+    Ratios are added as decimals, so that equal URLs have equal scores in whatever order their rows come."""
+    text = F.concat(F.lit("\x02"), F.col("seen"), F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(2), F.length(text)), lambda i: F.substring(text, F.greatest(F.lit(1), i - order), F.least(i, F.lit(order + 1))))
+    rows = urls.select("uid", F.explode(grams).alias("gram")).withColumn("salt", F.pmod(F.hash("uid"), F.lit(SALTS)))
+    dealt = ratios.select("gram", F.col("ratio").cast("decimal(18,12)").alias("ratio"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sums = rows.join(dealt, ["gram", "salt"]).groupBy("uid").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
+    return sums.select("uid", (F.col("total").cast("double") / F.col("n")).alias("score"))
 
 
 def calibrated(labelled: DataFrame) -> float:
@@ -174,10 +189,11 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     host, path = host_and_path(url)
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.select("page_id", "host", "path", matched(F.col("host"), F.col("path"), rules).alias("rule"), F.concat("host", "path").alias("seen"))
-    labelled = rows.where("rule is not null").select("seen", (F.col("rule.verdict") == "block").alias("rejected"))
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "urls")
     held = F.crc32(F.col("seen").cast("binary")) % 4 == 3
-    models = fitted(labelled.where(~held))
-    judged = written(scored(rows, models), "scores")
+    counted = F.when(F.col("rule").isNotNull() & ~held, F.col("rule.verdict") == "block")
+    ratios = gram_ratios(context_counts(rows.select("seen", counted.alias("rejected"))))
+    judged = written(rows.join(scored(rows, ratios), "uid"), "scores")
     threshold = calibrated(judged.where("rule is not null").where(held).select("score", (F.col("rule.verdict") == "block").alias("rejected")))
     by_method = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce("rule.verdict", by_method).alias("verdict"), "score")

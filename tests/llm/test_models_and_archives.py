@@ -213,3 +213,26 @@ def test_pipeline_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {i: enc.encode_ordinary(t) for i, t in texts.items()}
     assert all(r["exact"] for r in got)
+
+
+def test_url_models_keep_every_context(spark):
+    """Scores of the tables are those of models in memory with all contexts, more of them than 60,000."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12))
+    urls = [(x, bool(i % 2)) for i in range(5_000) for x in [name()] * 2] + [("", None), ("aé/日本", None), ("zz" * 40, None)]
+    df = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "uid long, seen string, rejected boolean").repartition(4)
+    want = Counter()
+    for s, rejected in urls:
+        t = "\x02" + s + "\x03"
+        for i in range(1, len(t) if rejected is not None else 0):
+            for k in range(min(urlfilter.ORDER, i) + 1):
+                want[t[i - k : i], t[i], rejected] += 1
+    seen = Counter()
+    for (c, _, _), n in want.items():
+        seen[c] += n
+    pairs = {(c, n) for c, n, _ in want if seen[c] >= urlfilter.LEAST}
+    assert len({c for c, _ in pairs}) > 60_000
+    m = urlfilter.Models([(c, n, want[c, n, False], want[c, n, True]) for c, n in pairs])
+    got = {r["uid"]: r["score"] for r in urlfilter.scored(df, urlfilter.gram_ratios(urlfilter.context_counts(df))).collect()}
+    assert len(got) == len(urls)
+    assert all(got[i] == pytest.approx(m.score(s), abs=1e-9) for i, (s, _) in enumerate(urls))
