@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm import langid, secrets
 from lorewell.llm.bpe import bpe_encode
-from lorewell.llm.common import table, work_path
+from lorewell.llm.common import table, row_key, work_path
 from lorewell.llm.decontam import find_leaks
 from lorewell.llm.near_dedup import near_duplicates
 
@@ -19,10 +19,10 @@ from lorewell.llm.near_dedup import near_duplicates
 LEAST_SCORE = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id isn't among some ids; a null id is one like others."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that aren't among some rows (row_key): another text of the same id, or of a null one, stays."""
+    gone = rows.select(F.col("row_key").alias("gone_key")).distinct()
+    return docs.join(gone, row_key() == gone["gone_key"], "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates, and repeated rows once."""
-    found = near_duplicates(docs, k=5, threshold=0.8)
+    found = near_duplicates(docs, k=5, threshold=0.8, with_key=True)
     kept = _without(docs, found.where("not kept"))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), with_key=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key() -> Column:
+    """128 bits that name a row (doc_id, text), a null text as empty; ids may be null or repeated."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(whole_text()))))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone: other columns, whatever their names, can't clash with what an operator adds."""
     return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, row_key, written
 from .textvec import mixed, set_class, shingle_sets
 
 ROWS = 6
@@ -69,7 +69,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (name of the set; null if it is empty), keys (one for each band), sketch."""
+    """Per row: doc_id, n_shingles, cls (name of the set; null if it is empty), keys (one for each band), sketch; and
+    row_key where docs have it."""
+    extra = [c for c in docs.columns if c == "row_key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,9 +84,9 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     own = band_keys(min_max([sets[i] for i in full], -(-bands * rows // 2)), bands, rows).view(np.int64)
                     for i, row in zip(full, own):
                         keys[i] = row
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "cls": [set_class(s) if len(s) else None for s in sets], "keys": keys, "sketch": [parities(s) if len(s) else None for s in sets]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "cls": [set_class(s) if len(s) else None for s in sets], "keys": keys, "sketch": [parities(s) if len(s) else None for s in sets], **{c: part[c].to_numpy() for c in extra}})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, cls binary, keys array<long>, sketch array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, cls binary, keys array<long>, sketch array<long>" + "".join(f", {c} binary" for c in extra))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
@@ -131,8 +133,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of a table: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """Per row of a table: doc_id, n_shingles, component_id, kept; with_key: row_key too, which tells rows of one id apart.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Documents whose shingle sets have a Jaccard similarity of
     at least `threshold` are linked; component_id is the smallest id of those reachable over links, kept whether it is
@@ -143,7 +145,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     share = Fraction(threshold).limit_denominator(10_000)
     bands = bands_for(threshold, miss)
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feat = written(features(rows, k, bands, ROWS), "features")
+    extra = ["row_key"] if with_key else []
+    feat = written(features(rows.withColumn("row_key", row_key()) if with_key else rows, k, bands, ROWS), "features")
     whole = feat.where("cls is not null")
     classes = written(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch"))), "classes")
 
@@ -204,6 +207,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     ids = named.groupBy("root").agg(F.min("least_id").alias("component"))
     joined = named.select("cls", "root").join(ids, "root").select("cls", "component")
     own = classes.select("cls", F.col("doc_id").alias("least_id")).join(joined, "cls", "left").select("cls", F.coalesce("component", "least_id").alias("component"))
-    out = feat.select("doc_id", "n_shingles", "cls").join(own, "cls", "left")
+    out = feat.select("doc_id", "n_shingles", "cls", *extra).join(own, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)

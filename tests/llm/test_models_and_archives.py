@@ -236,3 +236,18 @@ def test_url_models_keep_every_context(spark):
     got = {r["uid"]: r["score"] for r in urlfilter.scored(df, urlfilter.gram_ratios(urlfilter.context_counts(df))).collect()}
     assert len(got) == len(urls)
     assert all(got[i] == pytest.approx(m.score(s), abs=1e-9) for i, (s, _) in enumerate(urls))
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    """A null or repeated id of a dropped document takes no other document along."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    item = " ".join(f"item{i}" for i in range(30))
+    text = [" ".join(rng.choice(fixtures.WORDS[:10]) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(6)]
+    rows = [(1, text[0]), (None, text[0] + " end"), (None, text[1]), (None, text[2] + " " + item), (7, text[3]), (7, text[4] + " " + item), (7, text[0] + " tail"), (None, text[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = lambda stage: {(r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()}
+    assert left(corpus_pipeline.near_dedup) == {rows[i] for i in (0, 2, 3, 4, 5, 7)}
+    assert left(corpus_pipeline.decontamination) == {rows[i] for i in (0, 1, 2, 4, 6, 7)}
