@@ -13,11 +13,36 @@ from lorewell.streaming import ingest
 
 from . import relational
 
-INTENT = "investigative"
+#: Hits of the large-file lane for a query; the lane fills them up with files that share no word.
+LARGE_FILES = 6
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, intent): the benchmark's texts and the intent that each is routed to."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return queries.withColumn("intent", F.expr(relational.intent(Spark(), "lower(query)")))
+
+
+def large_files(queries: DataFrame, files: DataFrame) -> DataFrame:
+    """The best large files of each query: query_id, doc_id, text, lexical_score, semantic_score; files: doc_id, text.
+
+    Words meet by an equi-join.  All files are candidates: of those without a common word, equal in score, the first
+    by id can follow, and no more than twice LARGE_FILES of them are ever needed."""
+    name = F.concat(F.lit("large_file:"), F.col("doc_id").cast("string"))
+    files = files.withColumn("name", name)
+    q = queries.select("query_id", F.explode(rank.words(F.col("query"))).alias("word"), F.size(rank.words(F.col("query"))).alias("n"))
+    w = files.select("doc_id", F.explode(rank.words(F.col("text"))).alias("word"))
+    hits = q.join(w, "word").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("lexical_score")).withColumn("name", name)
+    hits = rank.top_k(hits, ["query_id"], [F.col("lexical_score").desc(), F.col("name")], LARGE_FILES)
+    first = files.orderBy("name").limit(2 * LARGE_FILES).select("doc_id", "name")
+    rest = queries.select("query_id").crossJoin(F.broadcast(first)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("lexical_score", F.lit(0.0))
+    both = hits.select("query_id", "doc_id", "lexical_score", "name").unionByName(rest).withColumn("semantic_score", F.greatest(F.lit(0.2), "lexical_score"))
+    best = rank.top_k(both, ["query_id"], [(F.col("semantic_score") + F.col("lexical_score")).desc(), F.col("name")], LARGE_FILES)
+    return best.join(files.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "text", "lexical_score", "semantic_score")
 
 
 def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the lexical, semantic, episodic and corpus lanes as one table.
+    """Hits of the lanes that each query's intent is routed to, as one table.
 
     Each lane is cut to its best few before it is joined with texts again."""
     register(spark, sf_dir)
@@ -32,13 +57,19 @@ def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     corpus = lane("l05_corpus_lane").join(docs, "doc_id")
     parts.append(corpus.select("query_id", F.lit("corpus").alias("lane"), F.concat(F.lit("corpus:"), F.col("doc_id").cast("string")).alias("id"), F.lit("corpus_chunk").alias("memory_type"), "text", "lexical_score", "semantic_score", F.lit(0.7).alias("trust_score")))
+    queries = asked(spark, sf_dir)
+    promoted = lane("l04_promoted_lane").withColumnRenamed("fact_id", "doc_id").join(docs, "doc_id").join(queries.select("query_id", "intent"), "query_id")
+    likely = F.when(F.col("intent").isin("memory_summary", "planning"), 0.45).otherwise(0.25)
+    parts.append(promoted.select("query_id", F.lit("promoted").alias("lane"), F.concat(F.lit("promoted:"), F.col("doc_id").cast("string")).alias("id"), F.lit("promoted_fact").alias("memory_type"), "text", "lexical_score", likely.alias("semantic_score"), "trust_score"))
+    files = large_files(queries, lane("l06_large_file_lane").select("doc_id", F.col("excerpt").alias("text")))
+    parts.append(files.select("query_id", F.lit("large_file").alias("lane"), F.concat(F.lit("large_file:"), F.col("doc_id").cast("string")).alias("id"), F.lit("large_file_excerpt").alias("memory_type"), "text", "lexical_score", "semantic_score", F.lit(0.72).alias("trust_score")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    lanes = lx.LANES[INTENT]
-    index = F.array_position(F.array(*map(F.lit, lanes)), F.col("lane")) - 1
-    out = out.join(queries, "query_id").withColumn("lane_index", index)
+    index = F.lit(0)
+    for name, lanes in lx.LANES.items():
+        index = F.when(F.col("intent") == name, F.array_position(F.array(*map(F.lit, lanes)), F.col("lane"))).otherwise(index)
+    out = out.join(queries, "query_id").withColumn("lane_index", index - 1).where("lane_index >= 0")
     cluster = F.concat(F.lit("cl:"), F.substring(F.sha1(F.concat_ws("|", "lane", "memory_type", F.substring("text", 1, 24))), 1, 10))
     tokens = F.greatest(F.lit(1), F.floor((F.length("text") + 3) / 4)).cast("int")
     return out.withColumn("ord", F.xxhash64("id")).withColumn("cluster_id", cluster).withColumn("tokens", tokens)
@@ -52,8 +83,12 @@ def c02_assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rank.rerank(lane_hits(spark, sf_dir)).withColumn("ord", F.col("place"))
     zero = [F.lit(0.0).alias(c) for c in ("recency_score", "freshness_score", "novelty_score", "contradiction_risk")]
     none = [F.lit(None).cast("string").alias(c) for c in ("claim_key", "claim_value")]
-    hits = hits.select("query_id", "ord", "id", "lane", "memory_type", "text", "tokens", "lexical_score", "semantic_score", "trust_score", "cluster_id", *zero, *none, F.lit(False).alias("must_include"), F.lit(True).alias("compressible"), F.lit(True).alias("has_provenance"))
-    return select.select_context(hits, INTENT)
+    hits = hits.select("query_id", "ord", "id", "lane", "memory_type", "text", "tokens", "lexical_score", "semantic_score", "trust_score", "cluster_id", "intent", *zero, *none, F.lit(False).alias("must_include"), F.lit(True).alias("compressible"), F.lit(True).alias("has_provenance"))
+    out = None
+    for intent in sorted(r["intent"] for r in asked(spark, sf_dir).select("intent").distinct().collect()):
+        chosen = select.select_context(hits.where(F.col("intent") == intent).drop("intent"), intent)
+        out = chosen if out is None else out.unionByName(chosen)
+    return select.select_context(hits.drop("intent"), lx.OTHER_INTENT) if out is None else out
 
 
 def c06_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
