@@ -11,10 +11,12 @@ little-endian.  What follows the last level (a line end that the writer adds) is
 
 from __future__ import annotations
 
+import array
 import gc
 import itertools
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, work_path, written
-from .units import Memo, units
+from .units import Memo, UnitTable, portions
 
 MAGIC = b"LWDAC01\n"
 RANK_BITS = 512
@@ -106,62 +108,62 @@ class DacFile:
         return out
 
 
+#: Units of letters that are certainly letters, marks that are certainly none, and single line ends: their pieces are known.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?)]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?)]*)*").fullmatch
+_PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?)]+|\n").findall
+#: Fixed value: the letters that stand for bytes 0 to 255 in a byte-level vocabulary; printable ones stand for themselves.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
+
 class UnitEncoder:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts by the tokenizers library, as it gives them without special tokens around a text.
 
-    Units between single spaces repeat, so each goes through the library when it is first met.  New ones go together:
-    one space begins each, so a token that begins with a space begins a unit's ids.
+    Equal units of a batch are encoded once.  Where a unit's pieces are certain, each goes to the library's model by
+    itself and is kept in a bounded table; other units, texts that can't be cut and those with the string of an added
+    token go through the whole library.
     """
 
-    def __init__(self, path: str, max_units: int = 300_000):
+    def __init__(self, path: str, max_pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         gc.set_threshold(100_000, 50, 1000)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
-        vocab = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
-        self.memo = Memo(max_units)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _add(self, missing: list[str]) -> None:
-        new, old = self.memo.new, self.memo.old
-        fresh = []
-        for u in dict.fromkeys(missing):
-            if u in old:
-                new[u] = old[u]
-            else:
-                fresh.append(u)
-        if fresh:
-            ids = self._ids(" " + " ".join(fresh))
-            begins = np.flatnonzero(self.opens[ids])
-            if len(begins) != len(fresh):
-                raise ValueError("a unit's ids don't begin with its space")
-            raw = ids.tobytes()
-            for u, a, b in zip(fresh, (4 * begins).tolist(), [*(4 * begins[1:]).tolist(), len(raw)]):
-                new[u] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        how = config.get("pre_tokenizer") or {}
+        cuts = how.get("type") == "ByteLevel" and not how.get("add_prefix_space") and how.get("use_regex", True) and not config.get("normalizer")
+        self.model = self.tokenizer.model
+        self.pieces = Memo(max_pieces)
+        added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.table = UnitTable(self._units, self._whole, added, cuts)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+        return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        out = list(map(self.pieces.new.get, units))
+        left = [i for i, x in enumerate(out) if x is None]
+        plain = [i for i in left if _PLAIN(units[i])]
+        cut = [_PIECES(units[i]) for i in plain]
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        ids = dict(zip(distinct, self.pieces.found(distinct, lambda some: list(map(self._piece, some)))))
+        for i, c in zip(plain, cut):
+            out[i] = ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c))
+        other = [i for i in left if out[i] is None]
+        if other:
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([units[i] for i in other], add_special_tokens=False)):
+                out[i] = array.array("I", e.ids).tobytes()
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for some in itertools.batched(texts, 64):
-            self.memo.turn()
-            cuts = [units(t) for t in some]
-            get = self.memo.new.get
-            found = [c and list(map(get, c[1:])) for c in cuts]
-            missing = [u for c, f in zip(cuts, found) if f for u, x in zip(c[1:], f) if x is None]
-            if missing:
-                self._add(missing)
-            get = self.memo.new.__getitem__
-            for text, c, f in zip(some, cuts, found):
-                if c is None:
-                    yield self._ids(text).tobytes() if text else b""
-                else:
-                    yield self._ids(c[0]).tobytes() + b"".join([x or get(u) for u, x in zip(c[1:], f)])
+        return self.table.encode(texts)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -197,9 +199,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pa.RecordBatch.from_pydict({"data": [data]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few texts at a time become Python objects
-                some = batch.slice(at, 64)
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
+            for some in portions(batch):
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1))):
                     docs_.append(doc_id)
                     ids_.append(ids + end)
                     size += len(ids) // 4 + 1

@@ -9,7 +9,7 @@ import public_tokenizers as tok
 import pytest
 
 from lorewell.llm import near_dedup, pii, secrets, winnow
-from lorewell.llm.bpe import BpeTransducer, bpe_encode, codec, load_ranks, merge_encode
+from lorewell.llm.bpe import BpeTransducer, Utf8Machine, bpe_encode, codec, load_ranks, merge_encode
 from lorewell.llm.dac import DacFile, pack, token_ids
 from lorewell.llm.textvec import shingle_sets
 
@@ -53,23 +53,50 @@ def test_bpe_equals_tiktoken(spark, docs):
     assert bpe_encode(empty(spark), path, tok.PATTERN).count() == 0
 
 
-def test_transducer_emits_within_its_bound():
+def test_every_byte_walks_the_transducer():
     ranks = load_ranks(tok.path("byte_bpe_multi_50k.tiktoken"))
+    codes = {r.to_bytes(4, "little"): t for t, r in ranks.items()}
     fst = BpeTransducer(ranks, max_states=50)  # so small that it is emptied again and again
-    for piece in (b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", " internationalisation".encode(), "übermäßigkeit".encode(), b"=" * 99, bytes(range(256))):
-        assert fst.encode_piece(piece) == ([ranks[piece]] if piece in ranks else [ranks[x] for x in merge_encode(piece, ranks)])
-        node, before = fst.start, 0
-        for at, byte in enumerate(piece, 1):
-            node, emitted = node.get(byte) or fst._arc(node, byte)
-            before += len(b"".join(codec(tok.path("byte_bpe_multi_50k.tiktoken"), tok.PATTERN).bytes_of[x] for x in emitted))
-            assert at - before <= 2 * fst.longest
+    for piece in (b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", " internationalisation".encode(), " the".encode(), "übermäßigkeit".encode(), b"=" * 99, bytes(range(256)), b"abracadabra" * 500):
+        fst.steps = 0
+        ids = fst.encode_piece(piece)
+        assert fst.steps == len(piece)
+        merged = merge_encode(piece, ranks)
+        assert [codes[ids[i : i + 4]] for i in range(0, len(ids), 4)] == ([piece] if piece in ranks else merged)
+        out, waiting, most = [], 0, 0
+
+        def read():
+            nonlocal waiting, most
+            for byte in piece:
+                waiting += 1
+                most = max(most, waiting)
+                yield byte
+
+        for some in fst.stream(read()):  # tokens leave after a bounded lookahead
+            out += some
+            waiting -= sum(map(len, some))
+        assert out == merged and most <= 3 * fst.longest
+
+
+def test_utf8_machine():
+    import random
+
+    rng = random.Random(4)
+    texts = ["aé€😀".encode()[i:j] for i in range(10) for j in range(11)] + [bytes(rng.choice([0x41, 0x80, 0xBF, 0xC1, 0xC3, 0xE0, 0xA0, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xF5, 0xFF]) for _ in range(rng.randrange(9))) for _ in range(4000)]
+    for data in texts:
+        text, state = Utf8Machine.run(Utf8Machine.REST, data)
+        assert text + ("\ufffd" if state != Utf8Machine.REST else "") == data.decode("utf-8", "replace")
+    c = codec(tok.path("byte_bpe_multi_50k.tiktoken"), tok.PATTERN)
+    for data in texts:
+        ids = b"".join(c.fst.codes[bytes((x,))] for x in data)
+        for size in (4, 8, 400):
+            assert "".join(c.decode_stream(ids[i : i + size] for i in range(0, len(ids), size))) == data.decode("utf-8", "replace")
 
 
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tok.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = sorted(token_ids(docs, tok.path("byte_bpe_50k.json")).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in fixtures.rows()), key=lambda x: -1 if x is None else x)
     want = expected(lambda x: t.encode(x, add_special_tokens=False).ids + [0])
@@ -82,6 +109,18 @@ def test_token_files(spark, docs):
     assert token_ids(empty(spark), tok.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_units_equal_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lorewell.llm.dac import encoder
+
+    path = tok.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["x<|endoftext|>y", "a <|endoftext|> b c", "it's we'll, o'clock.\nNext \u0301x", "a\u00a0b c", "one two. one two!\nThree", " lead", "trail ", "", "\n", "1st 2.5x a1 'tis", "日本 語 ﬁn ǆ×÷ é.é", "a,b;c? d!)\n\ne f\n", "Ω l'été d'un"]
+    assert encoder(path).encode(pa.array(texts)) == [b"".join(i.to_bytes(4, "little") for i in t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_random_access():
     import numpy as np
 
