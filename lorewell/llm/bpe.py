@@ -1,23 +1,26 @@
 """Byte-level BPE encoding and decoding by a lazily determinised finite-state transducer.
 
-A BPE encoding can be built from left to right: for every prefix of a piece there is one token that its encoding
-ends with, and a token t may follow a token s exactly if the two bytes strings joined encode to [s, t].  A state of the
-transducer holds what can still matter: the last token of the encodings of the prefixes that a later token can start
-from, and the bytes behind the last emitted boundary.  Reading a byte leads to a next state and to the tokens which all
-remaining paths share; these are emitted at once, after a lookahead of at most the longest token.  States and arcs are
-made when a text first needs them and the table is emptied when it reaches a bound, so memory stays bounded.
-
-Decoding streams: token bytes go through an incremental UTF-8 state machine that carries unfinished sequences over
-chunk borders.
+A BPE encoding can be built from left to right: for every prefix of a piece there is one token that its encoding ends
+with, and a token t may follow a token s exactly if the two byte strings joined encode to [s, t].  So a state holds the
+longest suffix of the input that some token begins with and, for it and each shorter such suffix, the token that ends
+before it: all that decides which tokens can come next.  Reading a byte leads to the next state and writes how long the
+token is that the encoding up to this byte ends with.  States and arcs are made when a text first needs them, and the
+tables are emptied when they reach a bound, so memory stays bounded.
+
+Tokens are emitted after a bounded lookahead: when as many bytes as two of the longest tokens wait, what the paths of
+all suffixes in the state share is settled and leaves.  Every byte of every piece goes through arcs and states; tables
+of pieces and units stand before the transducer only as caches of what it gave.
+
+Decoding streams: the bytes of token ids go through an incremental UTF-8 state machine that carries unfinished
+sequences over chunk borders; what it does with a whole token from its start state is kept for each token.
 """
 
 from __future__ import annotations
 
-import array
 import base64
-import codecs
 import gc
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .units import Memo
+from .units import SPACE_PATTERN, Memo, UnitTable, portions
 
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
-MAX_STATES = 50_000
-MAX_PIECES = 300_000
+MAX_STATES = 250_000
+MAX_PIECES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,26 +56,43 @@ def merge_encode(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) ->
 class BpeTransducer:
     """Pieces in, token ids out; see the module's docstring.
 
-    A state is (before, window, lasts): the last emitted token, the bytes read since, and for each i the length of the
-    last token of the encoding of window[: i + 1].  Equal states share one table of arcs, whatever text led there.
+    States are numbers, and an arc is one too: arcs[state << 8 | byte] = next state << 8 | length of the last token.
+    info[state] is (suffix, the tokens before the starts, the starts within the suffix); equal states are one.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
         self.max_states = max_states
         self.longest = max(map(len, ranks), default=1)
-        #: Proper prefixes of tokens: what may stand between a token's start and the reading head.
-        self.begun = {token[:i] for token in ranks for i in range(1, len(token))}
+        if self.longest > 255:
+            raise ValueError("tokens of more than 255 bytes")
+        #: Bytes that may wait before what is settled is emitted.
+        self.lookahead = 2 * self.longest
+        #: 1 for tokens, 2 for proper prefixes of tokens (what may stand between a token's start and the reading head), or both.
+        self.kinds = dict.fromkeys((token[:i] for token in ranks for i in range(1, len(token))), 2)
+        for token in ranks:
+            self.kinds[token] = self.kinds.get(token, 0) | 1
+        self.codes = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.split: dict[bytes, tuple[bytes, bytes]] = {}
+        self.steps = 0
         self._reset()
 
     def _reset(self) -> None:
-        self.start: dict = {-1: (b"", b"", ())}
-        self.states = {self.start[-1]: self.start}
+        self.states: dict[tuple, int] = {}
+        self.info: list[tuple] = []
+        self.arcs: dict[int, int] = {}
+        self._state(b"", (b"",), (0,))
+
+    def _state(self, suffix: bytes, lefts: tuple[bytes, ...], starts: tuple[int, ...]) -> int:
+        found = self.states.get((suffix, lefts))
+        if found is None:
+            found = self.states[suffix, lefts] = len(self.info)
+            self.info.append((suffix, lefts, starts))
+        return found
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes]:
-        """The two parts that a token's last merge joins; a single byte has none."""
+        """The two parts that a token's last merge joins; a single byte, and a token that no merges give, has none."""
         found = self.split.get(token)
         if found is None:
             found = (b"", b"")
@@ -90,9 +110,6 @@ class BpeTransducer:
         merge undone before; one of lower rank that joins them would have come first.  Of equal ranks the left merges
         first.
         """
-        found = self.follows.get((a, b))
-        if found is not None:
-            return found
         ranks, x, y, until, free = self.ranks, a, b, 1 << 60, True
         while free:
             if ranks.get(x + y, 1 << 60) < until:
@@ -105,123 +122,141 @@ class BpeTransducer:
                 until, x = ranks[x], xs
             else:
                 until, y = ranks[y] + 1, ys
-        if len(self.follows) >= 4 * self.max_states:
+        if len(self.follows) >= 2 * self.max_states:
             self.follows.clear()
         self.follows[a, b] = free
         return free
 
-    def _is_sound(self, token: bytes) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        return len(token) == 1 or bool(self._halves(token)[0])
-
-    def _last(self, before: bytes, window: bytes, n: int, lasts) -> int:
-        """Length of the last token of the encoding of the window's first n bytes."""
-        ranks, follows = self.ranks, self.follows
-        for start in range(max(0, n - self.longest), n):
-            token = window[start:n]
-            if token in ranks:
-                left = window[start - lasts[start - 1] : start] if start else before
-                if n - start > 1 and not self._is_sound(token):
-                    continue
-                if not left:
-                    return n - start
-                found = follows.get((left, token))
-                if found or (found is None and self._may_follow(left, token)):
-                    return n - start
-        raise ValueError("the ranks lack a single byte")
+    def _arc(self, state: int, byte: int) -> int:
+        """Make the arc of a byte, and the state that it leads to if that is new."""
+        suffix, lefts, starts = self.info[state]
+        window = suffix + bytes((byte,))
+        n, kinds, follows = len(window), self.kinds, self.follows
+        last, kept, new_lefts = None, [], []
+        for start, left in zip(starts, lefts):
+            token = window[start:]
+            kind = kinds.get(token, 0)
+            if kind & 1 and last is None and (n - start == 1 or self._halves(token)[0]):
+                free = not left or follows.get((left, token))
+                if free or (free is None and self._may_follow(left, token)):
+                    last = token
+            if kind & 2:
+                kept.append(start)
+                new_lefts.append(left)
+        if last is None:
+            raise ValueError("the ranks lack a single byte")
+        kept.append(n)
+        new_lefts.append(last)
+        cut = kept[0]
+        key = (window[cut:], tuple(new_lefts))
+        full = len(self.info) >= self.max_states and key not in self.states
+        if full:
+            self._reset()
+        arc = self._state(*key, tuple([x - cut for x in kept])) << 8 | len(last)
+        if not full:
+            self.arcs[state << 8 | byte] = arc
+        return arc
+
+    def stream(self, piece: Iterable[int]) -> Iterator[list[bytes]]:
+        """The tokens of one piece as they are settled, the bytes coming one by one."""
+        state, waiting, lasts = 0, bytearray(), []
+        for byte in piece:
+            arc = self.arcs.get(state << 8 | byte)
+            if arc is None:
+                arc = self._arc(state, byte)
+            state = arc >> 8
+            lasts.append(arc & 255)
+            waiting.append(byte)
+            self.steps += 1
+            if len(lasts) >= self.lookahead and not len(lasts) % self.longest:
+                # Later tokens start at one of the state's starts: where the paths to all of them meet is settled.
+                suffix, _, starts = self.info[state]
+                ends = {len(lasts) - len(suffix) + s for s in starts}
+                while len(ends) > 1:
+                    end = max(ends)
+                    ends.remove(end)
+                    ends.add(end - lasts[end - 1])
+                (cut,) = ends
+                if cut > 0:
+                    yield self._path(waiting, lasts, cut)
+                    del waiting[:cut], lasts[:cut]
+        if lasts:
+            yield self._path(waiting, lasts, len(lasts))
 
     @staticmethod
-    def _path(lasts: tuple[int, ...], end: int) -> list[int]:
-        """Boundaries of the encoding of the window up to end, the first first."""
+    def _path(waiting: bytearray, lasts: list[int], end: int) -> list[bytes]:
+        """The tokens up to a boundary, back along the lengths."""
         out = []
         while end > 0:
-            out.append(end)
-            end -= lasts[end - 1]
+            begin = end - lasts[end - 1]
+            out.append(bytes(waiting[begin:end]))
+            end = begin
         return out[::-1]
 
-    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        before, window, lasts = state
-        window += bytes((byte,))
-        lasts += (self._last(before, window, len(window), lasts),)
-        # Every later token starts here or at a prefix behind which a token has begun: what their encodings share, up
-        # to the boundary where their paths meet, is settled.
-        cut = len(window)
-        for end in range(1 if window not in self.begun else 0, len(window)):
-            if end < 1:
-                cut = 0
-                break
-            if window[end:] in self.begun:
-                while cut != end:
-                    if cut > end:
-                        cut -= lasts[cut - 1]
-                    else:
-                        end -= lasts[end - 1]
-                if not cut:
-                    break
-        if not cut:
-            return (before, window, lasts), ()
-        emitted, begin = [], 0
-        for end in self._path(lasts, cut):
-            before = window[begin:end]
-            emitted.append(self.ranks[before])
-            begin = end
-        window = window[cut:]
-        if window and window not in self.begun:
-            before = b""  # nothing can start right behind it any more
-        # An encoding that crosses the cut can't be continued; its length no longer matters.
-        return (before, window, tuple([x if x <= i else i for i, x in enumerate(lasts[cut:], 1)])), tuple(emitted)
-
-    def _arc(self, node: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        state, emitted = self._step(node[-1], byte)
-        if state not in self.states:
-            if len(self.states) >= self.max_states:
-                self._reset()
-            self.states[state] = {-1: state}
-        node[byte] = arc = (self.states[state], emitted)
-        return arc
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a piece that is itself a token is that token.
-
-        The arcs that are there are followed; the first missing one is added.  What comes after it is encoded from the
-        state it leads to without new states: texts add states where they often come by, not for every rare ending.
-        """
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        node, out, at = self.start, [], 0
-        for byte in piece:
-            arc = node.get(byte)
-            if arc is None:
-                break
-            node = arc[0]
-            if arc[1]:
-                out += arc[1]
-            at += 1
-        if at < len(piece):
-            node, emitted = self._arc(node, piece[at])
-            out += emitted
-            at += 1
-        before, window, lasts = node[-1]
-        if at < len(piece):
-            n = len(window)
-            window += piece[at:]
-            lasts = list(lasts)
-            for n in range(n + 1, len(window) + 1):
-                lasts.append(self._last(before, window, n, lasts))
-        begin = 0
-        for end in self._path(lasts, len(window)):
-            out.append(ranks[window[begin:end]])
-            begin = end
-        return out
+    def encode_piece(self, piece: bytes) -> bytes:
+        """Ids of one piece as little-endian unsigned 32-bit integers; a piece that is itself a token, which its merges
+        might not give, is that token."""
+        codes = self.codes
+        if len(piece) >= self.lookahead:
+            out = [codes[t] for some in self.stream(piece) for t in some]
+        else:  # the same walk without a waiting line: the whole piece is within the lookahead
+            state, arcs, out = 0, [], []
+            get, add = self.arcs.get, arcs.append
+            for byte in piece:
+                arc = get(state << 8 | byte)
+                if arc is None:
+                    arc = self._arc(state, byte)
+                    get = self.arcs.get
+                state = arc >> 8
+                add(arc)
+            end = len(arcs)
+            self.steps += end
+            while end:
+                begin = end - (arcs[end - 1] & 255)
+                out.append(codes[piece[begin:end]])
+                end = begin
+            out.reverse()
+        if len(out) > 1 and piece in codes:
+            return codes[piece]
+        return b"".join(out)
+
+
+#: Fixed values, by Unicode: lead bytes of UTF-8 sequences (first, last), bytes that follow, range of the first of them.
+UTF8_LEADS = ((0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F))
+
+
+class Utf8Machine:
+    """Bytes in, text out.  The state is (code point so far, bytes to come, range of the next one); an ill-formed sequence
+    becomes U+FFFD, and the byte that breaks it is read anew."""
+
+    REST = (0, 0, 0, 0)
+    _LEAD = {b: ((b & (0x3F >> more)), more, low, high) for first, last, more, low, high in UTF8_LEADS for b in range(first, last + 1)}
+
+    @classmethod
+    def step(cls, state: tuple[int, int, int, int], byte: int) -> tuple[str, tuple[int, int, int, int]]:
+        point, more, low, high = state
+        broken = ""
+        if more:
+            if low <= byte <= high:
+                point = point << 6 | byte & 0x3F
+                return (chr(point), cls.REST) if more == 1 else ("", (point, more - 1, 0x80, 0xBF))
+            broken = "�"
+        if byte < 0x80:
+            return broken + chr(byte), cls.REST
+        begun = cls._LEAD.get(byte)
+        return (broken, begun) if begun else (broken + "�", cls.REST)
+
+    @classmethod
+    def run(cls, state: tuple[int, int, int, int], data: bytes) -> tuple[str, tuple[int, int, int, int]]:
+        out = []
+        for byte in data:
+            text, state = cls.step(state, byte)
+            out.append(text)
+        return "".join(out), state
 
 
 class BpeCodec:
-    """Texts to ids and back, for one vocabulary and one pattern of pieces.
-
-    Pieces repeat, so each goes through the transducer when it is met and not in the table.
-    """
+    """Texts to ids and back, for one vocabulary and one pattern of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
         import regex
@@ -229,34 +264,55 @@ class BpeCodec:
         self.find = regex.compile(pattern).findall
         self.fst = BpeTransducer(ranks)
         self.pieces = Memo(max_pieces)
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.table = UnitTable(self._units, lambda text: self._units([text])[0], cuts=pattern == SPACE_PATTERN)
+        size = max(ranks.values(), default=-1) + 1
+        self.bytes_of, self.text_of = [b""] * size, [""] * size
+        #: Whether a token leads the machine from its state of rest to rest; then text_of is what it gives.
+        self.closed = np.zeros(size, bool)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+            self.text_of[rank], state = Utf8Machine.run(Utf8Machine.REST, token)
+            self.closed[rank] = state == Utf8Machine.REST
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units by those of their pieces; a unit that is a known piece needs no cutting."""
+        out = list(map(self.pieces.new.get, units)) if self.table.cuts else [None] * len(units)
+        left = [i for i, x in enumerate(out) if x is None]
+        cut = [self.find(units[i]) for i in left]
+        encode = self.fst.encode_piece
+        distinct = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        ids = dict(zip(distinct, self.pieces.found(distinct, lambda some: [encode(p.encode("utf-8")) for p in some])))
+        for i, c in zip(left, cut):
+            out[i] = ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c))
+        return out
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.old.get(piece)
-        if found is None:
-            found = array.array("I", self.fst.encode_piece(piece.encode("utf-8"))).tobytes()
-        self.pieces.new[piece] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        self.pieces.turn()
-        get, make = self.pieces.new.get, self._piece
-        return b"".join([get(p) or make(p) for p in self.find(text)])
-
-    def decode_bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        return self.table.encode(texts)
 
     def decode_stream(self, chunks: Iterable[bytes]) -> Iterator[str]:
         """Text of id chunks as they come; a code point cut by a chunk's end waits for the rest."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        rest = state = Utf8Machine.REST
         for chunk in chunks:
-            if out := machine.decode(self.decode_bytes(chunk)):
-                yield out
-        if out := machine.decode(b"", True):
-            yield out
+            ids = np.frombuffer(chunk, "<u4")
+            open_at = np.flatnonzero(~self.closed[ids]).tolist()
+            out, at, ids = [], 0, ids.tolist()
+            if state != rest and ids:
+                open_at = [0, *open_at]
+            for i in open_at:
+                if i < at:
+                    continue
+                out += map(self.text_of.__getitem__, ids[at:i])
+                at = i
+                while at < len(ids) and (at == i or state != rest):
+                    text, state = Utf8Machine.run(state, self.bytes_of[ids[at]])
+                    out.append(text)
+                    at += 1
+            out += map(self.text_of.__getitem__, ids[at:])
+            if out:
+                yield "".join(out)
+        if state != rest:
+            yield "�"
 
 
 _CODECS: dict[tuple[str, str], BpeCodec] = {}
@@ -287,13 +343,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "te
         c = codec(ranks_path, pattern)
         step = 4 * stream_ids
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):  # few texts at a time become Python objects
-                part = batch.slice(at, 128)
-                n, first, second = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = c.encode(text)
-                    n.append(len(ids) // 4)
-                    parts = c.decode_stream(ids[i : i + step] for i in range(0, len(ids), step))
+            for part in portions(batch):
+                ids_of = c.encode(part.column(1))
+                n = [len(ids) // 4 for ids in ids_of]
+                first, second = [], []
+                for i, ids in enumerate(ids_of):
+                    parts = c.decode_stream(ids[k : k + step] for k in range(0, len(ids), step))
                     if output == "digests":
                         first.append(hashlib.sha256(ids).hexdigest())
                         decoded = hashlib.sha256()
@@ -301,15 +356,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "te
                             decoded.update(x.encode("utf-8"))
                         second.append(decoded.hexdigest())
                     else:
-                        first.append(ids)
                         decoded_text = "".join(parts)
-                        second.append(decoded_text == text if output == "ids" else decoded_text)
+                        second.append(decoded_text == part.column(1)[i].as_py() if output == "ids" else decoded_text)
                 if output == "digests":
                     made = pa.array(first, pa.string())
                 else:
                     ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(first), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), made, pa.array(second)], ["doc_id", "n_tokens", a, b])
+                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids_of), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), made, pa.array(second, pa.bool_() if output == "ids" else pa.string())], ["doc_id", "n_tokens", a, b])
 
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, ", ".join(("doc_id long", "n_tokens long", *kinds)))
