@@ -174,6 +174,37 @@ def test_leaks(spark):
     assert decontam.find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_against_all_pairs(spark, monkeypatch):
+    """Paraphrases: words left out, put in and swapped; every pair of a document window and an item checked by brute force."""
+    rng = random.Random(16)
+    vocab = [a + b + c for a in ("the", "an", "or", "ti", "es", "ou") for b in ("", "re", "nd", "ing", "ly") for c in ("wh", "ha", "ion", "st", "ble")]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [draw(rng.choice([8, 13, 20, 23, 24, 25, 40, 90])) for _ in range(24)]
+    docs = []
+    for i in range(160):
+        words = draw(rng.randint(0, 120))
+        part = [w for w in items[rng.randrange(24)] if rng.random() > 0.12]
+        for _ in range(len(part) // 8):
+            part.insert(rng.randrange(len(part)), rng.choice(vocab))
+            j = rng.randrange(len(part) - 1)
+            part[j], part[j + 1] = part[j + 1], part[j]
+        at = rng.randint(0, len(words))
+        words[at:at] = part
+        docs.append((i, " ".join(words)))
+    docs.append((900, " ".join(draw(60_000) + items[5] + draw(20))))
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 300)  # several blocks of items
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    bench = decontam.Benchmark([(k, " ".join(w), None) for k, w in enumerate(items)])
+    table = np.vstack([np.ones((decontam.FEATURES, 1), np.float32), np.zeros((1, 1), np.float32)])
+    every = [bench.placed(w, table) for w in (bench.windows, bench.halves)]
+    want = set()
+    for i, text in docs[:-1]:
+        want |= {(i, k) for k, _, _ in decontam.leaks_in([text.encode()], table, *every, bench, -1.0, 0.0)[0]}
+    assert (900, 5) in got and got - {(900, 5)} <= want
+    assert len(want) > 90 and len(got & want) >= 0.9 * len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
