@@ -5,8 +5,7 @@ probability after the longest known context, each order interpolated with the on
 score is the difference of its log likelihoods divided by its length; the threshold is calibrated on labelled URLs that
 the models haven't counted.
 
-Counts are made over all labelled URLs by one aggregation.  The models keep every context seen at least LEAST times.
-They stay a table: the ratios of all grams that occur are made by joins, order by order, and each URL sums those of its
+Counts are made over all labelled URLs by one aggregation, and the models keep every context.  They stay a table: the ratios of all grams that occur are made by joins, order by order, and each URL sums those of its
 characters; nothing of the models is gathered in one place.
 """
 
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 ORDER = 5
-LEAST = 2
 #: So many copies of the ratios' table, that URLs are dealt to: a gram that most of them have goes to as many tasks.
 SALTS = 8
 #: Probability of any character where nothing is known.
@@ -128,8 +126,8 @@ class Models:
 
 
 def gram_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, ratio): what Models.ratio gives for each gram of context_counts, with contexts seen at least LEAST times."""
-    nodes = counts.groupBy("context").agg(*(x for c in ("accepted", "rejected") for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds")))).where(F.col("accepted_n") + F.col("rejected_n") >= LEAST)
+    """(gram, ratio): what Models.ratio gives for each gram of context_counts."""
+    nodes = counts.groupBy("context").agg(*(x for c in ("accepted", "rejected") for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds"))))
     # A context has no more rows than there are characters, so neither join has a hot key.
     grams = written(counts.join(nodes, "context", "left").withColumn("gram", F.concat("context", "next")), "contexts")
 
