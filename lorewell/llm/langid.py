@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text
@@ -175,7 +175,8 @@ def label_positions(model: BiGru, texts: list[bytes]) -> tuple[list[np.ndarray],
     """For each text the label of every byte, and the pooled probabilities (texts, labels); zero if nothing counts."""
     n = len(model.labels)
     sums, counted = np.zeros((len(texts), n)), np.zeros(len(texts))
-    found = [np.zeros(len(t), np.uint8) for t in texts]
+    kind = np.uint8 if n <= 256 else np.int32
+    found = [np.zeros(len(t), kind) for t in texts]
     raw = np.frombuffer(b" " * MARGIN + (b" " * MARGIN).join(texts) + b" " * (BODY + MARGIN), np.uint8)
     begins = MARGIN + np.concatenate([[0], np.cumsum([len(t) + MARGIN for t in texts])])[:-1]
     blocks = np.array([-(-len(t) // BODY) for t in texts], dtype=np.int64)
@@ -192,7 +193,7 @@ def label_positions(model: BiGru, texts: list[bytes]) -> tuple[list[np.ndarray],
         body = slice(MARGIN, MARGIN + BODY)
         logits = model.logits(x)[body]
         logits -= logits.max(axis=2, keepdims=True)
-        best = logits.argmax(axis=2).astype(np.uint8)
+        best = logits.argmax(axis=2).astype(kind)
         np.exp(logits, out=logits)
         logits *= (_COUNTS[x[body]] * ~outside[body] / logits.sum(axis=2))[:, :, None]
         np.add.at(sums, own, logits.sum(axis=0))
@@ -206,18 +207,16 @@ def label_positions(model: BiGru, texts: list[bytes]) -> tuple[list[np.ndarray],
 def fit(docs: DataFrame, most_per_label: int = 300, most_chars: int = 2000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **options) -> BiGru:
     """A model of a bounded sample: of each language the `most_per_label` rows with the smallest hash of their id, and of
     their texts `most_chars` characters from the middle.  Rows with a null text or language are not learned from; null
-    ids have a hash like others.  Languages beyond the 64 most frequent are not learned."""
+    ids have a hash like others.  Every language is learned."""
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     own = own.select("lang", F.xxhash64("id").alias("h"), F.expr(f"substring(text, greatest(1, int((length(text) - {most_chars}) / 2)), {most_chars})").alias("text"))
     # The hash is uniform, so a bound on it keeps about as many rows as are wanted before the exact choice.
-    counts = sorted(((r["n"], r["lang"]) for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()), reverse=True)
-    texts, langs = [], []
-    for n, lang in counts:
-        bound = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, (2.0 * most_per_label + 20) / n) * (1 << 64)))
-        rows = own.where((F.col("lang") == lang) & (F.col("h") <= bound)).orderBy("h", "text").limit(most_per_label).collect()
-        texts += [r["text"] for r in rows]
-        langs += [lang] * len(rows)
-    return train(texts, langs, **options)
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * most_per_label + 20) / F.col("n"))
+    likely = own.join(counts, "lang").where(F.col("h") <= -(2.0**63) + share * 2.0**64)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rows = sorted(likely.withColumn("place", place).where(F.col("place") <= most_per_label).select("lang", "place", "text").collect())
+    return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 
 def judge(model: BiGru, texts: list[str]) -> tuple[list[str], list[float], list[np.ndarray]]:
