@@ -281,3 +281,25 @@ def test_next_over_buckets(spark, monkeypatch):
     ids = [i * i for i in range(100)]
     got = {r["doc_id"]: r["next_text"] for r in winnow.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")).collect()}
     assert got == {i: f"t{ids[n - 1]}" for n, i in enumerate(ids)}
+
+
+def test_secrets_hostile_texts():
+    """Long runs that begin a match over and over take time in proportion to their length."""
+    import time
+
+    for piece in ("eyJ", "eyJaaaaaaaa.", "eyJaaaaaaaa.eyJaaaaaaaa.", "AKIA", "token", "password:", "xoxb-", "ghp_", "AIza", "-----BEGIN ", "0123456789abcde "):
+        text = piece * (400_000 // len(piece))
+        began = time.process_time()
+        secrets.scan([text], secrets.BASE_RULES + secrets.MORE_RULES)
+        assert time.process_time() - began < 5, piece
+
+
+def test_kept_tables_are_dropped_when_idle():
+    import time
+
+    from lorewell.llm.common import Kept
+
+    kept, made = Kept(idle=0.2), []
+    assert kept.get("a", lambda: made.append(1) or "x") == kept.get("a", lambda: "y") == "x"
+    time.sleep(1)
+    assert not kept.found and kept.get("a", lambda: "z") == "z"
