@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import Kept, id_and_text
 from .units import SPACE_PATTERN, Memo, UnitTable, portions
 
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
 MAX_STATES = 250_000
-MAX_PIECES = 250_000
+MAX_PIECES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,7 +57,8 @@ class BpeTransducer:
     """Pieces in, token ids out; see the module's docstring.
 
     States are numbers, and an arc is one too: arcs[state << 8 | byte] = next state << 8 | length of the last token.
-    info[state] is (suffix, the tokens before the starts, the starts within the suffix); equal states are one.
+    info[state] is (suffix, ranks of the tokens before its starts, -1 for none); equal states are one.  The starts are a
+    suffix's own: where it, or a shorter one of its suffixes, begins a token.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
@@ -73,7 +74,9 @@ class BpeTransducer:
         for token in ranks:
             self.kinds[token] = self.kinds.get(token, 0) | 1
         self.codes = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.token_of = {rank: token for token, rank in ranks.items()}
+        #: left rank << 32 | rank: whether the one may follow the other.
+        self.follows: dict[int, bool] = {}
         self.split: dict[bytes, tuple[bytes, bytes]] = {}
         self.steps = 0
         self._reset()
@@ -82,13 +85,15 @@ class BpeTransducer:
         self.states: dict[tuple, int] = {}
         self.info: list[tuple] = []
         self.arcs: dict[int, int] = {}
-        self._state(b"", (b"",), (0,))
+        #: suffix: (itself, its starts)
+        self.starts: dict[bytes, tuple[bytes, tuple[int, ...]]] = {b"": (b"", (0,))}
+        self._state((b"", (-1,)))
 
-    def _state(self, suffix: bytes, lefts: tuple[bytes, ...], starts: tuple[int, ...]) -> int:
-        found = self.states.get((suffix, lefts))
+    def _state(self, key: tuple[bytes, tuple[int, ...]]) -> int:
+        found = self.states.get(key)
         if found is None:
-            found = self.states[suffix, lefts] = len(self.info)
-            self.info.append((suffix, lefts, starts))
+            found = self.states[key] = len(self.info)
+            self.info.append(key)
         return found
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes]:
@@ -122,24 +127,26 @@ class BpeTransducer:
                 until, x = ranks[x], xs
             else:
                 until, y = ranks[y] + 1, ys
-        if len(self.follows) >= 2 * self.max_states:
-            self.follows.clear()
-        self.follows[a, b] = free
         return free
 
     def _arc(self, state: int, byte: int) -> int:
         """Make the arc of a byte, and the state that it leads to if that is new."""
-        suffix, lefts, starts = self.info[state]
+        suffix, lefts = self.info[state]
         window = suffix + bytes((byte,))
         n, kinds, follows = len(window), self.kinds, self.follows
         last, kept, new_lefts = None, [], []
-        for start, left in zip(starts, lefts):
+        for start, left in zip(self.starts[suffix][1], lefts):
             token = window[start:]
             kind = kinds.get(token, 0)
             if kind & 1 and last is None and (n - start == 1 or self._halves(token)[0]):
-                free = not left or follows.get((left, token))
-                if free or (free is None and self._may_follow(left, token)):
-                    last = token
+                rank = self.ranks[token]
+                free = left < 0 or follows.get(left << 32 | rank)
+                if free is None:
+                    if len(follows) >= self.max_states:
+                        follows.clear()
+                    free = follows[left << 32 | rank] = self._may_follow(self.token_of[left], token)
+                if free:
+                    last, size = rank, n - start
             if kind & 2:
                 kept.append(start)
                 new_lefts.append(left)
@@ -148,11 +155,14 @@ class BpeTransducer:
         kept.append(n)
         new_lefts.append(last)
         cut = kept[0]
-        key = (window[cut:], tuple(new_lefts))
+        new = window[cut:]
+        new = self.starts.setdefault(new, (new, tuple([x - cut for x in kept])))[0]
+        key = (new, tuple(new_lefts))
         full = len(self.info) >= self.max_states and key not in self.states
         if full:
             self._reset()
-        arc = self._state(*key, tuple([x - cut for x in kept])) << 8 | len(last)
+            self.starts[new] = (new, tuple([x - cut for x in kept]))
+        arc = self._state(key) << 8 | size
         if not full:
             self.arcs[state << 8 | byte] = arc
         return arc
@@ -170,8 +180,8 @@ class BpeTransducer:
             self.steps += 1
             if len(lasts) >= self.lookahead and not len(lasts) % self.longest:
                 # Later tokens start at one of the state's starts: where the paths to all of them meet is settled.
-                suffix, _, starts = self.info[state]
-                ends = {len(lasts) - len(suffix) + s for s in starts}
+                suffix = self.info[state][0]
+                ends = {len(lasts) - len(suffix) + s for s in self.starts[suffix][1]}
                 while len(ends) > 1:
                     end = max(ends)
                     ends.remove(end)
@@ -315,15 +325,13 @@ class BpeCodec:
             yield "�"
 
 
-_CODECS: dict[tuple[str, str], BpeCodec] = {}
+_CODECS = Kept()
 
 
 def codec(path: str, pattern: str) -> BpeCodec:
-    """One codec in a worker for each vocabulary."""
-    if (path, pattern) not in _CODECS:
-        gc.set_threshold(100_000, 50, 1000)  # the tables hold many live objects and no cycles
-        _CODECS[path, pattern] = BpeCodec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    """One codec in a worker for each vocabulary, as long as tasks use it."""
+    gc.set_threshold(100_000, 50, 1000)  # the tables hold many live objects and no cycles
+    return _CODECS.get((path, pattern), lambda: BpeCodec(load_ranks(path), pattern))
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "texts", stream_ids: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,10 +348,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "te
     a, b = (k.split()[0] for k in kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path, pattern)
         step = 4 * stream_ids
         for batch in batches:
             for part in portions(batch):
+                c = codec(ranks_path, pattern)
                 ids_of = c.encode(part.column(1))
                 n = [len(ids) // 4 for ids in ids_of]
                 first, second = [], []

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="lorewell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Names this application's work folder.
+_RUN = uuid.uuid4().hex
+_ROOTS: dict[str, SparkSession] = {}
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which is deleted when the application ends."""
+    root = f"{shared_folder(spark)}/lorewell/{_RUN}"
+    if root not in _ROOTS and not _ROOTS:
+        atexit.register(_remove_all)
+    _ROOTS[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove_all() -> None:
+    for root, spark in _ROOTS.items():
+        if spark.sparkContext._jsc is not None:  # else the context is stopped already
+            remove(spark, root)
 
 
 def written(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
@@ -36,7 +59,15 @@ def written(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     (df.hint("rebalance") if few_files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t.work_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -51,9 +82,37 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def row_key() -> Column:
-    """128 bits that name a row (doc_id, text), a null text as empty; ids may be null or repeated."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(whole_text()))))
+def text_key(column: str = "text") -> Column:
+    """128 bits that name a text, a null one as empty."""
+    return F.unhex(F.md5(whole_text(column)))
+
+
+class Kept:
+    """What a Python worker keeps between tasks, dropped when no task has asked for it for some seconds: workers serve
+    many stages, and tables of one must not stand beside the next one's data."""
+
+    def __init__(self, idle: float = 5.0):
+        self.idle, self.found, self.last, self.lock, self.watch = idle, {}, 0.0, threading.Lock(), None
+
+    def get(self, key: Hashable, make: Callable[[], object]) -> object:
+        with self.lock:
+            self.last = time.monotonic()
+            if key not in self.found:
+                self.found[key] = make()
+                if self.watch is None:
+                    self.watch = threading.Thread(target=self._drop, daemon=True)
+                    self.watch.start()
+            return self.found[key]
+
+    def _drop(self) -> None:
+        while True:
+            time.sleep(self.idle / 2)
+            with self.lock:
+                if time.monotonic() - self.last > self.idle:
+                    self.found, self.watch = {}, None
+                    break
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, work_path, written
+from .common import Kept, id_and_text, work_path, written
 from .units import Memo, UnitTable, portions
 
 MAGIC = b"LWDAC01\n"
@@ -166,13 +166,12 @@ class UnitEncoder:
         return self.table.encode(texts)
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+_ENCODERS = Kept()
 
 
 def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    """One encoder in a worker for each file, as long as tasks use it."""
+    return _ENCODERS.get(path, lambda: UnitEncoder(path))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, segment_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -188,7 +187,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         from pyspark import TaskContext
 
         part, before, seq = TaskContext.get().partitionId(), 0, 0
-        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        end = int(end_id).to_bytes(4, "little")
         docs_, ids_, size = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -200,6 +199,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for batch in batches:
             for some in portions(batch):
+                enc = encoder(tokenizer_path)
                 for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1))):
                     docs_.append(doc_id)
                     ids_.append(ids + end)

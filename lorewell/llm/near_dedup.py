@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, row_key, written
+from .common import discard, id_and_text, text_key, written
 from .textvec import mixed, set_class, shingle_sets
 
 ROWS = 6
+#: Pairs for which one copy of a class's text is dealt out.
+PAIRS_A_COPY = 5_000
 #: Bins of the parity sketch, in words of 64 bits.
 SKETCH_WORDS = 16
 
@@ -69,9 +71,8 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, cls (name of the set; null if it is empty), keys (one for each band), sketch; and
-    row_key where docs have it."""
-    extra = [c for c in docs.columns if c == "row_key"]
+    """Per row (doc_id, text, text_key): doc_id, text_key, n_shingles, cls (name of the set; null if it is empty), keys
+    (one for each band), sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,14 +85,18 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     own = band_keys(min_max([sets[i] for i in full], -(-bands * rows // 2)), bands, rows).view(np.int64)
                     for i, row in zip(full, own):
                         keys[i] = row
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "cls": [set_class(s) if len(s) else None for s in sets], "keys": keys, "sketch": [parities(s) if len(s) else None for s in sets], **{c: part[c].to_numpy() for c in extra}})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "n_shingles": [len(s) for s in sets], "cls": [set_class(s) if len(s) else None for s in sets], "keys": keys, "sketch": [parities(s) if len(s) else None for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, cls binary, keys array<long>, sketch array<long>" + "".join(f", {c} binary" for c in extra))
+    return docs.mapInPandas(run, "doc_id long, text_key binary, n_shingles long, cls binary, keys array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
     """The pairs (a, b) of classes whose sets have intersection >= share * union.  texts: cls, text."""
-    own = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    # A class that many are tried against has its text in as many copies as make PAIRS_A_COPY pairs for each.
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies"))
+    of_a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).join(copies, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"))
+    own = dealt.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(of_a, ["a", "salt"])
     num, den = share.numerator, share.denominator
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,14 +132,16 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        read = edges
         edges = written(small, "small", True)
+        discard(read)
         before, now = now, mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """Per row of a table: doc_id, n_shingles, component_id, kept; with_key: row_key too, which tells rows of one id apart.
+    """Per row of a table: doc_id, n_shingles, component_id, kept; with_key: text_key too, which tells rows of one id apart.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Documents whose shingle sets have a Jaccard similarity of
     at least `threshold` are linked; component_id is the smallest id of those reachable over links, kept whether it is
@@ -145,10 +152,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     share = Fraction(threshold).limit_denominator(10_000)
     bands = bands_for(threshold, miss)
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    extra = ["row_key"] if with_key else []
-    feat = written(features(rows.withColumn("row_key", row_key()) if with_key else rows, k, bands, ROWS), "features")
+    rows = rows.withColumn("text_key", text_key())
+    feat = written(features(rows, k, bands, ROWS), "features")
     whole = feat.where("cls is not null")
-    classes = written(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch"))), "classes")
+    classes = written(whole.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch"))), "classes")
 
     # Buckets with more than one class: counted with partial sums, then joined, which Spark splits where a key is hot.
     keyed = classes.select("cls", F.explode("keys").alias("key"))
@@ -166,18 +173,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     trial = members.join(hubs, "key").where(F.col("cls") != F.col("hub")).where(near(F.col("n"), F.col("hub_n")))
     first = written(trial.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "first", True)
 
-    # One text of each class in a bucket; a row whose id another text repeats is told by its class.
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "doc_id")
-
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [set_class(s) == bytes(c) for s, c in zip(shingle_sets((t.encode("utf-8") for t in pdf["text"]), k), pdf["cls"])]
-            yield pdf.loc[own, ["cls", "text"]]
-
-    found = rows.join(wanted.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cls", "text").mapInPandas(told, "cls binary, text string")
-    texts = written(found, "texts", True)
-    repeated = texts.groupBy("cls").count().where("count > 1").limit(1).count()
-    if repeated:
+    # One text of each class in a bucket, that of its representative row; equal rows give it more than once.
+    wanted = members.select("cls").distinct().join(classes.select("cls", "one"), "cls")
+    same = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.text_key") == F.col("text_key"))
+    texts = written(rows.join(wanted, same).select("cls", "text"), "texts", True)
+    if texts.groupBy("cls").count().where("count > 1").limit(1).count():
         texts = written(texts.groupBy("cls").agg(F.min("text").alias("text")), "texts")
 
     links = written(confirmed(first, texts, k, share), "links", True)
@@ -207,6 +207,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     ids = named.groupBy("root").agg(F.min("least_id").alias("component"))
     joined = named.select("cls", "root").join(ids, "root").select("cls", "component")
     own = classes.select("cls", F.col("doc_id").alias("least_id")).join(joined, "cls", "left").select("cls", F.coalesce("component", "least_id").alias("component"))
-    out = feat.select("doc_id", "n_shingles", "cls", *extra).join(own, "cls", "left")
+    out = feat.select("doc_id", "n_shingles", "cls", "text_key").join(own, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_key"] if with_key else []))

@@ -18,6 +18,8 @@ _WHITE = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 #: A space at either end or beside white space, and an empty text: those stay whole.
 _IRREGULAR = rf"\A |\A\z| \z| [{_WHITE}]|[{_WHITE}] "
 
+UNITS_AT_ONCE = 10_000
+
 #: Fixed value: the piece pattern for which cutting before single spaces is known to change nothing.
 SPACE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,7 +53,7 @@ class Memo:
         return out
 
 
-def portions(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 3 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """A batch in slices of bounded text (one longer text alone): few texts at a time become arrays."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
@@ -97,7 +99,10 @@ class UnitTable:
         slot[used] = np.arange(len(used))
         at = slot[where]
         at[begins] = len(used) + place
-        found = self.make([" " + u for u in values.take(pa.array(used)).to_pylist()] + values.take(pa.array(firsts)).to_pylist())
+        found = []
+        for kind, lead in ((used, " "), (firsts, "")):
+            for low in range(0, len(kind), UNITS_AT_ONCE):  # few units at a time become Python objects
+                found += self.make([lead + u for u in values.take(pa.array(kind[low : low + UNITS_AT_ONCE])).to_pylist()])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         lengths = sizes[at]
         ends = np.cumsum(lengths)
