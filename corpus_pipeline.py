@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm import langid, secrets
 from lorewell.llm.bpe import bpe_encode
-from lorewell.llm.common import table, row_key, work_path
+from lorewell.llm.common import table, text_key, work_path
 from lorewell.llm.decontam import find_leaks
 from lorewell.llm.near_dedup import near_duplicates
 
@@ -20,9 +20,9 @@ LEAST_SCORE = 0.3
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents that aren't among some rows (row_key): another text of the same id, or of a null one, stays."""
-    gone = rows.select(F.col("row_key").alias("gone_key")).distinct()
-    return docs.join(gone, row_key() == gone["gone_key"], "left_anti")
+    """The documents that aren't among some rows (doc_id, text_key): another text of the same id, or of a null one, stays."""
+    gone = rows.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(gone["gone_id"]) & (text_key() == gone["gone_key"]), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
