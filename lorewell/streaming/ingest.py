@@ -20,8 +20,11 @@ TAIL = 3
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, in a temporary one where none is set."""
+    """A new path in the cluster's shared folder, in a temporary one where none is set in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{base or 'file://' + tempfile.gettempdir()}/lorewell-stream/{name}-{uuid.uuid4().hex}"
 
 
