@@ -23,6 +23,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.withColumn("intent", F.expr(relational.intent(Spark(), "lower(query)")))
 
 
+def large_file_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): documents over 5,000 characters as large files, by an excerpt, else where they come from."""
+    excerpt = F.coalesce(F.nullif(F.substring("text", 1, 120), F.lit("")), "source", F.lit("large file"))
+    return documents.where("n_chars > 5000").select("doc_id", excerpt.alias("text"))
+
+
 def large_files(queries: DataFrame, files: DataFrame) -> DataFrame:
     """The best large files of each query: query_id, doc_id, text, lexical_score, semantic_score; files: doc_id, text.
 
@@ -61,7 +67,7 @@ def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     promoted = lane("l04_promoted_lane").withColumnRenamed("fact_id", "doc_id").join(docs, "doc_id").join(queries.select("query_id", "intent"), "query_id")
     likely = F.when(F.col("intent").isin("memory_summary", "planning"), 0.45).otherwise(0.25)
     parts.append(promoted.select("query_id", F.lit("promoted").alias("lane"), F.concat(F.lit("promoted:"), F.col("doc_id").cast("string")).alias("id"), F.lit("promoted_fact").alias("memory_type"), "text", "lexical_score", likely.alias("semantic_score"), "trust_score"))
-    files = large_files(queries, lane("l06_large_file_lane").select("doc_id", F.col("excerpt").alias("text")))
+    files = large_files(queries, large_file_texts(read(spark, sf_dir, "documents")))
     parts.append(files.select("query_id", F.lit("large_file").alias("lane"), F.concat(F.lit("large_file:"), F.col("doc_id").cast("string")).alias("id"), F.lit("large_file_excerpt").alias("memory_type"), "text", "lexical_score", "semantic_score", F.lit(0.72).alias("trust_score")))
     out = parts[0]
     for p in parts[1:]:

@@ -207,14 +207,6 @@ def u09_architecture_injection(d):
     return f"WITH {ASKED}, {routed(d)} SELECT query_id, concat('arch:', CAST(n AS STRING)) AS candidate FROM routed CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) x WHERE intent = 'architecture_explanation'"
 
 
-@plan
-def u10_hybrid_retrieval(d):
-    """Vector and lexical hits, the best of each chunk, at most two web hits among a query's, and whether to augment."""
-    hits = f"{queries_cte(d)}, qt AS (SELECT query_id, {d.explode(tokens(d, 'query'))} AS tok FROM queries), dt AS (SELECT doc_id, lang, {d.explode(tokens(d, 'text'))} AS tok FROM documents), h AS (SELECT query_id, doc_id, max(lang) AS lang, CAST(count(*) AS DOUBLE) AS score FROM qt JOIN dt ON qt.tok = dt.tok GROUP BY query_id, doc_id)"
-    vectors = "v AS (SELECT label AS query_id, vec_id AS doc_id, 'vec' AS lang, CAST(0.5 AS DOUBLE) AS score FROM embeddings)"
-    return f"WITH {hits}, {vectors}, u AS (SELECT * FROM h UNION ALL SELECT * FROM v), b AS (SELECT query_id, doc_id, max(score) AS score, max(lang) AS lang FROM u GROUP BY query_id, doc_id), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS place FROM b), w AS (SELECT *, CAST(sum(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS web FROM o WHERE place <= 20) SELECT query_id, doc_id, score, place, max(score) OVER (PARTITION BY query_id) < 3 AS augment FROM w WHERE lang <> 'fr' OR web <= 2"
-
-
 @plan
 def u12_hit_to_candidate(d):
     return f"SELECT doc_id, concat('corpus:', CAST(doc_id AS STRING)) AS id, {token_estimate(d, 'text')} AS tokens, TRUE AS compressible FROM documents"

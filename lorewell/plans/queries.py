@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell.functions.dialect import Duck, Spark
 from lorewell.sources.tables import register
 
-from . import context, memory, relational
+from . import context, memory, relational, retrieval
 
 PLANS = relational.PLANS | memory.PLANS
 
@@ -20,5 +20,5 @@ def run_plan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PLANS[name](Spark()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in PLANS} | context.QUERIES
-ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in PLANS.items()} | context.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in PLANS} | context.QUERIES | retrieval.QUERIES
+ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in PLANS.items()} | context.ORACLE_SQL | retrieval.ORACLE_SQL

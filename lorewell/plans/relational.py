@@ -624,11 +624,6 @@ def l05_corpus_lane(d):
     return f"WITH {q}, h AS (SELECT query_id, doc_id, round({overlap('count(*)', 'max(nq)')}, 6) AS score FROM qe JOIN de ON qe.tok = de.tok GROUP BY query_id, doc_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rn FROM h) SELECT query_id, doc_id, score AS lexical_score, greatest(CAST(0.2 AS DOUBLE), score) AS semantic_score FROM r WHERE rn <= 8"
 
 
-@plan
-def l06_large_file_lane(d):
-    return f"SELECT doc_id, coalesce(nullif(substr(text, 1, 120), ''), source, 'large file') AS excerpt, {token_estimate(d, 'text')} AS tokens FROM documents WHERE n_chars > 5000"
-
-
 @plan
 def l09_bm25(d):
     """Okapi BM25 with k1 1.5, b 0.75; a negative idf counts as a quarter of the mean idf."""
@@ -647,14 +642,6 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, doc_id, score FROM r WHERE rn <= 5"""
 
 
-@plan
-def l10_vector_lane(d):
-    """Cosine of every twentieth vector with all of its label."""
-    dot = "aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * y), CAST(0 AS DOUBLE), (s, x) -> s + x)" if d.name == "spark" else "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2]))"
-    norm = lambda e: f"sqrt(aggregate({e}, CAST(0 AS DOUBLE), (s, x) -> s + CAST(x AS DOUBLE) * x))" if d.name == "spark" else f"sqrt(list_sum(list_transform({e}, lambda x: CAST(x AS DOUBLE) * x)))"
-    return f"WITH v AS (SELECT vec_id, label, embedding, {norm('embedding')} AS n FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round({dot} / (a.n * b.n), 5) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS rn FROM s) SELECT query_id, vec_id, score FROM r WHERE rn <= 5"
-
-
 @plan
 def l11_lexical_store(d):
     return f"WITH {scored(d)}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, session_id, message_id) AS BIGINT) AS rn FROM hits) SELECT query_id, session_id, message_id, shared AS score FROM r WHERE rn <= 5"
@@ -670,16 +657,6 @@ def l14_episodic_like(d):
     return f"WITH {MESSAGES} SELECT session_id, message_id, CAST(1.0 AS DOUBLE) AS score FROM messages WHERE lower(text) LIKE '%with the%'"
 
 
-@plan
-def l16_skill_ranking(d):
-    return f"WITH {CASES} SELECT case_id, round(CASE artifact WHEN 'purchase' THEN 12 WHEN 'click' THEN 8 ELSE 4 END + 10 * least(1.0, value / 100.0) + CASE WHEN success = 1 THEN 6 ELSE 0 END - CASE WHEN artifact = 'view' THEN 8 ELSE 0 END, 6) AS rank_score FROM cases"
-
-
-@plan
-def l18_similar_cases(d):
-    return f"WITH {CASES}, s AS (SELECT a.case_id AS case_a, b.case_id AS case_b, 6 * CASE WHEN a.artifact = b.artifact THEN 1 ELSE 0 END + 1.5 * b.success AS score FROM cases a JOIN cases b ON a.user_id = b.user_id AND a.case_id <> b.case_id WHERE a.case_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_a ORDER BY score DESC, case_b) AS BIGINT) AS rn FROM s WHERE score > 0) SELECT case_a, case_b, round(CAST(score AS DOUBLE), 6) AS score FROM r WHERE rn <= 5"
-
-
 @plan
 def l19_best_and_weak(d):
     return f"WITH {CASES}, r AS (SELECT user_id, case_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, case_id) AS BIGINT) AS best, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, case_id) AS BIGINT) AS weak FROM cases) SELECT user_id, case_id, best <= 2 AS is_best, weak <= 2 AS is_weak FROM r WHERE best <= 2 OR weak <= 2"
