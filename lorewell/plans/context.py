@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import lexicons as lx
 from lorewell.functions.dialect import Spark
-from lorewell.operators import chunk, discovery, fold, rank, select
+from lorewell.operators import chunk, discovery, fold, lanes, rank, select
 from lorewell.sources.tables import read, register
 from lorewell.streaming import ingest
 
 from . import relational
 
-#: Hits of the large-file lane for a query; the lane fills them up with files that share no word.
-LARGE_FILES = 6
+#: Hits of a lane for a query; both lanes fill them up with rows that share no word.
+CORPUS_HITS, LARGE_FILES = 8, 6
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,52 +29,41 @@ def large_file_texts(documents: DataFrame) -> DataFrame:
     return documents.where("n_chars > 5000").select("doc_id", excerpt.alias("text"))
 
 
-def large_files(queries: DataFrame, files: DataFrame) -> DataFrame:
-    """The best large files of each query: query_id, doc_id, text, lexical_score, semantic_score; files: doc_id, text.
-
-    Words meet by an equi-join.  All files are candidates: of those without a common word, equal in score, the first
-    by id can follow, and no more than twice LARGE_FILES of them are ever needed."""
-    name = F.concat(F.lit("large_file:"), F.col("doc_id").cast("string"))
-    files = files.withColumn("name", name)
-    q = queries.select("query_id", F.explode(rank.words(F.col("query"))).alias("word"), F.size(rank.words(F.col("query"))).alias("n"))
-    w = files.select("doc_id", F.explode(rank.words(F.col("text"))).alias("word"))
-    hits = q.join(w, "word").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("lexical_score")).withColumn("name", name)
-    hits = rank.top_k(hits, ["query_id"], [F.col("lexical_score").desc(), F.col("name")], LARGE_FILES)
-    first = files.orderBy("name").limit(2 * LARGE_FILES).select("doc_id", "name")
-    rest = queries.select("query_id").crossJoin(F.broadcast(first)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("lexical_score", F.lit(0.0))
-    both = hits.select("query_id", "doc_id", "lexical_score", "name").unionByName(rest).withColumn("semantic_score", F.greatest(F.lit(0.2), "lexical_score"))
-    best = rank.top_k(both, ["query_id"], [(F.col("semantic_score") + F.col("lexical_score")).desc(), F.col("name")], LARGE_FILES)
-    return best.join(files.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "text", "lexical_score", "semantic_score")
-
-
 def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the lanes that each query's intent is routed to, as one table.
+    """Hits of the lanes that each query's intent is routed to, as one table; a query is asked in the session of its id.
 
     Each lane is cut to its best few before it is joined with texts again."""
     register(spark, sf_dir)
     lane = lambda name: spark.sql(relational.PLANS[name](Spark()))
-    texts = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "text")
-    parts = []
-    for name, kind in (("lexical", "l01_lexical_lane"), ("semantic", "l02_semantic_lane"), ("episodic", "l03_episodic_lane")):
-        rows = lane(kind)
-        trust = F.col("trust_score") if "trust_score" in rows.columns else F.lit(0.6)
-        ident = F.concat_ws(":", F.lit(name), F.col("session_id").cast("string"), F.col("message_id").cast("string"))
-        parts.append(rows.join(texts, ["session_id", "message_id"]).select("query_id", F.lit(name).alias("lane"), ident.alias("id"), F.lit("message").alias("memory_type"), "text", "lexical_score", "semantic_score", trust.alias("trust_score")))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    corpus = lane("l05_corpus_lane").join(docs, "doc_id")
-    parts.append(corpus.select("query_id", F.lit("corpus").alias("lane"), F.concat(F.lit("corpus:"), F.col("doc_id").cast("string")).alias("id"), F.lit("corpus_chunk").alias("memory_type"), "text", "lexical_score", "semantic_score", F.lit(0.7).alias("trust_score")))
     queries = asked(spark, sf_dir)
-    promoted = lane("l04_promoted_lane").withColumnRenamed("fact_id", "doc_id").join(docs, "doc_id").join(queries.select("query_id", "intent"), "query_id")
+    messages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "text")
+    docs = read(spark, sf_dir, "documents")
+    signals = ("recency_score", "freshness_score", "novelty_score")
+    scores = ("lexical_score", "semantic_score", "trust_score", *signals)
+
+    def hits(rows: DataFrame, name: str, kind: str, key: list[str], **fixed: float) -> DataFrame:
+        """One shape for all lanes; a signal that a lane doesn't know is 0."""
+        ident = F.concat_ws(":", F.col("lane") if name == "" else F.lit(name), *(F.col(c).cast("string") for c in key))
+        known = [F.col(c) if c in rows.columns else F.lit(fixed.get(c, 0.6 if c == "trust_score" else 0.0)).alias(c) for c in scores]
+        must = F.col("must_include") if "must_include" in rows.columns else F.lit(False).alias("must_include")
+        return rows.select("query_id", F.col("lane") if name == "" else F.lit(name).alias("lane"), ident.alias("id"), F.lit(kind).alias("memory_type"), "text", *known, must)
+
+    sessions = queries.withColumn("session_id", F.col("query_id"))
+    parts = [hits(lanes.episodic_lane(sessions, messages), "", "episodic_raw", ["session_id", "message_id"])]
+    for name, plan in (("lexical", "l01_lexical_lane"), ("semantic", "l02_semantic_lane")):
+        parts.append(hits(lane(plan).join(messages, ["session_id", "message_id"]), name, "message", ["session_id", "message_id"]))
+    parts.append(hits(lanes.overlap_lane(queries, docs.select("doc_id", "text"), "corpus:", CORPUS_HITS), "corpus", "corpus_chunk", ["doc_id"], **lanes.CORPUS))
+    promoted = lane("l04_promoted_lane").withColumnRenamed("fact_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "intent"), "query_id")
     likely = F.when(F.col("intent").isin("memory_summary", "planning"), 0.45).otherwise(0.25)
-    parts.append(promoted.select("query_id", F.lit("promoted").alias("lane"), F.concat(F.lit("promoted:"), F.col("doc_id").cast("string")).alias("id"), F.lit("promoted_fact").alias("memory_type"), "text", "lexical_score", likely.alias("semantic_score"), "trust_score"))
-    files = large_files(queries, large_file_texts(read(spark, sf_dir, "documents")))
-    parts.append(files.select("query_id", F.lit("large_file").alias("lane"), F.concat(F.lit("large_file:"), F.col("doc_id").cast("string")).alias("id"), F.lit("large_file_excerpt").alias("memory_type"), "text", "lexical_score", "semantic_score", F.lit(0.72).alias("trust_score")))
+    parts.append(hits(promoted.withColumn("semantic_score", likely), "promoted", "promoted_fact", ["doc_id"]))
+    parts.append(hits(lanes.overlap_lane(queries, large_file_texts(docs), "large_file:", LARGE_FILES), "large_file", "large_file_excerpt", ["doc_id"], **lanes.LARGE_FILE))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     index = F.lit(0)
-    for name, lanes in lx.LANES.items():
-        index = F.when(F.col("intent") == name, F.array_position(F.array(*map(F.lit, lanes)), F.col("lane"))).otherwise(index)
+    route = F.when(F.col("lane") == "fresh_tail", "episodic").otherwise(F.col("lane"))
+    for name, routed in lx.LANES.items():
+        index = F.when(F.col("intent") == name, F.array_position(F.array(*map(F.lit, routed)), route)).otherwise(index)
     out = out.join(queries, "query_id").withColumn("lane_index", index - 1).where("lane_index >= 0")
     cluster = F.concat(F.lit("cl:"), F.substring(F.sha1(F.concat_ws("|", "lane", "memory_type", F.substring("text", 1, 24))), 1, 10))
     tokens = F.greatest(F.lit(1), F.floor((F.length("text") + 3) / 4)).cast("int")
@@ -87,9 +76,9 @@ def u08_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c02_assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rank.rerank(lane_hits(spark, sf_dir)).withColumn("ord", F.col("place"))
-    zero = [F.lit(0.0).alias(c) for c in ("recency_score", "freshness_score", "novelty_score", "contradiction_risk")]
+    zero = [F.lit(0.0).alias("contradiction_risk")]
     none = [F.lit(None).cast("string").alias(c) for c in ("claim_key", "claim_value")]
-    hits = hits.select("query_id", "ord", "id", "lane", "memory_type", "text", "tokens", "lexical_score", "semantic_score", "trust_score", "cluster_id", "intent", *zero, *none, F.lit(False).alias("must_include"), F.lit(True).alias("compressible"), F.lit(True).alias("has_provenance"))
+    hits = hits.select("query_id", "ord", "id", "lane", "memory_type", "text", "tokens", "lexical_score", "semantic_score", "trust_score", "recency_score", "freshness_score", "novelty_score", "cluster_id", "intent", *zero, *none, "must_include", (~F.col("must_include")).alias("compressible"), F.lit(True).alias("has_provenance"))
     out = None
     for intent in sorted(r["intent"] for r in asked(spark, sf_dir).select("intent").distinct().collect()):
         chosen = select.select_context(hits.where(F.col("intent") == intent).drop("intent"), intent)

@@ -606,11 +606,6 @@ def l02_semantic_lane(d):
     return f"WITH {scored(d)}, {sizes}, s AS (SELECT h.query_id, h.session_id, h.message_id, round(CAST(h.shared AS DOUBLE) / (h.nq + z.nm - h.shared), 6) AS semantic_score FROM hits h JOIN sizes z ON h.session_id = z.session_id AND h.message_id = z.message_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, session_id, message_id) AS BIGINT) AS rn FROM s) SELECT query_id, session_id, message_id, semantic_score, round(greatest(0.0, semantic_score - 0.05), 6) AS lexical_score FROM r WHERE rn <= 8"
 
 
-@plan
-def l03_episodic_lane(d):
-    return f"WITH {scored(d)}, s AS (SELECT query_id, session_id, message_id, {overlap('shared', 'nq')} AS o, CAST(row_number() OVER (PARTITION BY query_id ORDER BY session_id DESC, message_id DESC) AS BIGINT) AS age FROM hits) SELECT query_id, session_id, message_id, round(CASE WHEN age <= 8 THEN least(1.0, 0.3 + o) ELSE 0.2 + o END, 6) AS lexical_score, round(CASE WHEN age <= 8 THEN least(1.0, 0.4 + 0.8 * o) ELSE 0.3 + 0.7 * o END, 6) AS semantic_score FROM s WHERE age <= 16"
-
-
 @plan
 def l04_promoted_lane(d):
     """Query tokens found among a fact's tokens, through an inverted index; confidence counts as trust."""
@@ -618,12 +613,6 @@ def l04_promoted_lane(d):
     return f"WITH {FACTS}, {q}, s AS (SELECT query_id, fact_id, max(confidence) AS confidence, count(*) AS hits FROM qe JOIN fe ON qe.tok = fe.tok GROUP BY query_id, fact_id), r AS (SELECT query_id, fact_id, round(CAST(0.2 + least(0.6, 0.08 * hits) AS DOUBLE), 6) AS lexical_score, round(CAST(least(1.0, confidence) AS DOUBLE), 6) AS trust_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, fact_id) AS BIGINT) AS rn FROM s) SELECT query_id, fact_id, lexical_score, trust_score FROM r WHERE rn <= 8"
 
 
-@plan
-def l05_corpus_lane(d):
-    q = f"{queries_cte(d)}, qt AS (SELECT query_id, {tokens(d, 'query')} AS toks FROM queries), qe AS (SELECT query_id, {d.size('toks')} AS nq, {d.explode('toks')} AS tok FROM qt), de AS (SELECT doc_id, {d.explode(tokens(d, 'text'))} AS tok FROM documents)"
-    return f"WITH {q}, h AS (SELECT query_id, doc_id, round({overlap('count(*)', 'max(nq)')}, 6) AS score FROM qe JOIN de ON qe.tok = de.tok GROUP BY query_id, doc_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rn FROM h) SELECT query_id, doc_id, score AS lexical_score, greatest(CAST(0.2 AS DOUBLE), score) AS semantic_score FROM r WHERE rn <= 8"
-
-
 @plan
 def l09_bm25(d):
     """Okapi BM25 with k1 1.5, b 0.75; a negative idf counts as a quarter of the mean idf."""

@@ -1,19 +1,35 @@
-"""Searches over all rows (L06, L10, L16, L18, U10).  The checking SQL is written by hand, pair by pair."""
+"""Searches over all rows (L03, L05, L06, L10, L16, L18, U10).  The checking SQL is written by hand, pair by pair."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.operators import nearest, rank
+from lorewell.operators import lanes, nearest, rank
 from lorewell.sources.tables import read
 
 from . import context
 
+#: Messages that must be included, and all of a query's episodes: few, as the conversations here are short.
+TAIL, EPISODES = 3, 6
+
+
+def l03_episodic_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item is asked in the conversation of its id."""
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("session_id"), F.col("text").alias("query"))
+    messages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "text")
+    rounded = [F.round(c, 6).alias(c) for c in ("lexical_score", "semantic_score", "recency_score")]
+    return lanes.episodic_lane(queries, messages, TAIL, EPISODES).select("query_id", "session_id", "message_id", "lane", *rounded, "must_include", "place")
+
+
+def l05_corpus_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lanes.overlap_lane(context.asked(spark, sf_dir), read(spark, sf_dir, "documents").select("doc_id", "text"), "corpus:", context.CORPUS_HITS)
+    return rows.select("query_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), F.round("semantic_score", 6).alias("semantic_score"))
+
 
 def l06_large_file_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = context.large_file_texts(read(spark, sf_dir, "documents"))
-    return context.large_files(context.asked(spark, sf_dir), files).select("query_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), F.round("semantic_score", 6).alias("semantic_score"))
+    return lanes.overlap_lane(context.asked(spark, sf_dir), files, "large_file:", context.LARGE_FILES).select("query_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), F.round("semantic_score", 6).alias("semantic_score"))
 
 
 def l10_vector_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +74,26 @@ def u10_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.hybrid(lexical, found, 20)
 
 
-QUERIES = {f.__name__: f for f in (l06_large_file_lane, l10_vector_lane, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
+QUERIES = {f.__name__: f for f in (l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
 
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''))"
 _COSINES = "SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
 
 ORACLE_SQL = {
+    "l03_episodic_lane": f"""
+WITH m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+r AS (SELECT *, back <= 3 AS must, CASE WHEN back <= 3 THEN 1 - (back - 1) / CAST(least(n, 3) AS DOUBLE) ELSE greatest(0.05, 1 - (back - 3) / CAST(n - 2 AS DOUBLE)) END AS rec FROM m WHERE text <> ''),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY must DESC, CASE WHEN must THEN -back END, rec DESC, 'episodic:' || conv_id || ':' || turn) AS place FROM r),
+q AS (SELECT item_id, {_WORDS.format('text')} AS qw FROM benchmark),
+s AS (SELECT p.*, item_id, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, {_WORDS.format('p.text')})) / CAST(len(qw) AS DOUBLE) ELSE 0 END AS o FROM p JOIN q ON item_id = conv_id WHERE place <= 6)
+SELECT item_id AS query_id, conv_id AS session_id, turn AS message_id, CASE WHEN must THEN 'fresh_tail' ELSE 'episodic' END AS lane, round(least(1.0, CASE WHEN must THEN 0.3 ELSE 0.2 END + o), 6) AS lexical_score,
+ round(least(1.0, CASE WHEN must THEN 0.4 + 0.8 * o ELSE 0.3 + 0.7 * o END), 6) AS semantic_score, round(rec, 6) AS recency_score, must AS must_include, place FROM s""",
+    "l05_corpus_lane": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text <> ''), q AS (SELECT item_id AS query_id, {_WORDS.format('text')} AS qw FROM benchmark),
+s AS (SELECT query_id, doc_id, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, w)) / CAST(len(qw) AS DOUBLE) ELSE 0 END AS o FROM q, d)
+SELECT query_id, doc_id, round(o, 6) AS lexical_score, round(greatest(0.2, o), 6) AS semantic_score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o + greatest(0.2, o) DESC, 'corpus:' || doc_id) <= 8""",
     "l06_large_file_lane": f"""
 WITH f AS (SELECT doc_id, coalesce(nullif(substr(text, 1, 120), ''), source, 'large file') AS t FROM documents WHERE n_chars > 5000),
 q AS (SELECT item_id AS query_id, {_WORDS.format('text')} AS qw FROM benchmark),

@@ -165,3 +165,33 @@ def test_file_sources(spark, tmp_path):
     assert set(got) == {"txt", "md"} and got["txt"].startswith("doc_2cf24dba5fb0a30e")
     log = {r["message_id"]: (r["session_id"], r["index"]) for r in tables.load_session_json(spark, f"{tmp_path}/raw_s1.json").collect()}
     assert log == {"m1": ("s1", 0), "m0": ("s1", 7)}
+
+
+def test_episodic_lane_fills_up_with_older_messages(spark):
+    from lorewell.operators import lanes
+
+    texts = ["a", None, "b c", "", "c", "d", "e"]
+    m = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "a")], "session_id long, message_id long, text string")
+    q = spark.createDataFrame([(7, 1, "C x"), (8, 1, None), (9, 3, "a")], "query_id long, session_id long, query string")
+    got = lanes.episodic_lane(q, m, tail=2, k=4).orderBy("query_id", "place").collect()
+    assert [(r["query_id"], r["message_id"], r["lane"]) for r in got] == [(i, n, "fresh_tail" if n > 4 else "episodic") for i in (7, 8) for n in (5, 6, 4, 2)]
+    assert [r["lexical_score"] for r in got] == [0.3, 0.3, 0.7, 0.7, 0.3, 0.3, 0.2, 0.2]
+    assert [round(r["recency_score"], 6) for r in got[:4]] == [0.5, 1.0, round(1 - 1 / 6, 6), round(1 - 3 / 6, 6)]
+
+
+def test_searches_of_all_rows_handle_nulls_ties_and_none(spark):
+    from lorewell.operators import lanes, nearest
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0]), (6, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = v.where("vec_id in (1, 4)").withColumnRenamed("vec_id", "query_id")
+    assert [tuple(r) for r in nearest.nearest_vectors(v, q, 3, block=1).orderBy("score", "vec_id").collect()] == [(1, 3, 0.0), (1, 2, 1.0), (1, 5, 1.0)]
+    assert nearest.nearest_vectors(v, q.limit(0), 3).count() == 0 and nearest.nearest_vectors(v.limit(0), q, 3).count() == 0
+    d = spark.createDataFrame([(1, "b"), (2, None), (3, ""), (4, "A a"), (10, "x")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a z"), (2, None)], "query_id long, query string")
+    got = sorted(tuple(r)[:2] + (r["lexical_score"],) for r in lanes.overlap_lane(asked, d, "d:", 2).collect())
+    assert got == [(1, 1, 0.0), (1, 4, 0.5), (2, 1, 0.0), (2, 10, 0.0)]
+    assert lanes.overlap_lane(asked, d.limit(0), "d:", 2).count() == 0
+    case = "case_id long, blob string, agent_type string, task_type string, channel_type string, language string, artifact_ids array<string>, success boolean"
+    c = spark.createDataFrame([(i, "do x", "a", None, "c", "en", ["p", "q"], i % 2 == 0) for i in range(1, 7)] + [(9, None, None, None, None, None, None, None)], case)
+    r = spark.createDataFrame([(2, "x", "a", "t", "", None, ["p"])], "request_id long, query string, agent_type string, task_type string, channel_type string, language string, artifact_ids array<string>")
+    assert [(x["case_id"], x["score"]) for x in nearest.similar_cases(c, r, 3).orderBy("score", "case_id", ascending=[False, True]).collect()] == [(4, 29.5), (6, 29.5), (1, 28.0)]
