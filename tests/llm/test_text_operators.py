@@ -242,7 +242,7 @@ def test_pii_hostile_texts(spark):
 def test_winnowing(spark, docs):
     rows = sorted(((-(1 << 63) if i is None else i, t or "") for i, t, *_ in fixtures.rows()), reverse=True)
     got = by_id(winnow.edited_likeness(docs).collect())
-    same = {}
+    same, prints, following = {}, {}, []
     for n, (i, text) in enumerate(rows):
         after = rows[(n + 1) % len(rows)][1]
         half = len(text) // 2
@@ -251,6 +251,14 @@ def test_winnowing(spark, docs):
         assert hashlib.sha256(edited.encode()).hexdigest() in [r["edited_sha256"] for r in mine]
         assert all(r["n_chars"] == len(text) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in mine)
         assert same.setdefault(text, mine[0]["fingerprint"]) == mine[0]["fingerprint"]
+        told = lambda f: {w.split(":")[1] for w in f.split(",") if w}
+        share = lambda f, g: len(told(f) & told(g)) / len(told(f) | told(g)) if told(f) | told(g) else 1.0
+        prints.setdefault(text, mine[0]["fingerprint"])
+        assert all(abs(r["near_edited"] - share(r["fingerprint"], r["edited_fingerprint"])) < 1e-12 for r in mine)
+        following.append((mine, after, share))
+    for mine, after, share in following:
+        if len(mine) == 1:
+            assert abs(mine[0]["near_next"] - share(mine[0]["fingerprint"], prints[after])) < 1e-12
     assert winnow.edited_likeness(empty(spark)).count() == 0
     one = winnow.edited_likeness(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")).collect()
     assert one[0]["near_next"] == 1.0
@@ -270,9 +278,9 @@ def test_winnowing_chooses_minima_and_keeps_its_guarantee(spark):
     assert set(got[1]["hashes"]) & set(got[2]["hashes"])
     assert got[3]["positions"] == list(range(7, 48))  # all hashes tie: the rightmost of each window
     grams = spark.createDataFrame([(1, a.split(" "))], "doc_id long, w array<string>").select(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(*(F.xxhash64(F.get("w", i + j)) for j in range(3)))).alias("h")).first()["h"]
-    low = [h & ((1 << winnow.HASH_BITS) - 1) for h in grams]
-    want = sorted({max(range(i, i + 8), key=lambda p: (-low[p], p)) for i in range(len(low) - 7)})
+    want = sorted({max(range(i, i + 8), key=lambda p: (-grams[p], p)) for i in range(len(grams) - 7)})
     assert got[1]["positions"] == want
+    assert got[1]["hashes"] == [grams[p] for p in want]  # whole hashes: no bits go to positions
 
 
 def test_next_over_buckets(spark, monkeypatch):
