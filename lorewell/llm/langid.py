@@ -213,7 +213,8 @@ def fit(docs: DataFrame, most_per_label: int = 300, most_chars: int = 2000, lang
     # The hash is uniform, so a bound on it keeps about as many rows as are wanted before the exact choice.
     counts = own.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * most_per_label + 20) / F.col("n"))
-    likely = own.join(counts, "lang").where(F.col("h") <= -(2.0**63) + share * 2.0**64)
+    # As many rows as the model has labels: broadcast, so that no language's rows are brought together before the bound.
+    likely = own.join(F.broadcast(counts), "lang").where(F.col("h") <= -(2.0**63) + share * 2.0**64)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     rows = sorted(likely.withColumn("place", place).where(F.col("place") <= most_per_label).select("lang", "place", "text").collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
