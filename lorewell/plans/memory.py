@@ -102,12 +102,6 @@ def f18_unit_predicates(d):
     return f"SELECT item_id, {any_of(d, x, ('today', 'right now', 'currently'))} AS ephemeral, {any_of(d, x, ('->', 'then ', 'first'))} AS procedural, {any_of(d, x, (' is ', ' the '))} AS proposition FROM benchmark"
 
 
-@plan
-def f20_subtype_parsers(d):
-    steps = d.filter(d.split("concat(url, ' -> ', source_part)", " -> "), "t", "t <> ''")
-    return f"WITH p AS (SELECT page_id, url, substr(url, 9, 5) AS source_part FROM pages) SELECT page_id, {d.size(steps)} AS steps, {d.at(steps, 2)} AS second_step FROM p"
-
-
 @plan
 def f27_query_variants(d):
     return f"WITH {ASKED} SELECT query_id, {normalised(d, 'query')} AS variant FROM asked UNION SELECT query_id, concat({normalised(d, 'query')}, ' background') FROM asked"
@@ -125,11 +119,6 @@ def f36_curiosity_terms(d):
     return f"SELECT item_id, round(least({D('1')}, CAST({hedges} AS DOUBLE) / greatest(1, {d.idiv(n, '4')})), 6) AS uncertainty, {n} AS terms FROM benchmark"
 
 
-@plan
-def f39_durable_builders(d):
-    return f"SELECT doc_id, CASE WHEN {d.contains('lower(text)', repr('then '))} THEN concat('prescription:', sha1(text)) ELSE concat('proposition:', sha1(text)) END AS unit_key, CASE WHEN {d.contains('lower(text)', repr('then '))} THEN {D('0.8')} ELSE {D('0.7')} END AS confidence FROM documents"
-
-
 @plan
 def f40_evaluation_builder(d):
     return f"WITH {CASES}, o AS (SELECT case_id, least({D('1')}, value / 100.0) AS overall FROM cases) SELECT case_id, round(overall, 6) AS overall, overall >= 0.7 AS passed FROM o"

@@ -660,12 +660,6 @@ def c07_compaction(d):
     return f"{chunk} SELECT session_id, chunk, substr({d.join(d.collect('text', 'seq'), ' ')}, 1, 200) AS summary, {d.join(d.collect('CAST(message_id AS STRING)', 'seq'), ',')} AS lineage, sha1(concat_ws('|', CAST(session_id AS STRING), CAST(chunk AS STRING))) AS segment_id FROM e GROUP BY session_id, chunk"
 
 
-@plan
-def c09_promotion_units(d):
-    unit = canonical(d, "s")
-    return f"WITH {SPOKEN}, s AS (SELECT item_id, {d.explode(d.split('text', SENTENCE_ENDS))} AS s FROM spoken), u AS (SELECT item_id, {unit} AS unit FROM s WHERE length(trim(s)) >= 20) SELECT concat('prom:proposition:', substr(sha1(unit), 1, 16)) AS pattern_id, count(*) AS dedup_count, min(item_id) AS first_item FROM u WHERE unit <> '' GROUP BY unit"
-
-
 @plan
 def c10_exact_reasoning_fold(d):
     return f"WITH p AS (SELECT doc_id, sha1({normalised(d, 'text')}) AS fp, source FROM documents) SELECT fp, min(doc_id) AS pattern_id, count(*) AS reuse_count, {d.join(d.collect_set('source'), ',')} AS provenance FROM p GROUP BY fp"
@@ -676,12 +670,6 @@ def c11_promotion_state(d):
     return f"WITH {FACTS}, e AS (SELECT claim_key, claim_value, count(DISTINCT fact_id) AS evidence, max(confidence) AS confidence, max(quality) AS approved FROM facts GROUP BY claim_key, claim_value), c AS (SELECT claim_key, count(*) - 1 AS conflicts FROM e GROUP BY claim_key) SELECT e.claim_key, e.claim_value, CASE WHEN evidence >= 2 AND confidence >= 0.7 THEN 'trusted' ELSE 'staged' END AS state, CASE WHEN evidence >= 2 AND confidence >= 0.8 AND conflicts = 0 THEN 'global' WHEN confidence >= 0.6 AND conflicts = 0 THEN 'workspace' ELSE 'local' END AS tier FROM e JOIN c ON e.claim_key = c.claim_key"
 
 
-@plan
-def c12_distilled_sentences(d):
-    kind = f"CASE WHEN {d.rlike('s', 'rating|score')} THEN 'rubric' WHEN {d.rlike('s', '^(the|la|die)')} THEN 'template' WHEN {d.contains('s', repr('with'))} THEN 'example' WHEN {d.contains('s', repr('not '))} THEN 'anti_pattern' WHEN {d.contains('s', repr('then '))} THEN 'workflow' ELSE 'principle' END"
-    return f"WITH s AS (SELECT doc_id, {d.explode(d.split('lower(text)', SENTENCE_ENDS))} AS s FROM documents), t AS (SELECT doc_id, trim(s) AS s FROM s WHERE length(trim(s)) >= 20) SELECT doc_id, {kind} AS kind, count(*) AS n FROM t GROUP BY doc_id, {kind}"
-
-
 @plan
 def c14_graph_recorders(d):
     return "SELECT DISTINCT concat('document:', source) AS source_node, 'DERIVED_FROM' AS relation, concat('lang:', lang) AS target_node FROM documents UNION ALL SELECT DISTINCT concat('user:', CAST(user_id AS STRING)), 'RESOLVED_BY', concat('artifact:', event_type) FROM events WHERE event_type <> 'error'"
