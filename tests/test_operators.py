@@ -195,3 +195,29 @@ def test_searches_of_all_rows_handle_nulls_ties_and_none(spark):
     c = spark.createDataFrame([(i, "do x", "a", None, "c", "en", ["p", "q"], i % 2 == 0) for i in range(1, 7)] + [(9, None, None, None, None, None, None, None)], case)
     r = spark.createDataFrame([(2, "x", "a", "t", "", None, ["p"])], "request_id long, query string, agent_type string, task_type string, channel_type string, language string, artifact_ids array<string>")
     assert [(x["case_id"], x["score"]) for x in nearest.similar_cases(c, r, 3).orderBy("score", "case_id", ascending=[False, True]).collect()] == [(4, 29.5), (6, 29.5), (1, 28.0)]
+
+
+def test_distilled_notes(spark):
+    from lorewell.operators import distil
+
+    rows = [(1, "craft", "Use {Hook} and {body}. Example after: done!\nAvoid this -> now"), (2, "content", "Always a rule."), (3, None, "No cue here"), (4, "craft", None), (5, "craft", " \n "), (1, "craft", "Score: a; b")]
+    found = distil.detailed(distil.distilled(spark.createDataFrame(rows, "ref long, source_kind string, text string"))).collect()
+    kinds = sorted((r["ref"], r["artifact_type"], r["namespace"]) for r in found)
+    assert kinds == [(1, "anti_pattern", "craft_antipatterns"), (1, "example", "craft_examples"), (1, "raw_chunk", "craft_raw"), (1, "raw_chunk", "craft_raw"), (1, "rubric", "craft_rubrics"), (1, "template", "craft_templates"), (2, "raw_chunk", "content_books_raw"), (3, "raw_chunk", "craft_raw")]
+    by_type = {r["artifact_type"]: r for r in found}
+    assert by_type["template"]["slots"] == ["hook"] and by_type["template"]["steps"] is None  # "{body}." ends with a stop
+    assert by_type["rubric"]["criteria"] == ["Score: a", "b"] and by_type["rubric"]["scale"] == "unspecified"
+    assert by_type["example"]["verdict"] == "good"
+
+
+def test_promoted_summaries(spark):
+    from lorewell.operators import promote
+
+    rows = [(1, 0, "The user said that user prefers tea. Run the tests then ship"), (1, 1, "User prefers tea"), (1, 2, "For today only. Plain fact"), (2, 0, "Plain fact\nSecond"), (2, 1, None), (2, 2, "  ")]
+    found = promote.promoted_patterns(spark.createDataFrame(rows, "session_id long, chunk_index long, text string")).collect()
+    got = {(r["session_id"], r["canonical_text"]): (r["kind"], r["memory_subtype"], round(r["confidence"], 6), r["dedup_count"], r["sources"]) for r in found}
+    assert got == {
+        (1, "user prefers tea"): ("proposition", "profile_preference", 0.76, 2, [0, 1]),
+        (1, "run the tests then ship"): ("prescription", "workflow_pattern", 0.85, 1, [0]),
+        (2, "plain fact"): ("proposition", "stable_fact", 0.7, 1, [0]),
+    }
