@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters over whole tables, and their SQL where SQL can express them."""
+"""The queries of the operators, with production parameters over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .decontam import find_leaks
 from .langid import language_report
 from .near_dedup import near_duplicates
 from .pii import pii_report
+from .piece_bpe import piece_encode
 from .secrets import secret_report
 from .urlfilter import judge_urls
 from .warc import archived
@@ -61,6 +62,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    return piece_encode(table(spark, sf_dir, "documents"), tok.path("piece_bpe_32k.model"), output="digests")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -72,6 +79,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_ids": op9_token_ids,
     "op10_secret_scan": op10_secret_scan,
+    "op11_piece_bpe": op11_piece_bpe,
 }
 
 #: Near-duplicates by all shared shingles and reachability; the other operators' results SQL can't express.

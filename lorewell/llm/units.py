@@ -69,15 +69,16 @@ class UnitTable:
 
     make(units): ids of units, as little-endian unsigned 32-bit integers; each unit begins with its space, but for a
     text's first one.  whole(text): ids of a text that can't be cut.  whole_if: texts that hold one of these stay whole.
+    mark: the space; irregular: a pattern of texts that can't be cut before each mark.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], whole_if: tuple[str, ...] = (), cuts: bool = True):
-        self.make, self.whole, self.whole_if, self.cuts = make, whole, whole_if, cuts
+    def __init__(self, make: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], whole_if: tuple[str, ...] = (), cuts: bool = True, mark: str = " ", irregular: str = _IRREGULAR):
+        self.make, self.whole, self.whole_if, self.cuts, self.mark, self.irregular = make, whole, whole_if, cuts, mark, irregular
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (none is null)."""
         out: list[bytes] = [b""] * len(texts)
-        irregular = pc.match_substring_regex(texts, _IRREGULAR) if self.cuts else pa.array(np.ones(len(texts), bool))
+        irregular = pc.match_substring_regex(texts, self.irregular) if self.cuts else pa.array(np.ones(len(texts), bool))
         for s in self.whole_if:
             irregular = pc.or_(irregular, pc.match_substring(texts, s))
         irregular = irregular.to_numpy(zero_copy_only=False)
@@ -87,7 +88,7 @@ class UnitTable:
         regular = np.flatnonzero(~irregular)
         if not len(regular):
             return out
-        lists = pc.split_pattern(texts.take(pa.array(regular)) if len(regular) < len(texts) else texts, " ")
+        lists = pc.split_pattern(texts.take(pa.array(regular)) if len(regular) < len(texts) else texts, self.mark)
         begins = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         where, values = coded.indices.to_numpy(), coded.dictionary
@@ -100,7 +101,7 @@ class UnitTable:
         at = slot[where]
         at[begins] = len(used) + place
         found = []
-        for kind, lead in ((used, " "), (firsts, "")):
+        for kind, lead in ((used, self.mark), (firsts, "")):
             for low in range(0, len(kind), UNITS_AT_ONCE):  # few units at a time become Python objects
                 found += self.make([lead + u for u in values.take(pa.array(kind[low : low + UNITS_AT_ONCE])).to_pylist()])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
