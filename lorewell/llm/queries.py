@@ -9,6 +9,7 @@ from .common import table
 from .dac import token_ids
 from .decontam import find_leaks
 from .langid import language_report
+from .merkle import verified_rows
 from .near_dedup import near_duplicates
 from .pii import pii_report
 from .piece_bpe import piece_encode
@@ -68,6 +69,10 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(table(spark, sf_dir, "documents"), tok.path("piece_bpe_32k.model"), output="digests")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_secret_scan": op10_secret_scan,
     "op11_piece_bpe": op11_piece_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Near-duplicates by all shared shingles and reachability; the other operators' results SQL can't express.
@@ -106,4 +112,52 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.co
 FROM documents d JOIN least l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_near_dedup": NEAR_DEDUP_SQL}
+#: A table of crc32's 256 steps, for the unsigned crc32 of a decimal number.
+_CRC_TABLE = """crc_steps(i, k, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+
+
+def _crc32(number: str) -> str:
+    """SQL of the crc32 of a number's decimal digits, where crc_table is joined."""
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+#: Every level of both trees by grouping, proofs and folds by joining a leaf with its parents of all levels.
+MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT doc_id, coalesce(':' || source, '-') AS tree, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    CASE WHEN {_crc32("doc_id")} % 5 = 0 AND text IS NOT NULL THEN sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")))}) END AS changed
+  FROM documents, crc_table
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+up(tree, lvl, pos, pre, n) AS (
+  SELECT tree, 1, pos // 16, string_agg(leaf, '' ORDER BY pos), count(*) FROM placed GROUP BY tree, pos // 16
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 16, string_agg(sha256(pre), '' ORDER BY pos), count(*) FROM up WHERE NOT (pos = 0 AND n = 1) GROUP BY tree, lvl, pos // 16
+), subroots AS (SELECT tree, pre AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM up WHERE pos = 0 AND n = 1),
+top(lvl, pos, pre, n) AS (
+  SELECT 1, place // 16, string_agg(subroot, '' ORDER BY place), count(*) FROM subroots GROUP BY place // 16
+  UNION ALL
+  SELECT lvl + 1, pos // 16, string_agg(sha256(pre), '' ORDER BY pos), count(*) FROM top WHERE NOT (pos = 0 AND n = 1) GROUP BY lvl, pos // 16
+), entries AS (
+  SELECT p.tree, p.pos, u.lvl, u.pre, (p.pos // power(16, u.lvl - 1)::BIGINT % 16)::INT AS slot
+  FROM placed p JOIN up u ON u.tree = p.tree AND u.pos = p.pos // power(16, u.lvl)::BIGINT AND NOT (u.pos = 0 AND u.n = 1)
+  UNION ALL
+  SELECT p.tree, p.pos, 1000 + t.lvl, t.pre, (s.place // power(16, t.lvl - 1)::BIGINT % 16)::INT
+  FROM placed p JOIN subroots s ON s.tree = p.tree JOIN top t ON t.pos = s.place // power(16, t.lvl)::BIGINT AND NOT (t.pos = 0 AND t.n = 1)
+), paths AS (
+  SELECT tree, pos, string_agg(pre[1 : 64 * slot] || pre[64 * slot + 65 :], '' ORDER BY lvl) AS others, list(lpad(slot::VARCHAR, 2, '0') || pre ORDER BY lvl) AS steps
+  FROM entries GROUP BY tree, pos
+), proofs AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT pre FROM top WHERE pos = 0 AND n = 1) AS root, sha256(coalesce(h.others, '')) AS proof_sha256,
+    list_reduce([coalesce(p.changed, p.leaf)] || coalesce(h.steps, []), lambda h, e: sha256(e[3 : 2 + 64 * e[1 : 2]::INT] || h || e[3 + 64 * e[1 : 2]::INT + 64 :])) AS folded_root
+  FROM placed p JOIN subroots s ON s.tree = p.tree LEFT JOIN paths h ON h.tree = p.tree AND h.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM proofs
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_near_dedup": NEAR_DEDUP_SQL, "op13_merkle_manifest": MERKLE_SQL}
