@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .pii import pii_report
 from .piece_bpe import piece_encode
 from .secrets import secret_report
+from .trie import prefix_rollups
 from .urlfilter import judge_urls
 from .warc import archived
 from .winnow import edited_likeness
@@ -69,6 +70,10 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encode(table(spark, sf_dir, "documents"), tok.path("piece_bpe_32k.model"), output="digests")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_rollups(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_rows(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_secret_scan": op10_secret_scan,
     "op11_piece_bpe": op11_piece_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -160,4 +166,29 @@ top(lvl, pos, pre, n) AS (
 SELECT *, folded_root = root AS verified FROM proofs
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_near_dedup": NEAR_DEDUP_SQL, "op13_merkle_manifest": MERKLE_SQL}
+#: Every prefix of every rebuilt conversation as an array of turns, grouped; subtrees by all prefixes of every node.
+TRIE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT DISTINCT conv_id, ({_crc32("conv_id")} % 4)::INT AS h FROM turns, crc_table),
+steps AS (
+  SELECT c.conv_id, 0 AS own, t.pos, {{'role': t.role, 'text': t.text}} AS step FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, {{'role': t.role, 'text': t.text}} FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h
+), paths AS (
+  SELECT c.conv_id, coalesce(list(s.step ORDER BY s.own, s.pos) FILTER (s.step IS NOT NULL), []) AS path FROM convs c LEFT JOIN steps s ON s.conv_id = c.conv_id GROUP BY c.conv_id
+), members AS (SELECT conv_id, unnest(range(len(path) + 1)) AS depth, path FROM paths),
+nodes AS (
+  SELECT depth, path[1 : depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN len(path) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM members GROUP BY depth, path[1 : depth]
+), sized AS (
+  SELECT *, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(prefix[depth].text, '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')) END AS saves FROM nodes
+), kids AS (SELECT depth - 1 AS depth, prefix[1 : depth - 1] AS prefix, count(*) AS n FROM sized WHERE depth > 0 GROUP BY ALL),
+under AS (SELECT n.saves, coalesce(k.n, 0) = 0 AS leaf, unnest(list_transform(range(n.depth + 1), lambda d: n.prefix[1 : d])) AS prefix FROM sized n LEFT JOIN kids k USING (depth, prefix)),
+totals AS (SELECT prefix, sum(saves)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM under GROUP BY prefix)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, t.n_leaves, t.saved_tokens, n.ends_sha256
+FROM sized n JOIN totals t ON t.prefix = n.prefix LEFT JOIN kids k ON k.prefix = n.prefix LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_near_dedup": NEAR_DEDUP_SQL, "op12_prefix_trie": TRIE_SQL, "op13_merkle_manifest": MERKLE_SQL}
