@@ -204,17 +204,18 @@ def label_positions(model: BiGru, texts: list[bytes]) -> tuple[list[np.ndarray],
     return found, sums / np.maximum(counted, 1)[:, None]
 
 
-def fit(docs: DataFrame, most_per_label: int = 300, most_chars: int = 2000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **options) -> BiGru:
-    """A model of a bounded sample: of each language the `most_per_label` rows with the smallest hash of their id, and of
-    their texts `most_chars` characters from the middle.  Rows with a null text or language are not learned from; null
-    ids have a hash like others.  Every language is learned."""
+def fit(docs: DataFrame, most_per_label: int = 300, most_chars: int = 2000, most_labels: int = 256, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **options) -> BiGru:
+    """A model of a bounded sample: of each of the `most_labels` most frequent languages (ties by name) the
+    `most_per_label` distinct rows (id, text) with the smallest hash, and of their texts `most_chars` characters from the
+    middle.  Rows with a null text or language are not learned from.  Ids may be null or repeated: it is rows with
+    different hashes of (id, text) that count, so a language has a sample however its ids are made."""
     own = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    own = own.select("lang", F.xxhash64("id").alias("h"), F.expr(f"substring(text, greatest(1, int((length(text) - {most_chars}) / 2)), {most_chars})").alias("text"))
-    # The hash is uniform, so a bound on it keeps about as many rows as are wanted before the exact choice.
-    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * most_per_label + 20) / F.col("n"))
-    # As many rows as the model has labels: broadcast, so that no language's rows are brought together before the bound.
-    likely = own.join(F.broadcast(counts), "lang").where(F.col("h") <= -(2.0**63) + share * 2.0**64)
+    own = own.select("lang", F.xxhash64("id", "text").alias("h"), F.expr(f"substring(text, greatest(1, int((length(text) - {most_chars}) / 2)), {most_chars})").alias("text"))
+    # The hash is uniform over different rows, so a bound on it keeps about as many of these as are wanted, and twice.
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("different"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels)
+    share = F.least(F.lit(1.0), F.lit(2.0 * most_per_label + 20) / F.col("different"))
+    # At most `most_labels` rows: broadcast, so that no language's rows are brought together before the bound.
+    likely = own.join(F.broadcast(counts), "lang").where(F.col("h") <= -(2.0**63) + share * 2.0**64).groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     rows = sorted(likely.withColumn("place", place).where(F.col("place") <= most_per_label).select("lang", "place", "text").collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
