@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .winnow import let
 
 ORDER = 5
-#: So many copies of the ratios' table, that URLs are dealt to: a gram that most of them have goes to as many tasks.
-SALTS = 8
+#: Most grams whose ratios are broadcast (some 40 bytes each), and the least uses of one: what most URLs have needs no shuffle.
+FREQUENT_MOST = 100_000
+FREQUENT_LEAST = 1000
 #: Probability of any character where nothing is known.
 BASE = 1 / 256
 #: Quantiles of the labelled scores that are tried as thresholds.
@@ -72,16 +74,31 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def grams_of(seen: Column, order: int, shorter: bool) -> Column:
+    """Grams that end at each character of a text, the end included: the longest, with `shorter` all lengths.
+
+    The text becomes an array of characters first: substrings would count from the text's beginning each time."""
+    text = F.concat(F.lit("\x02"), seen, F.lit("\x03"))
+
+    def gram(chars: Column, i: Column, before: Column) -> Column:
+        return F.array_join(F.slice(chars, i - before, before + 1), "")
+
+    def at(chars: Column, i: Column) -> Column:
+        most = F.least(F.lit(order), i - 1)
+        return F.transform(F.sequence(F.lit(0), most), lambda k: gram(chars, i, k)) if shorter else gram(chars, i, most)
+
+    found = let(F.split(text, ""), lambda chars: F.transform(F.sequence(F.lit(2), F.size(chars)), lambda i: at(chars, i)))
+    return F.flatten(found) if shorter else found
+
+
 def context_counts(urls: DataFrame, order: int = ORDER) -> DataFrame:
-    """(context, next, accepted, rejected): how often a character follows each context of up to `order` characters.
+    """(context, next, accepted, rejected, uses): how often a character follows each context of up to `order` characters.
 
     urls: seen (what the models read), rejected (null: neither, its grams get rows all the same).  The end of a URL counts
-    as a character."""
-    text = F.concat(F.lit("\x02"), F.col("seen"), F.lit("\x03"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.length(text)), lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(order), i - 1)), lambda k: F.substring(text, i - k, k + 1))))
-    rows = urls.select("rejected", F.explode(grams).alias("gram"))
-    sums = rows.groupBy("gram").agg(F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected"))
-    return sums.select(F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("right(gram, 1)").alias("next"), "accepted", "rejected")
+    as a character.  uses: by all URLs."""
+    rows = urls.select("rejected", F.explode(grams_of(F.col("seen"), order, True)).alias("gram"))
+    sums = rows.groupBy("gram").agg(F.count_if(~F.col("rejected")).alias("accepted"), F.count_if("rejected").alias("rejected"), F.count("*").alias("uses"))
+    return sums.select(F.expr("substring(gram, 1, length(gram) - 1)").alias("context"), F.expr("right(gram, 1)").alias("next"), "accepted", "rejected", "uses")
 
 
 class Models:
@@ -126,7 +143,7 @@ class Models:
 
 
 def gram_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, ratio): what Models.ratio gives for each gram of context_counts."""
+    """(gram, ratio, uses): what Models.ratio gives for each gram of context_counts."""
     nodes = counts.groupBy("context").agg(*(x for c in ("accepted", "rejected") for x in (F.sum(c).alias(f"{c}_n"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds"))))
     # A context has no more rows than there are characters, so neither join has a hot key.
     grams = written(counts.join(nodes, "context", "left").withColumn("gram", F.concat("context", "next")), "contexts")
@@ -143,21 +160,24 @@ def gram_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(last.select(F.col("gram").alias("suffix"), F.col("a").alias("below_a"), F.col("r").alias("below_r")), "suffix")
             below = [F.col("below_a"), F.col("below_r")]
-        last = rows.select("gram", probability("accepted", below[0]).alias("a"), probability("rejected", below[1]).alias("r"))
+        last = rows.select("gram", "uses", probability("accepted", below[0]).alias("a"), probability("rejected", below[1]).alias("r"))
         last = written(last, "probabilities")
         out = last if out is None else out.unionByName(last)
-    return out.select("gram", F.log(F.col("r") / F.col("a")).alias("ratio"))
+    return out.select("gram", F.log(F.col("r") / F.col("a")).alias("ratio"), "uses")
 
 
 def scored(urls: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
     """(uid, score): mean log ratio of each URL's characters, as Models.score; urls: uid (one for each row), seen.
 
-    Ratios are added as decimals, so that equal URLs have equal scores in whatever order their rows come."""
-    text = F.concat(F.lit("\x02"), F.col("seen"), F.lit("\x03"))
-    grams = F.transform(F.sequence(F.lit(2), F.length(text)), lambda i: F.substring(text, F.greatest(F.lit(1), i - order), F.least(i, F.lit(order + 1))))
-    rows = urls.select("uid", F.explode(grams).alias("gram")).withColumn("salt", F.pmod(F.hash("uid"), F.lit(SALTS)))
-    dealt = ratios.select("gram", F.col("ratio").cast("decimal(18,12)").alias("ratio"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    sums = rows.join(dealt, ["gram", "salt"]).groupBy("uid").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
+    Ratios are added as decimals, so that equal URLs have equal scores in whatever order their rows come.  Grams with a
+    share of all uses, of which there can't be more than FREQUENT_MOST, are broadcast; no other gram has many rows."""
+    ratios = ratios.select("gram", F.col("ratio").cast("decimal(18,12)").alias("ratio"), "uses")
+    total = ratios.agg(F.sum("uses")).first()[0] or 0
+    frequent = F.col("uses") >= max(FREQUENT_LEAST, -(-total // FREQUENT_MOST))
+    rows = urls.select("uid", F.explode(grams_of(F.col("seen"), order, False)).alias("gram"))
+    near = F.broadcast(ratios.where(frequent).drop("uses"))
+    sums = rows.join(near, "gram").unionByName(rows.join(near, "gram", "left_anti").join(ratios.where(~frequent).drop("uses"), "gram"))
+    sums = sums.groupBy("uid").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
     return sums.select("uid", (F.col("total").cast("double") / F.col("n")).alias("score"))
 
 
