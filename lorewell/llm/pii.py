@@ -88,38 +88,69 @@ MORE_KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", context="ssn|social security|social-security", score=0.2, near=0.6, least=0.5),
 )
 REACH = 40
+#: Matches are placed so many at a time; as many neighbours as can stand within REACH (none is shorter than 3) go with them.
+AT_ONCE = 256
+AROUND = -(-REACH // 3) + 1
+
+
+def _running(lengths: Column, begin: Column) -> Column:
+    """Sums of an array's items before each of them, from `begin` on."""
+    zero = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
-    """array<struct<kind, start, end, score>> of one kind in a text, in code points, the end exclusive."""
-    spot = "struct<match:string,start:int>"
-    none = F.array().cast(f"array<{spot}>")
+    """array<struct<kind, start, end, score>> of one kind in a text, in code points, the end exclusive.
+
+    A text is cut into gaps and matches once.  Lengths give positions, by sums over blocks of matches and within each, so
+    that time grows with the text, not with its square; context words are looked for in a block's own text, where a long
+    gap keeps only its ends."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+
+    def block(found: Column, gaps: Column, c: Column, start: Column) -> Column:
+        """Spans of the matches from c * AT_ONCE on."""
+        first = F.greatest(c * AT_ONCE - AROUND, F.lit(0))
+        skip = c * AT_ONCE - first
+        near = F.slice(found, first + 1, skip + AT_ONCE + AROUND)
+        beside = F.transform(F.slice(gaps, first + 1, F.size(near) + 1), lambda g: F.when(F.length(g) > 2 * REACH, F.concat(F.left(g, F.lit(REACH)), F.lit(" "), F.right(g, F.lit(REACH)))).otherwise(g))
+        pairs = F.zip_with(beside, near, lambda g, m: F.struct(F.length(g).alias("gap"), F.concat(g, F.coalesce(m, F.lit(""))).alias("both")))
+        own = F.slice(found, c * AT_ONCE + 1, AT_ONCE)
+        before = F.slice(gaps, c * AT_ONCE + 1, F.size(own))
+        starts = F.zip_with(_running(F.zip_with(before, own, lambda g, m: F.length(g) + F.length(m)), start), before, lambda at, g: at + F.length(g))
+
+        def placed(pairs: Column) -> Column:
+            inside = F.zip_with(_running(F.transform(pairs, lambda p: F.length(p["both"])), F.lit(0)), pairs, lambda at, p: at + p["gap"])
+            spots = F.arrays_zip(own.alias("match"), starts.alias("start"), F.slice(inside, skip + 1, F.size(own)).alias("at"))
+            if kind.check is not None:
+                spots = F.filter(spots, lambda s: kind.check(s["match"]))
+            out = let(F.array_join(F.transform(pairs, lambda p: p["both"]), ""), lambda local: F.transform(spots, lambda s: scored(local, s)))
+            return F.filter(out, lambda s: s["score"] >= kind.least) if kind.least else out
+
+        def scored(local: Column, s: Column) -> Column:
+            begin = F.greatest(s["at"] - REACH, F.lit(0))
+            around = F.lower(F.substring(local, begin + 1, s["at"] - begin + F.length(s["match"]) + REACH))
+            score = F.lit(kind.score) + F.when(F.rlike(around, F.lit(f"\\b(?:{kind.context})")), F.lit(kind.near)).otherwise(F.lit(0.0))
+            return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), score.alias("score"))
+
+        return let(pairs, placed)
 
     def placed(found: Column) -> Column:
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + F.length(pair["gap"])
-            one = F.array(F.struct(pair["match"].alias("match"), start.alias("start")))
-            return F.struct((start + F.length(pair["match"])).alias("at"), F.concat(acc["out"], one).alias("out"))
+        def blocks(gaps: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / AT_ONCE).cast("int"))
+
+            def length(c: Column) -> Column:
+                own = F.slice(found, c * AT_ONCE + 1, AT_ONCE)
+                return F.aggregate(F.zip_with(F.slice(gaps, c * AT_ONCE + 1, F.size(own)), own, lambda g, m: F.length(g) + F.length(m)), F.lit(0), lambda a, n: a + n)
+
+            starts = _running(F.transform(numbers, length), F.lit(0))
+            return F.flatten(F.zip_with(numbers, starts, lambda c, start: block(found, gaps, c, start)))
 
-        gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("match")), zero, step)["out"]).otherwise(none)
+        return F.when(F.size(found) > 0, let(F.split(text, kind.pattern, -1), blocks)).otherwise(none)
 
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     if kind.hint:
         found = F.when(F.instr(text, kind.hint) > 0, found).otherwise(F.array().cast("array<string>"))
-    spots = let(found, placed)
-    if kind.check is not None:
-        spots = F.filter(spots, lambda s: kind.check(s["match"]))
-
-    def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - REACH, F.lit(0))
-        around = F.lower(F.substring(text, begin + 1, s["start"] - begin + F.length(s["match"]) + REACH))
-        score = F.lit(kind.score) + F.when(F.rlike(around, F.lit(f"\\b(?:{kind.context})")), F.lit(kind.near)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), score.alias("score"))
-
-    out = F.transform(spots, scored)
-    return F.filter(out, lambda s: s["score"] >= kind.least) if kind.least else out
+    return let(found, placed)
 
 
 def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE_KINDS + MORE_KINDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
