@@ -247,9 +247,3 @@ def c13_pack_graph_adjustment(d):
 @plan
 def c16_document_topics(d):
     return f"WITH e AS (SELECT doc_id, lang, {d.explode(tokens(d, 'text'))} AS tok FROM documents), t AS (SELECT lang AS topic, tok, count(*) AS n FROM e GROUP BY lang, tok), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY n DESC, tok) AS BIGINT) AS rn FROM t) SELECT topic, tok, n, rn FROM r WHERE rn <= 10"
-
-
-@plan
-def t03_expiry(d):
-    age = d.seconds("ts", "(SELECT max(ts) FROM events)")
-    return f"SELECT event_id, CASE WHEN {age} > 72 * 3600 THEN 'revalidation_pending' ELSE 'fresh' END AS state FROM events WHERE event_type = 'purchase'"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell.functions.dialect import Duck, Spark
 from lorewell.sources.tables import register
 
-from . import context, memory, relational, retrieval, skills
+from . import context, memory, relational, retrieval, skills, webfacts
 
 PLANS = relational.PLANS | memory.PLANS
 
@@ -20,5 +20,11 @@ def run_plan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PLANS[name](Spark()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in PLANS} | context.QUERIES | retrieval.QUERIES | skills.QUERIES
-ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in PLANS.items()} | context.ORACLE_SQL | retrieval.ORACLE_SQL | skills.ORACLE_SQL
+#: Plans in code, with SQL written by hand.
+MODULES = (context, retrieval, skills, webfacts)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in PLANS}
+ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in PLANS.items()}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL

@@ -665,11 +665,6 @@ def c10_exact_reasoning_fold(d):
     return f"WITH p AS (SELECT doc_id, sha1({normalised(d, 'text')}) AS fp, source FROM documents) SELECT fp, min(doc_id) AS pattern_id, count(*) AS reuse_count, {d.join(d.collect_set('source'), ',')} AS provenance FROM p GROUP BY fp"
 
 
-@plan
-def c11_promotion_state(d):
-    return f"WITH {FACTS}, e AS (SELECT claim_key, claim_value, count(DISTINCT fact_id) AS evidence, max(confidence) AS confidence, max(quality) AS approved FROM facts GROUP BY claim_key, claim_value), c AS (SELECT claim_key, count(*) - 1 AS conflicts FROM e GROUP BY claim_key) SELECT e.claim_key, e.claim_value, CASE WHEN evidence >= 2 AND confidence >= 0.7 THEN 'trusted' ELSE 'staged' END AS state, CASE WHEN evidence >= 2 AND confidence >= 0.8 AND conflicts = 0 THEN 'global' WHEN confidence >= 0.6 AND conflicts = 0 THEN 'workspace' ELSE 'local' END AS tier FROM e JOIN c ON e.claim_key = c.claim_key"
-
-
 @plan
 def c14_graph_recorders(d):
     return "SELECT DISTINCT concat('document:', source) AS source_node, 'DERIVED_FROM' AS relation, concat('lang:', lang) AS target_node FROM documents UNION ALL SELECT DISTINCT concat('user:', CAST(user_id AS STRING)), 'RESOLVED_BY', concat('artifact:', event_type) FROM events WHERE event_type <> 'error'"
