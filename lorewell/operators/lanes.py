@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import overlap_ratio, top_k, words
+from .linear import Finish, linear_top_k
+from .rank import overlap_ratio, words
 
 #: Scores that a lane gives its hits whatever the query.
 CORPUS = {"recency_score": 0.35, "freshness_score": 0.6, "trust_score": 0.75, "novelty_score": 0.5}
@@ -15,23 +17,53 @@ EPISODIC = {"freshness_score": 0.7, "trust_score": 0.8, "novelty_score": 0.4}
 LEAST_SEMANTIC, LEAST_RECENCY = 0.2, 0.05
 
 
+def share(sums: np.ndarray, norm: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words in common, as a share of the query's."""
+    return sums / np.maximum(sizes, 1)
+
+
+def jaccard(sums: np.ndarray, norm: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Words in common, as a share of those that either has; norm: the row's words."""
+    return sums / np.maximum(norm + sizes - sums, 1)
+
+
 def overlap_lane(queries: DataFrame, rows: DataFrame, prefix: str, k: int) -> DataFrame:
     """The best rows of each query: query_id, doc_id, text, lexical_score, semantic_score; rows: doc_id, text.
 
-    Words meet by an equi-join.  All rows with a text are candidates: of those without a common word, equal in score, the
-    first by name (prefix and id, as text) can follow, and no more than twice k of them are ever needed."""
+    All rows with a text are candidates, those without a common word too; equal ones go by name (prefix and id, as text)."""
+    rows = rows.where("text <> ''")
     name = F.concat(F.lit(prefix), F.col("doc_id").cast("string"))
-    rows = rows.where("text <> ''").withColumn("name", name)
-    q = queries.select("query_id", F.explode(words(F.col("query"))).alias("word"), F.size(words(F.col("query"))).alias("n"))
-    w = rows.select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    hits = q.join(w, "word").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("lexical_score")).withColumn("name", name)
-    hits = top_k(hits, ["query_id"], [F.col("lexical_score").desc(), F.col("name")], k)
-    first = rows.select("doc_id", "name").orderBy("name").limit(2 * k).collect()
-    fill = F.array(*(F.struct(F.lit(r["doc_id"]).alias("doc_id"), F.lit(r["name"]).alias("name")) for r in first)) if first else F.lit(None).cast("array<struct<doc_id:bigint,name:string>>")
-    rest = queries.select("query_id", F.inline(fill)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("lexical_score", F.lit(0.0))
-    both = hits.select("query_id", "doc_id", "lexical_score", "name").unionByName(rest).withColumn("semantic_score", F.greatest(F.lit(LEAST_SEMANTIC), "lexical_score"))
-    best = top_k(both, ["query_id"], [(F.col("semantic_score") + F.col("lexical_score")).desc(), F.col("name")], k)
-    return best.join(rows.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "text", "lexical_score", "semantic_score")
+    found = linear_top_k(rows.select(F.col("doc_id").alias("row_id"), name.alias("tie"), words(F.col("text")).alias("features")), queries.select("query_id", words(F.col("query")).alias("features")), k, above=-1.0, finish=share)
+    found = found.select("query_id", F.col("row_id").alias("doc_id"), F.col("score").alias("lexical_score"), F.greatest(F.lit(LEAST_SEMANTIC), "score").alias("semantic_score"))
+    return found.join(rows.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "text", "lexical_score", "semantic_score")
+
+
+def message_search(queries: DataFrame, messages: DataFrame, k: int, digits: int = 6, finish: Finish | None = None) -> DataFrame:
+    """(query_id, session_id, message_id, score): the k messages with the most words in common with a query, by `finish`.
+
+    queries: query_id, features; messages: session_id, message_id (not negative), features.  Messages without a common
+    word are no hits; equal ones go by session and message."""
+    place = F.concat(*(F.lpad(F.col(c).cast("string"), 19, "0") for c in ("session_id", "message_id")))
+    rows = messages.select(F.xxhash64("session_id", "message_id").alias("row_id"), place.alias("tie"), "features", F.size("features").alias("norm"))
+    found = linear_top_k(rows, queries, k, digits=digits, finish=finish)
+    return found.select("query_id", F.substring("tie", 1, 19).cast("long").alias("session_id"), F.substring("tie", 20, 19).cast("long").alias("message_id"), "score")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, digits: int = 4) -> DataFrame:
+    """(query_id, doc_id, score): Okapi BM25; queries: query_id, features; docs: doc_id, words (with repeats).
+
+    An idf below 0 counts as `floor` of the mean idf.  Document frequencies come from all documents; scores above 0, ties
+    by the larger doc_id."""
+    st = docs.agg(F.count("*").alias("docs"), F.avg(F.greatest(F.size("words"), F.lit(0))).alias("mean")).first()
+    df = docs.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    idf = df.select("word", (F.log(st["docs"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = F.lit(idf.agg(F.avg("idf")).first()[0])
+    asked = queries.select("query_id", F.explode("features").alias("word")).join(idf, "word").withColumn("idf", F.when(F.col("idf") < 0, mean * floor).otherwise(F.col("idf")))
+    asked = asked.groupBy("query_id").agg(F.collect_list("word").alias("features"), F.collect_list("idf").alias("weights"))
+    average = st["mean"] or 1.0
+    rows = docs.select(F.col("doc_id").alias("row_id"), (-F.col("doc_id")).alias("tie"), F.col("words").alias("features"), F.size("words").alias("norm"))
+    found = linear_top_k(rows, asked, k, digits=digits, shape=lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / average)))
+    return found.select("query_id", F.col("row_id").alias("doc_id"), "score")
 
 
 def episodic_lane(queries: DataFrame, messages: DataFrame, tail: int = 8, k: int = 20) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Searches of a stated set of queries against all rows, in blocks: vectors by cosine, records by a score expression.
+"""Searches of a stated set of queries against all rows, in blocks: vectors by cosine, records by weighted features.
 
 Queries go out in blocks of bounded size, each block's copy to every task; a task keeps the best of what it sees for each
 query, and only those are shuffled.
@@ -6,7 +6,6 @@ query, and only those are shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linear import linear_top_k
 from .rank import top_k
 
 #: Queries that go out at once.
-VECTORS_AT_ONCE, RECORDS_AT_ONCE = 10_000, 2_000
+VECTORS_AT_ONCE = 10_000
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5, block: int = VECTORS_AT_ONCE) -> DataFrame:
@@ -69,30 +69,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size > 0, size, 1.0)
 
 
-def best_against_all(queries: DataFrame, rows: DataFrame, query_key: str, score: Column, row_key: str, k: int, block: int = RECORDS_AT_ONCE) -> DataFrame:
-    """Of each query the k rows with the highest score (rows whose score isn't above 0 are left out), ties by row_key.
-
-    score is an expression over the columns of both, whose names don't clash."""
-    number = max(1, math.ceil(queries.count() / block))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(number)))
-    out = []
-    for i in range(number):
-        some = dealt.where(F.col("_block") == i).drop("_block")
-        pairs = rows.crossJoin(F.broadcast(some)).withColumn("score", score).where("score > 0")
-        out.append(top_k(pairs, [query_key], [F.col("score").desc(), F.col(row_key)], k))
-    return reduce(DataFrame.unionByName, out)
-
-
 def token_set(text: Column) -> Column:
     """Distinct runs of letters, digits and underscores, lower-cased."""
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != ""))
 
 
-def share_found(query: Column, tokens: Column) -> Column:
-    """Share of a query's tokens among others."""
-    return F.when(F.size(query) > 0, F.size(F.array_intersect(query, tokens)) / F.size(query)).otherwise(0.0)
-
-
 #: What each type of skill artifact counts, and what a match of each kind adds.
 TYPE_PRIORITY = {"principle": 70, "template": 60, "execution_lesson": 57, "evaluation_lesson": 56, "example": 50, "rubric": 40, "anti_pattern": 30, "workflow": 20, "style_note": 15, "style_gist": 15, "raw_chunk": 1}
 ARTIFACT_MATCH = {"agent_type": 6.0, "task_type": 6.0, "channel_type": 3.0, "language": 3.0, "style_profile": 4.0}
@@ -106,43 +87,47 @@ def rank_artifacts(artifacts: DataFrame, requests: DataFrame, k: int) -> DataFra
 
     artifacts: artifact_id, artifact_type, confidence, blob (lower-cased text); requests: request_id, query and the keys
     of ARTIFACT_MATCH, null where a request doesn't say.  A match is the request's value, underscores as spaces, within
-    the blob; a language is taken as it is."""
+    the blob; a language is taken as it is.  Every artifact has a place, also one of a score of 0 or less."""
     priority = F.coalesce(F.create_map(*(F.lit(x) for p in TYPE_PRIORITY.items() for x in p))[F.col("artifact_type")], F.lit(0))
-    score = priority + F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) * CONFIDENCE_WEIGHT
-    score = score + share_found(F.col("query_tokens"), F.col("tokens")) * QUERY_WEIGHT
-    for name, weight in ARTIFACT_MATCH.items():
-        value = F.lower(F.col(name)) if name == "language" else F.regexp_replace(name, "_", " ")
-        score = score + F.when((F.length(name) > 0) & F.contains(F.col("blob"), value), weight).otherwise(0.0)
-    score = score - F.when(F.col("artifact_type") == "raw_chunk", RAW_PENALTY).otherwise(0.0)
-    rows = artifacts.select("artifact_id", "artifact_type", "confidence", "blob", token_set(F.col("blob")).alias("tokens"))
-    asked = requests.select("request_id", token_set(F.col("query")).alias("query_tokens"), *ARTIFACT_MATCH)
-    # Every artifact has a place, also one of a score of 0 or less: the bound lies below all scores.
-    return best_against_all(asked, rows, "request_id", score + 100.0, "artifact_id", k).select("request_id", "artifact_id", (F.col("score") - 100.0).alias("score"))
-
-
-def similar_cases(cases: DataFrame, requests: DataFrame, k: int) -> DataFrame:
+    base = priority + F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) * CONFIDENCE_WEIGHT
+    base = base - F.when(F.col("artifact_type") == "raw_chunk", RAW_PENALTY).otherwise(0.0)
+    rows = artifacts.select(F.col("artifact_id").alias("row_id"), F.col("artifact_id").alias("tie"), token_set(F.col("blob")).alias("features"), base.alias("base"), F.col("blob").alias("text"))
+    says = [F.when(F.length(n) > 0, F.struct((F.lower(F.col(n)) if n == "language" else F.regexp_replace(n, "_", " ")).alias("value"), F.lit(w).alias("weight"))) for n, w in ARTIFACT_MATCH.items()]
+    asked = requests.select(F.col("request_id").alias("query_id"), token_set(F.col("query")).alias("features"), F.array_compact(F.array(*says)).alias("says"))
+    asked = asked.select("query_id", "features", F.transform("features", lambda f: F.lit(QUERY_WEIGHT) / F.size("features")).alias("weights"), F.col("says.value").alias("phrases"), F.col("says.weight").alias("phrase_weights"))
+    found = linear_top_k(rows, asked, k, above=-1e9, digits=6)
+    return found.select(F.col("query_id").alias("request_id"), F.col("row_id").alias("artifact_id"), "score")
+
+
+#: Stands for a condition that has to hold: more than any score.
+_HAS_TO = 1e6
+
+
+def similar_cases(cases: DataFrame, requests: DataFrame, k: int, same: tuple[str, ...] = ("agent_type", "task_type", "channel_type")) -> DataFrame:
     """(request_id, case_id, score): the k most similar execution cases of each request, those above 0, ties by case_id.
 
     cases: case_id, blob, the keys of CASE_MATCH, artifact_ids, success; requests: request_id (the case it repeats, which
-    is no answer, else null ids of none), query, the keys of CASE_MATCH, artifact_ids.  All cases are candidates.  Cases
-    alike in all of that are scored once, as are requests: the k best kinds hold the k best cases."""
-    kind = [*CASE_MATCH, "tokens", "artifacts", "success"]
-    rows = cases.select("case_id", *CASE_MATCH, F.array_sort(token_set(F.col("blob"))).alias("tokens"), F.array_sort(F.array_distinct("artifact_ids")).alias("artifacts"), "success")
-    rows = rows.withColumn("kind", F.md5(F.to_json(F.struct(*kind))))
-    first = top_k(rows.select("kind", "case_id"), ["kind"], [F.col("case_id")], k + 1)
-    kinds = rows.groupBy("kind").agg(F.min("case_id").alias("least"), *(F.first(c).alias(c) for c in kind))
-    asks = [f"q_{c}" for c in CASE_MATCH] + ["q_tokens", "q_artifacts"]
-    asked = requests.select("request_id", *(F.col(c).alias(f"q_{c}") for c in CASE_MATCH), F.array_sort(token_set(F.col("query"))).alias("q_tokens"), F.array_sort(F.array_distinct("artifact_ids")).alias("q_artifacts"))
-    asked = asked.withColumn("ask", F.md5(F.to_json(F.struct(*asks))))
-    score = share_found(F.col("q_tokens"), F.col("tokens")) * CASE_TEXT + share_found(F.col("q_artifacts"), F.col("artifacts")) * CASE_ARTIFACTS + F.when(F.col("success"), CASE_SUCCESS).otherwise(0.0)
-    for name, weight in CASE_MATCH.items():
-        score = score + F.when((F.length(f"q_{name}") > 0) & (F.col(name) == F.col(f"q_{name}")), weight).otherwise(0.0)
-    distinct = asked.groupBy("ask").agg(*(F.first(c).alias(c) for c in asks))
-    best = best_against_all(distinct, kinds, "ask", score, "least", k + 1).select("ask", "kind", "score")
-    # What answers one ask is the same for all of its requests; k + 1 rows, as one may be the request itself.
-    answers = top_k(best.join(first, "kind"), ["ask"], [F.col("score").desc(), F.col("case_id")], k + 1)
-    found = asked.select("request_id", "ask").join(answers, "ask").where(~F.col("request_id").eqNullSafe(F.col("case_id")))
-    return top_k(found, ["request_id"], [F.col("score").desc(), F.col("case_id")], k).select("request_id", "case_id", "score")
+    is no answer, else null ids of none), query, the keys of CASE_MATCH, artifact_ids.  Only cases that agree with a
+    request in each of `same` on which it says something are candidates; () takes all."""
+
+    def value(name: str) -> Column:
+        return F.when(F.length(name) > 0, F.concat(F.lit(f"{name}="), F.col(name)))
+
+    tokens, own = F.transform(token_set(F.col("blob")), lambda t: F.concat(F.lit("word "), t)), F.transform(F.array_distinct("artifact_ids"), lambda a: F.concat(F.lit("artifact "), a))
+    rows = cases.select(F.col("case_id").alias("row_id"), F.col("case_id").alias("tie"), F.concat(tokens, own, F.array_compact(F.array(*map(value, CASE_MATCH)))).alias("features"), F.when(F.col("success"), CASE_SUCCESS).otherwise(0.0).alias("base"), F.col("case_id").alias("skip"))
+    words, wanted = token_set(F.col("query")), F.array_distinct("artifact_ids")
+
+    def each(names: Column, lead: str, weight: float) -> Column:
+        return F.transform(names, lambda n: F.struct(F.concat(F.lit(lead), n).alias("feature"), (F.lit(weight) / F.size(names)).alias("weight")))
+
+    says = [F.when(F.length(n) > 0, F.struct(value(n).alias("feature"), F.lit(w + (_HAS_TO if n in same else 0.0)).alias("weight"))) for n, w in CASE_MATCH.items()]
+    asked = requests.select("request_id", F.concat(each(words, "word ", CASE_TEXT), each(wanted, "artifact ", CASE_ARTIFACTS), F.array_compact(F.array(*says))).alias("f"), F.size(F.array_compact(F.array(*(F.when(F.length(n) > 0, 1) for n in same)))).alias("n_same") if same else F.lit(0).alias("n_same"))
+    out = None
+    for n in range(len(same) + 1):  # requests that state equally many conditions have one bound
+        some = asked.where(F.col("n_same") == n).select(F.col("request_id").alias("query_id"), F.col("f.feature").alias("features"), F.col("f.weight").alias("weights"))
+        found = linear_top_k(rows, some, k, above=n * _HAS_TO, digits=6).withColumn("score", F.round(F.col("score") - n * _HAS_TO, 6))
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("query_id").alias("request_id"), F.col("row_id").alias("case_id"), "score")
 
 
 def hybrid(lexical: DataFrame, vectors: DataFrame, k: int, most_web: int = 2, enough: float = 3.0) -> DataFrame:

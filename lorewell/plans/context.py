@@ -34,7 +34,9 @@ def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each lane is cut to its best few before it is joined with texts again."""
     register(spark, sf_dir)
-    lane = lambda name: spark.sql(relational.PLANS[name](Spark()))
+    from . import retrieval  # which takes its queries from here
+
+    lane = lambda name: getattr(retrieval, name)(spark, sf_dir)
     queries = asked(spark, sf_dir)
     messages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "text")
     docs = read(spark, sf_dir, "documents")

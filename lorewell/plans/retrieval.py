@@ -1,11 +1,12 @@
-"""Searches over all rows (L03, L05, L06, L10, L16, L18, U10).  The checking SQL is written by hand, pair by pair."""
+"""Searches over all rows.  The checking SQL is written by hand, pair by pair, or joins words one by one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.operators import lanes, nearest, rank
+from lorewell.operators import lanes, linear, nearest, rank
 from lorewell.sources.tables import read
 
 from . import context
@@ -32,6 +33,55 @@ def l06_large_file_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.overlap_lane(context.asked(spark, sf_dir), files, "large_file:", context.LARGE_FILES).select("query_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), F.round("semantic_score", 6).alias("semantic_score"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), rank.words(F.col("text")).alias("features"))
+
+
+def _asked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), rank.words(F.col("text")).alias("features"))
+
+
+def l01_lexical_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lanes.message_search(_asked_words(spark, sf_dir), _messages(spark, sf_dir), 8, finish=lanes.share)
+    return found.select("query_id", "session_id", "message_id", F.col("score").alias("lexical_score"), F.round(F.greatest(F.lit(0.0), F.col("score") - 0.1), 6).alias("semantic_score"), F.lit(0.65).alias("trust_score"))
+
+
+def l02_semantic_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lanes.message_search(_asked_words(spark, sf_dir), _messages(spark, sf_dir), 8, finish=lanes.jaccard)
+    return found.select("query_id", "session_id", "message_id", F.col("score").alias("semantic_score"), F.round(F.greatest(F.lit(0.0), F.col("score") - 0.05), 6).alias("lexical_score"))
+
+
+def l04_promoted_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of good quality; a row for each label of a document."""
+    facts = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    rows = facts.select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("tie"), rank.words(F.col("text")).alias("features"))
+    found = linear.linear_top_k(rows, _asked_words(spark, sf_dir), 8)
+    return found.select("query_id", F.col("row_id").alias("fact_id"), F.round(0.2 + F.least(F.lit(0.6), 0.08 * F.col("score")), 6).alias("lexical_score"), F.lit(0.85).alias("trust_score"))
+
+
+def l07_web_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_distinct(F.filter(F.split(F.lower("html"), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.col("page_id").alias("tie"), words.alias("features"), F.when(F.startswith("url", F.lit("https://")), 0.7).otherwise(0.6).alias("base"))
+    found = linear.linear_top_k(rows, _asked_words(spark, sf_dir), 5, digits=6, finish=lambda s, n, q: np.where(s > 0, 0.1 * s, -np.inf))
+    return found.select("query_id", F.col("row_id").alias("page_id"), "score")
+
+
+def l09_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "").alias("words"))
+    return lanes.bm25(_asked_words(spark, sf_dir), docs, 5)
+
+
+def l11_lexical_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lanes.message_search(_asked_words(spark, sf_dir), _messages(spark, sf_dir), 5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+def j07_token_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lanes.message_search(_asked_words(spark, sf_dir), _messages(spark, sf_dir), 5)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "session_id", "message_id"))
+    return found.select(F.col("query_id").alias("item_id"), F.col("session_id").alias("conv_id"), F.col("message_id").alias("turn"), F.col("score").cast("long").alias("shared"), place.cast("long").alias("rn"))
+
+
 def l10_vector_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -64,17 +114,16 @@ def u10_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     stand for the web."""
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     web = F.coalesce(F.col("lang") == "fr", F.lit(False)).alias("web")
-    q = items.select(F.col("item_id").alias("query_id"), F.explode(rank.words(F.col("text"))).alias("word"))
-    w = docs.select("doc_id", web, F.explode(rank.words(F.col("text"))).alias("word"))
-    lexical = w.join(q, "word").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"), F.max("web").alias("web"))
-    lexical = rank.top_k(lexical, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 20)
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("tie"), rank.words(F.col("text")).alias("features"))
+    lexical = linear.linear_top_k(rows, _asked_words(spark, sf_dir), 20).withColumnRenamed("row_id", "doc_id").join(docs.select("doc_id", web), "doc_id").select("query_id", "doc_id", "web", "score")
     vectors = read(spark, sf_dir, "embeddings")
     asked = vectors.join(items.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
     found = nearest.nearest_vectors(vectors, asked, 20).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(False).alias("web"), "score")
     return nearest.hybrid(lexical, found, 20)
 
 
-QUERIES = {f.__name__: f for f in (l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
+#: The lanes that a plan of relational.py or memory.py checks, with the SQL of that plan, are here as searches.
+QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
 
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''))"
@@ -118,7 +167,7 @@ WITH c AS (SELECT event_id AS case_id, event_type, 't' || (CAST(floor(value) AS
 s AS (SELECT a.case_id AS request_id, b.case_id, round(CAST(CASE WHEN a.event_type = b.event_type THEN 6 ELSE 0 END + CASE WHEN a.task = b.task THEN 6 ELSE 0 END + CASE WHEN a.channel = b.channel THEN 4 ELSE 0 END
  + CASE WHEN a.lang = b.lang THEN 3 ELSE 0 END AS DOUBLE) + 12.0 * len(list_intersect(a.tok, b.tok)) / CAST(len(a.tok) AS DOUBLE)
  + 10.0 * (CASE WHEN a.event_type = b.event_type THEN 1 ELSE 0 END + CASE WHEN a.task = b.task THEN 1 ELSE 0 END) / 2.0 + CASE WHEN b.event_type <> 'error' THEN 1.5 ELSE 0 END, 6) AS score
- FROM c a JOIN c b ON a.case_id <> b.case_id WHERE a.case_id % 20 = 0)
+ FROM c a JOIN c b ON a.case_id <> b.case_id AND a.event_type = b.event_type AND a.task = b.task AND a.channel = b.channel WHERE a.case_id % 20 = 0)
 SELECT request_id, case_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, case_id) <= 5""",
     "u10_hybrid_retrieval": f"""
 WITH q AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS word FROM benchmark),
