@@ -1,72 +1,11 @@
-"""Searches of a stated set of queries against all rows, in blocks: vectors by cosine, records by weighted features.
-
-Queries go out in blocks of bounded size, each block's copy to every task; a task keeps the best of what it sees for each
-query, and only those are shuffled.
-"""
+"""Artifacts and cases by weighted features, and lists of hits as one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import linear_top_k
-from .rank import top_k
-
-#: Queries that go out at once.
-VECTORS_AT_ONCE = 10_000
-
-
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5, block: int = VECTORS_AT_ONCE) -> DataFrame:
-    """(query_id, vec_id, score): of each query the k vectors of all with the highest cosine, ties by vec_id.
-
-    vectors: vec_id, embedding; queries: query_id, embedding.  A vector is not its own neighbour; cosines are rounded to
-    `digits` before they are compared, and one with a vector of length 0 is 0.  Null embeddings are left out."""
-    spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, rows = [], []
-        for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
-            ids.append(r[0])
-            rows.append(r[1])
-            if len(ids) == block:
-                yield np.array(ids, np.int64), unit(np.array(rows, np.float64))
-                ids, rows = [], []
-        if ids:
-            yield np.array(ids, np.int64), unit(np.array(rows, np.float64))
-
-    def searched(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for pdf in batches:
-                own = pdf["vec_id"].to_numpy(np.int64)
-                v = unit(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-                for low in range(0, len(ids), 500):
-                    s = np.round(q[low : low + 500] @ v.T, digits)
-                    s[ids[low : low + 500][:, None] == own] = -np.inf
-                    if s.shape[1] > k:
-                        s[s < np.partition(s, -k, axis=1)[:, -k][:, None]] = -np.inf
-                    a, b = np.nonzero(s > -np.inf)
-                    yield pd.DataFrame({"query_id": ids[low + a], "vec_id": own[b], "score": s[a, b]})
-
-        return vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(run, schema)
-
-    found = [searched(*b) for b in blocks()]
-    if not found:
-        return spark.createDataFrame([], schema)
-    return top_k(reduce(DataFrame.unionByName, found), ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(size > 0, size, 1.0)
 
 
 def token_set(text: Column) -> Column:

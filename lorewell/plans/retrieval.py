@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.operators import lanes, linear, nearest, rank
+from lorewell.operators import lanes, linear, nearest, rank, vectors
 from lorewell.sources.tables import read
 
 from . import context
 
 #: Messages that must be included, and all of a query's episodes: few, as the conversations here are short.
 TAIL, EPISODES = 3, 6
+#: Lists of the vector index that a query looks into.
+PROBES = 16
 
 
 def l03_episodic_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +85,23 @@ def j07_token_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l10_vector_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return nearest.nearest_vectors(vectors, queries, 5)
+    rows = read(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest_vectors(rows, queries, 5)
+
+
+def l10_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in an inverted-file index over all vectors."""
+    rows = read(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.ivf_search(vectors.ivf_index(rows), queries, 5, PROBES)
+
+
+def l02_vector_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French documents asked by a backend that isn't there: the default one answers, and says so."""
+    records = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("doc_id").alias("tie"), "text", F.col("lang").alias("source_type"))
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return vectors.semantic_search(records, queries, 5, "chroma", "fr").withColumn("score", F.round("score", 6))
 
 
 def l16_skill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +132,14 @@ def u10_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = F.coalesce(F.col("lang") == "fr", F.lit(False)).alias("web")
     rows = docs.select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("tie"), rank.words(F.col("text")).alias("features"))
     lexical = linear.linear_top_k(rows, _asked_words(spark, sf_dir), 20).withColumnRenamed("row_id", "doc_id").join(docs.select("doc_id", web), "doc_id").select("query_id", "doc_id", "web", "score")
-    vectors = read(spark, sf_dir, "embeddings")
-    asked = vectors.join(items.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = nearest.nearest_vectors(vectors, asked, 20).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(False).alias("web"), "score")
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.join(items.select(F.col("item_id").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vectors.nearest_vectors(rows, asked, 20).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(False).alias("web"), "score")
     return nearest.hybrid(lexical, found, 20)
 
 
 #: The lanes that a plan of relational.py or memory.py checks, with the SQL of that plan, are here as searches.
-QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
+QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l10_vector_index, l02_vector_backend, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
 
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''))"
@@ -150,6 +166,11 @@ s AS (SELECT query_id, doc_id, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw,
 SELECT query_id, doc_id, round(o, 6) AS lexical_score, round(greatest(0.2, o), 6) AS semantic_score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o + greatest(0.2, o) DESC, 'large_file:' || doc_id) <= 6""",
     "l10_vector_lane": f"{_COSINES} WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) <= 5",
+    "l02_vector_backend": f"""
+WITH q AS (SELECT item_id AS query_id, {_WORDS.format('text')} AS qw FROM benchmark), d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE lang = 'fr'),
+s AS (SELECT query_id, doc_id AS record_id, len(list_intersect(qw, w)) / CAST(greatest(len(list_distinct(list_concat(qw, w))), 1) AS DOUBLE) AS x FROM q, d),
+r AS (SELECT query_id, record_id, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, record_id) AS place FROM s WHERE x > 0)
+SELECT query_id, record_id, score, 'chroma' AS requested_backend, 'token_jaccard_v1' AS selected_backend, true AS fallback_used, place FROM r WHERE place <= 5""",
     "l16_skill_ranking": f"""
 WITH types(n, t, p) AS (VALUES (0, 'principle', 70), (1, 'template', 60), (2, 'execution_lesson', 57), (3, 'evaluation_lesson', 56), (4, 'example', 50),
  (5, 'rubric', 40), (6, 'anti_pattern', 30), (7, 'workflow', 20), (8, 'style_note', 15), (9, 'style_gist', 15), (10, 'raw_chunk', 1)),
