@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import linear_top_k
+from .vectors import nearest_vectors  # noqa: F401
 
 
 def token_set(text: Column) -> Column:
@@ -42,7 +43,7 @@ def rank_artifacts(artifacts: DataFrame, requests: DataFrame, k: int) -> DataFra
 _HAS_TO = 1e6
 
 
-def similar_cases(cases: DataFrame, requests: DataFrame, k: int, same: tuple[str, ...] = ("agent_type", "task_type", "channel_type")) -> DataFrame:
+def similar_cases(cases: DataFrame, requests: DataFrame, k: int, same: tuple[str, ...] = ()) -> DataFrame:
     """(request_id, case_id, score): the k most similar execution cases of each request, those above 0, ties by case_id.
 
     cases: case_id, blob, the keys of CASE_MATCH, artifact_ids, success; requests: request_id (the case it repeats, which

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import lexicons as lx
 from lorewell.functions.dialect import Spark
-from lorewell.operators import chunk, discovery, fold, lanes, rank, select
+from lorewell.operators import chunk, discovery, fold, graphs, lanes, rank, select
 from lorewell.sources.tables import read, register
 from lorewell.streaming import ingest
 
@@ -15,6 +15,9 @@ from . import relational
 
 #: Hits of a lane for a query; both lanes fill them up with rows that share no word.
 CORPUS_HITS, LARGE_FILES = 8, 6
+#: Categories and topics whose words occur in the invented prose.
+CATEGORIES = {"c_joined": ("with", "and"), "c_near": ("this", "that"), "c_far": ("from", "than")}
+TOPICS = {"t_that": ("that", "than"), "t_with": ("with", "this"), "t_from": ("from", "ther", "thon")}
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +70,9 @@ def lane_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, routed in lx.LANES.items():
         index = F.when(F.col("intent") == name, F.array_position(F.array(*map(F.lit, routed)), route)).otherwise(index)
     out = out.join(queries, "query_id").withColumn("lane_index", index - 1).where("lane_index >= 0")
-    cluster = F.concat(F.lit("cl:"), F.substring(F.sha1(F.concat_ws("|", "lane", "memory_type", F.substring("text", 1, 24))), 1, 10))
+    clusters = graphs.cluster_id(F.col("lane"), F.col("memory_type"), graphs.hints(F.col("text"), TOPICS), graphs.hints(F.col("text"), CATEGORIES), F.col("text"))
     tokens = F.greatest(F.lit(1), F.floor((F.length("text") + 3) / 4)).cast("int")
-    return out.withColumn("ord", F.xxhash64("id")).withColumn("cluster_id", cluster).withColumn("tokens", tokens)
+    return out.withColumn("ord", F.xxhash64("id")).withColumn("cluster_id", clusters).withColumn("tokens", tokens)
 
 
 def u08_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +108,20 @@ def c15_aligned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c04_bounded_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.discover(lane_hits(spark, sf_dir))
+    """The roles of each query's intent, and what the graph of its hits suggests."""
+    path = ingest.shared_path(spark, "hits")  # read by the graph and by the probes
+    lane_hits(spark, sf_dir).write.parquet(path)
+    hits, _ = graphs.annotated(spark.read.parquet(path), CATEGORIES, TOPICS)
+    return discovery.discover(hits)
+
+
+def u06_category_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as corpus hits: written to the graph twice, read back, and put into clusters."""
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("corpus:"), F.col("doc_id").cast("string")).alias("id"), F.lit("corpus").alias("lane"), F.lit("corpus_chunk").alias("memory_type"), "text", "doc_id")
+    _, old = graphs.annotated(docs, CATEGORIES, {}, now=F.lit(1).cast("long"))
+    hits, edges = graphs.annotated(docs, CATEGORIES, TOPICS, old, F.lit(2).cast("long"))
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], F.format_number(x["score"], 1))), ",").alias(c)
+    return hits.select("doc_id", told("categories"), told("topics"), "cluster_id")
 
 
 def t01_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +136,28 @@ def t04_stream_fresh_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.rolling_tails(spark, f"{sf_dir}/conversations.parquet")
 
 
-QUERIES = {f.__name__: f for f in (u08_rerank, c02_assemble_context, c04_bounded_discovery, c06_explanation, c10_near_reasoning_links, c15_aligned_chunks, t01_stream_upsert, t02_stream_mirror_turns, t04_stream_fresh_tail)}
+QUERIES = {f.__name__: f for f in (u06_category_graph, u08_rerank, c02_assemble_context, c04_bounded_discovery, c06_explanation, c10_near_reasoning_links, c15_aligned_chunks, t01_stream_upsert, t02_stream_mirror_turns, t04_stream_fresh_tail)}
+
+
+
+def _hints_sql(lexicon: dict[str, tuple[str, ...]], kind: str, relation: str) -> str:
+    """A row for each document and name: its score, and the edge that orders equal ones."""
+    n = {name: " + ".join(f"contains(low, '{w}')::INT" for w in words) for name, words in lexicon.items()}
+    return " UNION ALL ".join(f"SELECT doc_id, '{name}' AS name, least(1.0, 0.3 + 0.2 * ({x})) AS score, sha1(source || '|{relation}|' || 'node:' || substr(sha1('{kind}|{name}'), 1, 16)) AS edge FROM d WHERE {x} > 0" for name, x in n.items())
+
+
+_CLUSTER_STOPS = ", ".join(f"'{w}'" for w in lx.CLUSTER_STOPWORDS)
 
 ORACLE_SQL = {
+    "u06_category_graph": f"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, 'node:' || substr(sha1('corpus_chunk|' || doc_id), 1, 16) AS source FROM documents),
+c AS ({_hints_sql(CATEGORIES, "category", graphs.BELONGS)}), t AS ({_hints_sql(TOPICS, "topic", graphs.HAS_TOPIC)}),
+cs AS (SELECT doc_id, string_agg(name || ':' || printf('%.1f', score), ',' ORDER BY score DESC, edge) AS told, list_sort(list(name))[:2] AS names FROM c GROUP BY doc_id),
+ts AS (SELECT doc_id, string_agg(name || ':' || printf('%.1f', score), ',' ORDER BY score DESC, edge) AS told, list_sort(list(name))[:2] AS names FROM t GROUP BY doc_id),
+w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(low, '[a-z0-9_]+'), lambda x: x NOT IN ({_CLUSTER_STOPS}))))[:4] AS terms FROM d)
+SELECT w.doc_id, coalesce(cs.told, '') AS categories, coalesce(ts.told, '') AS topics,
+ 'cl:' || substr(sha1(array_to_string(['corpus', 'corpus_chunk'] || coalesce(ts.names, []) || coalesce(cs.names, []) || CASE WHEN len(terms) > 0 THEN terms ELSE ['uncategorized'] END, '|')), 1, 10) AS cluster_id
+FROM w LEFT JOIN cs ON cs.doc_id = w.doc_id LEFT JOIN ts ON ts.doc_id = w.doc_id""",
     "t01_stream_upsert": "SELECT conv_id AS session_id, turn AS message_id, role AS sender, text FROM conversations",
     "t02_stream_mirror_turns": "SELECT conv_id AS session_id, turn AS message_id, 'message' AS kind, text FROM conversations UNION ALL SELECT conv_id, turn, 'part', text FROM conversations UNION ALL SELECT conv_id, turn, 'context_item', substr(text, 1, 200) FROM conversations",
     "t04_stream_fresh_tail": "WITH r AS (SELECT conv_id AS session_id, turn AS message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT session_id, array_to_string(list(CAST(message_id AS VARCHAR) ORDER BY message_id), ',') AS tail FROM r WHERE n <= 3 GROUP BY session_id",

@@ -122,7 +122,7 @@ def l18_similar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array("event_type", F.concat(F.lit("t"), (F.floor("value") % 4).cast("string")))
     cases = e.select(F.col("event_id").alias("case_id"), F.concat_ws(" ", "event_type", "props").alias("blob"), *(v.alias(k) for k, v in about.items()), ids.alias("artifact_ids"), (F.col("event_type") != "error").alias("success"))
     requests = cases.where("case_id % 20 = 0").select(F.col("case_id").alias("request_id"), F.col("blob").alias("query"), *about, "artifact_ids")
-    return nearest.similar_cases(cases, requests, 5).withColumn("score", F.round("score", 6))
+    return nearest.similar_cases(cases, requests, 5, ("agent_type", "task_type", "channel_type")).withColumn("score", F.round("score", 6))
 
 
 def u10_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
