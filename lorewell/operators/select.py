@@ -193,21 +193,32 @@ class Selection:
         return front + plain(rest[:cut]) + plain(rest[cut:])
 
 
-def select_context(hits: DataFrame, intent: str, budget: int = 1400, reserved: int = 256) -> DataFrame:
+def by_intent(make) -> Column:
+    """make(intent) of each row's intent; an unknown one counts as the usual one."""
+    out = make(lx.OTHER_INTENT)
+    for intent in lx.WEIGHTS:
+        out = F.when(F.col("intent") == intent, make(intent)).otherwise(out)
+    return out
+
+
+def select_context(hits: DataFrame, intent: str | None = None, budget: int = 1400, reserved: int = 256) -> DataFrame:
     """Chosen and dropped hits of each query: OUT.
 
     hits: query_id, ord, id, lane, memory_type, text, tokens, scores, cluster_id, must_include, compressible, claim_key,
-    claim_value, has_provenance.  Repeated texts of a lane count once, in their first place.  Lanes return a bounded
-    number of hits for a query, so a group is small however large the tables are.
+    claim_value, has_provenance, and intent (the query's) where no intent is given for all.  Repeated texts of a lane count
+    once, in their first place.  Lanes return a bounded number of hits for a query, so a group is small however large the
+    tables are; all intents go through one fold.
     """
-    policy = Policy.of(intent)
+    hits = hits if intent is None else hits.withColumn("intent", F.lit(intent))
+    policies = {i: Policy.of(i) for i in lx.WEIGHTS}
     text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     first = Window.partitionBy("query_id", "lane", text).orderBy("ord")
-    rows = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("fixed", fixed_utility(intent))
+    rows = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("fixed", by_intent(fixed_utility))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
         pdf = pdf.astype(object).where(pdf.notna(), None)
+        policy = policies.get(pdf["intent"].iloc[0], policies[lx.OTHER_INTENT])
         s = Selection(pruned(pdf.to_dict("records")), policy, budget, reserved).run()
         query = pdf["query_id"].iloc[0]
         row = lambda i, u, status, reason, place: (query, s.hits[i]["id"], s.hits[i]["lane"], s.hits[i]["tokens"], round(u, 6) if u is not None else None, status, reason, place)
@@ -215,3 +226,31 @@ def select_context(hits: DataFrame, intent: str, budget: int = 1400, reserved: i
         return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return rows.groupBy("query_id").applyInPandas(fold, OUT)
+
+
+def pruned_hits(hits: DataFrame, most: int = SPLIT_TOKENS) -> DataFrame:
+    """(query_id, ord, id, lane, tokens, text): hits after pruning, in their order; hits as for select_context.
+
+    Repeated texts of a lane count once; what is split or merged keeps its ids' parts in its own."""
+    text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    first = Window.partitionBy("query_id", "lane", text).orderBy("ord")
+    rows = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("query_id", "ord", "id", "lane", "text", "tokens", "cluster_id", "compressible")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable")
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        kept = pruned(pdf.to_dict("records"), most)
+        return pd.DataFrame([(h["query_id"], n, h["id"], h["lane"], h["tokens"], h["text"]) for n, h in enumerate(kept)], columns=["query_id", "ord", "id", "lane", "tokens", "text"])
+
+    return rows.groupBy("query_id").applyInPandas(fold, "query_id long, ord long, id string, lane string, tokens int, text string")
+
+
+def against_selected(candidates: DataFrame, selected: DataFrame) -> DataFrame:
+    """candidates (query_id, id, claim_key, claim_value) with conflict: whether a selected hit of the query claims another
+    value of the same key.  Claims without key or value conflict with nothing.
+
+    Of the selected hits only the least and the greatest value of each key matter, so both sides meet one to many."""
+    ends = selected.where("claim_key <> '' and claim_value <> ''").groupBy("query_id", "claim_key").agg(F.min("claim_value").alias("low"), F.max("claim_value").alias("high"))
+    value = F.col("claim_value")
+    other = (value != "") & ((F.col("low") != value) | (F.col("high") != value))
+    return candidates.join(ends, ["query_id", "claim_key"], "left").withColumn("conflict", F.coalesce(other, F.lit(False))).select(*candidates.columns, "conflict")

@@ -84,11 +84,42 @@ def c02_assemble_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = [F.lit(0.0).alias("contradiction_risk")]
     none = [F.lit(None).cast("string").alias(c) for c in ("claim_key", "claim_value")]
     hits = hits.select("query_id", "ord", "id", "lane", "memory_type", "text", "tokens", "lexical_score", "semantic_score", "trust_score", "recency_score", "freshness_score", "novelty_score", "cluster_id", "intent", *zero, *none, "must_include", (~F.col("must_include")).alias("compressible"), F.lit(True).alias("has_provenance"))
-    out = None
-    for intent in sorted(r["intent"] for r in asked(spark, sf_dir).select("intent").distinct().collect()):
-        chosen = select.select_context(hits.where(F.col("intent") == intent).drop("intent"), intent)
-        out = chosen if out is None else out.unionByName(chosen)
-    return select.select_context(hits.drop("intent"), lx.OTHER_INTENT) if out is None else out
+    return select.select_context(hits)
+
+
+def document_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hits whose scores, lanes and claims are told by their number, for operators that take hits as they are;
+    a source is a query, in the order of its documents."""
+    i, intents = F.col("doc_id"), F.array(*map(F.lit, lx.WEIGHTS))
+    part = lambda n, k: ((i + k) % n / n).alias
+    lane = F.element_at(F.array(*map(F.lit, ("semantic", "corpus", "episodic", "fresh_tail", "promoted", "session_summary", "architecture"))), (i % 7 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("corpus_chunk", "summary", "promoted_fact", "episodic_raw", "architecture_note"))), (i % 5 + 1).cast("int"))
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("long")
+    scores = [part(n, k)(c) for c, n, k in (("lexical_score", 11, 0), ("semantic_score", 13, 1), ("recency_score", 3, 2), ("freshness_score", 4, 3), ("trust_score", 9, 4), ("novelty_score", 10, 5), ("contradiction_risk", 21, 6))]
+    return read(spark, sf_dir, "documents").select(number.alias("query_id"), i.alias("ord"), F.concat(F.lit("h"), F.lpad(i.cast("string"), 12, "0")).alias("id"), lane.alias("lane"), kind.alias("memory_type"), "text", F.greatest(F.lit(1), F.floor((F.length("text") + 3) / 4)).cast("int").alias("tokens"), *scores, F.concat(F.lit("k"), (i % 6).cast("string")).alias("cluster_id"), F.concat(F.lit("claim"), (i % 50).cast("string")).alias("claim_key"), F.coalesce("lang", F.lit("")).alias("claim_value"), F.lit(False).alias("must_include"), (i % 8 != 0).alias("compressible"), (i % 6 != 0).alias("has_provenance"), F.element_at(intents, (number % F.size(intents) + 1).cast("int")).alias("intent"))
+
+
+def c01_pruned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of up to 600 tokens, pruned by source."""
+    rows = document_hits(spark, sf_dir).where("tokens <= 600 and query_id is not null")
+    return select.pruned_hits(rows).select("query_id", "id", "lane", F.col("tokens").cast("long").alias("tokens"), F.sha1("text").alias("text"))
+
+
+def c03_fixed_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_hits(spark, sf_dir).where("query_id is not null")
+    return rows.select("id", "intent", F.round(select.by_intent(select.intent_fit), 6).alias("intent_fit"), F.round(select.by_intent(select.fixed_utility), 6).alias("utility"))
+
+
+def j10_conflict_with_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document is selected; the others are candidates of the same source."""
+    rows = document_hits(spark, sf_dir).select("query_id", "ord", "id", "claim_key", "claim_value")
+    return select.against_selected(rows.where("ord % 7 <> 0").drop("ord"), rows.where("ord % 7 = 0")).select("id", "conflict")
+
+
+def w01_lane_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = document_hits(spark, sf_dir).withColumn("score", F.col("lexical_score") + F.col("semantic_score"))
+    best = rank.top_k(rows, ["query_id", "lane"], [F.round("score", 9).desc(), F.col("id")], 3)
+    return best.select("query_id", "lane", "id", F.round("score", 6).alias("score"))
 
 
 def c06_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +167,7 @@ def t04_stream_fresh_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.rolling_tails(spark, f"{sf_dir}/conversations.parquet")
 
 
-QUERIES = {f.__name__: f for f in (u06_category_graph, u08_rerank, c02_assemble_context, c04_bounded_discovery, c06_explanation, c10_near_reasoning_links, c15_aligned_chunks, t01_stream_upsert, t02_stream_mirror_turns, t04_stream_fresh_tail)}
+QUERIES = {f.__name__: f for f in (c01_pruned_hits, c03_fixed_utility, j10_conflict_with_selected, w01_lane_top_k, u06_category_graph, u08_rerank, c02_assemble_context, c04_bounded_discovery, c06_explanation, c10_near_reasoning_links, c15_aligned_chunks, t01_stream_upsert, t02_stream_mirror_turns, t04_stream_fresh_tail)}
 
 
 
@@ -148,7 +179,22 @@ def _hints_sql(lexicon: dict[str, tuple[str, ...]], kind: str, relation: str) ->
 
 _CLUSTER_STOPS = ", ".join(f"'{w}'" for w in lx.CLUSTER_STOPWORDS)
 
+_HITS = f"""h AS (SELECT doc_id, nullif(regexp_extract(source, '[0-9]+'), '')::BIGINT AS query_id, 'h' || lpad(doc_id::VARCHAR, 12, '0') AS id, ['semantic', 'corpus', 'episodic', 'fresh_tail', 'promoted', 'session_summary', 'architecture'][doc_id % 7 + 1] AS lane,
+ ['corpus_chunk', 'summary', 'promoted_fact', 'episodic_raw', 'architecture_note'][doc_id % 5 + 1] AS kind, doc_id % 11 / 11 AS lex, (doc_id + 1) % 13 / 13 AS sem, (doc_id + 2) % 3 / 3 AS rec, (doc_id + 3) % 4 / 4 AS fresh, (doc_id + 4) % 9 / 9 AS trust, (doc_id + 5) % 10 / 10 AS nov, (doc_id + 6) % 21 / 21 AS risk,
+ 'claim' || doc_id % 50 AS k, coalesce(lang, '') AS v, doc_id % 6 <> 0 AS prov FROM documents), t AS (SELECT *, [{", ".join(f"'{i}'" for i in lx.WEIGHTS)}][query_id % {len(lx.WEIGHTS)} + 1] AS intent FROM h WHERE query_id IS NOT NULL)"""
+_WEIGHED = ", ".join(f"('{i}', {', '.join(map(str, w))})" for i, w in lx.WEIGHTS.items())
+
 ORACLE_SQL = {
+    "c03_fixed_utility": f"""WITH {_HITS}, w(intent, rel, pv, rc, fr, nv, ft, rd, cn) AS (VALUES {_WEIGHED}),
+f AS (SELECT *, CASE intent WHEN 'exact_recall' THEN CASE WHEN lane IN ('episodic', 'fresh_tail') THEN 1.0 WHEN kind = 'summary' THEN 0.1 ELSE 0.2 END
+ WHEN 'memory_summary' THEN CASE WHEN kind IN ('summary', 'promoted_fact', 'architecture_note') THEN 1.0 WHEN lane = 'episodic' THEN 0.35 ELSE 0.5 END
+ WHEN 'architecture_explanation' THEN CASE WHEN lane = 'architecture' THEN 1.0 ELSE 0.2 END
+ WHEN 'corpus_overview' THEN CASE WHEN lane IN ('corpus', 'large_file') THEN 1.0 WHEN lane = 'fresh_tail' THEN 0.35 ELSE 0.2 END
+ WHEN 'planning' THEN CASE lane WHEN 'fresh_tail' THEN 1.0 WHEN 'episodic' THEN 1.0 WHEN 'lexical' THEN 0.8 WHEN 'promoted' THEN 0.65 WHEN 'session_summary' THEN 0.25 ELSE 0.35 END
+ ELSE CASE WHEN lane IN ('corpus', 'large_file', 'promoted', 'episodic') THEN 0.8 ELSE 0.45 END END AS fit FROM t)
+SELECT id, f.intent, round(fit::DOUBLE, 6) AS intent_fit, round(CAST(rel * (lex + sem) / 2 + pv * CASE WHEN prov THEN 1.0 ELSE 0.2 END + rc * rec + fr * (fresh + trust) / 2 + nv * nov + ft * fit - cn * risk AS DOUBLE), 6) AS utility FROM f JOIN w ON w.intent = f.intent""",
+    "j10_conflict_with_selected": f"""WITH {_HITS} SELECT a.id, EXISTS (SELECT 1 FROM h b WHERE b.doc_id % 7 = 0 AND b.query_id = a.query_id AND b.k = a.k AND b.v <> '' AND a.v <> '' AND b.v <> a.v) AS conflict FROM h a WHERE a.doc_id % 7 <> 0""",
+    "w01_lane_top_k": f"""WITH {_HITS} SELECT query_id, lane, id, round(lex + sem, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY query_id, lane ORDER BY round(lex + sem, 9) DESC, id) <= 3""",
     "u06_category_graph": f"""
 WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, 'node:' || substr(sha1('corpus_chunk|' || doc_id), 1, 16) AS source FROM documents),
 c AS ({_hints_sql(CATEGORIES, "category", graphs.BELONGS)}), t AS ({_hints_sql(TOPICS, "topic", graphs.HAS_TOPIC)}),
