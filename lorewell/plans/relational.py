@@ -679,8 +679,3 @@ def c15_window_chunks(d):
 @plan
 def c17_tuning_proposals(d):
     return "WITH m AS (SELECT event_type AS metric, avg(CASE WHEN user_id % 2 = 0 THEN value END) AS before, avg(CASE WHEN user_id % 2 = 1 THEN value END) AS after FROM events GROUP BY event_type) SELECT metric, CASE WHEN after - before > 0.5 THEN 'propose' ELSE 'keep_baseline' END AS proposal FROM m"
-
-
-@plan
-def t06_fetch_cache(d):
-    return "WITH c AS (SELECT url, count(*) AS cached FROM pages GROUP BY url) SELECT p.page_id, CASE WHEN c.cached >= 2 THEN 'cache' WHEN p.page_id % 2 = 0 THEN 'cache' ELSE 'fetch' END AS status FROM pages p JOIN c ON p.url = c.url"
