@@ -25,12 +25,14 @@ CASE_TEXT, CASE_ARTIFACTS, CASE_SUCCESS = 12.0, 10.0, 1.5
 def rank_artifacts(artifacts: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     """(request_id, artifact_id, score): the k best artifacts of each request, ties by artifact_id.
 
-    artifacts: artifact_id, artifact_type, confidence, blob (lower-cased text); requests: request_id, query and the keys
-    of ARTIFACT_MATCH, null where a request doesn't say.  A match is the request's value, underscores as spaces, within
+    artifacts: artifact_id, artifact_type, confidence, blob (lower-cased text), and adjustment (added to the score) where
+    there is one; requests: request_id, query and the keys of ARTIFACT_MATCH, null where a request doesn't say.  A match is the request's value, underscores as spaces, within
     the blob; a language is taken as it is.  Every artifact has a place, also one of a score of 0 or less."""
     priority = F.coalesce(F.create_map(*(F.lit(x) for p in TYPE_PRIORITY.items() for x in p))[F.col("artifact_type")], F.lit(0))
     base = priority + F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) * CONFIDENCE_WEIGHT
     base = base - F.when(F.col("artifact_type") == "raw_chunk", RAW_PENALTY).otherwise(0.0)
+    if "adjustment" in artifacts.columns:
+        base = base + F.col("adjustment")
     rows = artifacts.select(F.col("artifact_id").alias("row_id"), F.col("artifact_id").alias("tie"), token_set(F.col("blob")).alias("features"), base.alias("base"), F.col("blob").alias("text"))
     says = [F.when(F.length(n) > 0, F.struct((F.lower(F.col(n)) if n == "language" else F.regexp_replace(n, "_", " ")).alias("value"), F.lit(w).alias("weight"))) for n, w in ARTIFACT_MATCH.items()]
     asked = requests.select(F.col("request_id").alias("query_id"), token_set(F.col("query")).alias("features"), F.array_compact(F.array(*says)).alias("says"))

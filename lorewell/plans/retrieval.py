@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.operators import lanes, linear, nearest, rank, vectors
+from lorewell.operators import lanes, linear, nearest, packs, rank, vectors
 from lorewell.sources.tables import read
 
 from . import context
@@ -104,15 +104,27 @@ def l02_vector_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.semantic_search(records, queries, 5, "chroma", "fr").withColumn("score", F.round("score", 6))
 
 
-def l16_skill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def artifacts_and_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as artifacts: the type by the id, the confidence by the label; every twentieth benchmark item asks."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     types = F.array(*map(F.lit, nearest.TYPE_PRIORITY))
     blob = F.lower(F.concat_ws(" ", "text", "source", "lang"))
     artifacts = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("artifact_id"), F.element_at(types, (F.col("doc_id") % 11 + 1).cast("int")).alias("artifact_type"), F.when(F.col("quality") == 1, 0.8).when(F.col("quality") == 0, 0.4).otherwise(0.6).alias("confidence"), blob.alias("blob"))
     says = {"agent_type": F.lit("with_the"), "task_type": F.lit(None).cast("string"), "channel_type": F.lit("and_on"), "language": F.lit("FR"), "style_profile": F.lit("la_le")}
-    requests = read(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), *(v.alias(k) for k, v in says.items()))
-    return nearest.rank_artifacts(artifacts, requests, 10).withColumn("score", F.round("score", 6))
+    return artifacts, read(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), *(v.alias(k) for k, v in says.items()))
+
+
+def l16_skill_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.rank_artifacts(*artifacts_and_requests(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+def c13_skill_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events tell how an artifact, the one of their user's id, was used."""
+    artifacts, requests = artifacts_and_requests(spark, sf_dir)
+    kinds = {"uses": "click", "reinforces": "purchase", "critiques": "error", "supports": "view"}
+    signals = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("artifact_id")).agg(*(F.count_if(F.col("event_type") == v).alias(k) for k, v in kinds.items()))
+    found = packs.skill_packs(artifacts, requests, signals, 14)
+    return found.select("request_id", "place", "artifact_id", "artifact_type", F.round("score", 6).alias("score"), F.round("adjustment", 6).alias("adjustment"))
 
 
 def l18_similar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +151,23 @@ def u10_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The lanes that a plan of relational.py or memory.py checks, with the SQL of that plan, are here as searches.
-QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l10_vector_index, l02_vector_backend, l16_skill_ranking, l18_similar_cases, u10_hybrid_retrieval)}
+QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l10_vector_index, l02_vector_backend, l16_skill_ranking, c13_skill_packs, l18_similar_cases, u10_hybrid_retrieval)}
 
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''))"
 _COSINES = "SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
 
+_RANKED = f"""WITH types(n, t, p) AS (VALUES (0, 'principle', 70), (1, 'template', 60), (2, 'execution_lesson', 57), (3, 'evaluation_lesson', 56), (4, 'example', 50),
+ (5, 'rubric', 40), (6, 'anti_pattern', 30), (7, 'workflow', 20), (8, 'style_note', 15), (9, 'style_gist', 15), (10, 'raw_chunk', 1)),
+l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+a AS (SELECT d.doc_id AS artifact_id, t, p, CASE quality WHEN 1 THEN 0.8 WHEN 0 THEN 0.4 ELSE 0.6 END AS conf, lower(concat_ws(' ', text, source, lang)) AS blob
+ FROM documents d JOIN types ON d.doc_id % 11 = n LEFT JOIN l ON l.doc_id = d.doc_id),
+w AS (SELECT *, {_TOKENS.format('blob')} AS tok FROM a),
+r AS (SELECT item_id AS request_id, {_TOKENS.format('text')} AS q FROM benchmark WHERE item_id % 20 = 0),
+s AS (SELECT request_id, artifact_id, t, round(CAST(p + conf * 10 AS DOUBLE) + CASE WHEN len(q) > 0 THEN 16.0 * len(list_intersect(q, tok)) / CAST(len(q) AS DOUBLE) ELSE 0 END
+ + CASE WHEN contains(blob, 'with the') THEN 6 ELSE 0 END + CASE WHEN contains(blob, 'and on') THEN 3 ELSE 0 END + CASE WHEN contains(blob, 'fr') THEN 3 ELSE 0 END
+ + CASE WHEN contains(blob, 'la le') THEN 4 ELSE 0 END - CASE WHEN t = 'raw_chunk' THEN 8 ELSE 0 END, 6) AS score FROM r, w)"""
+
 ORACLE_SQL = {
     "l03_episodic_lane": f"""
 WITH m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
@@ -171,18 +194,15 @@ WITH q AS (SELECT item_id AS query_id, {_WORDS.format('text')} AS qw FROM benchm
 s AS (SELECT query_id, doc_id AS record_id, len(list_intersect(qw, w)) / CAST(greatest(len(list_distinct(list_concat(qw, w))), 1) AS DOUBLE) AS x FROM q, d),
 r AS (SELECT query_id, record_id, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, record_id) AS place FROM s WHERE x > 0)
 SELECT query_id, record_id, score, 'chroma' AS requested_backend, 'token_jaccard_v1' AS selected_backend, true AS fallback_used, place FROM r WHERE place <= 5""",
-    "l16_skill_ranking": f"""
-WITH types(n, t, p) AS (VALUES (0, 'principle', 70), (1, 'template', 60), (2, 'execution_lesson', 57), (3, 'evaluation_lesson', 56), (4, 'example', 50),
- (5, 'rubric', 40), (6, 'anti_pattern', 30), (7, 'workflow', 20), (8, 'style_note', 15), (9, 'style_gist', 15), (10, 'raw_chunk', 1)),
-l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-a AS (SELECT d.doc_id AS artifact_id, t, p, CASE quality WHEN 1 THEN 0.8 WHEN 0 THEN 0.4 ELSE 0.6 END AS conf, lower(concat_ws(' ', text, source, lang)) AS blob
- FROM documents d JOIN types ON d.doc_id % 11 = n LEFT JOIN l ON l.doc_id = d.doc_id),
-w AS (SELECT *, {_TOKENS.format('blob')} AS tok FROM a),
-r AS (SELECT item_id AS request_id, {_TOKENS.format('text')} AS q FROM benchmark WHERE item_id % 20 = 0),
-s AS (SELECT request_id, artifact_id, round(CAST(p + conf * 10 AS DOUBLE) + CASE WHEN len(q) > 0 THEN 16.0 * len(list_intersect(q, tok)) / CAST(len(q) AS DOUBLE) ELSE 0 END
- + CASE WHEN contains(blob, 'with the') THEN 6 ELSE 0 END + CASE WHEN contains(blob, 'and on') THEN 3 ELSE 0 END + CASE WHEN contains(blob, 'fr') THEN 3 ELSE 0 END
- + CASE WHEN contains(blob, 'la le') THEN 4 ELSE 0 END - CASE WHEN t = 'raw_chunk' THEN 8 ELSE 0 END, 6) AS score FROM r, w)
-SELECT request_id, artifact_id, score FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, artifact_id) <= 10""",
+    "l16_skill_ranking": f"{_RANKED} SELECT request_id, artifact_id, score FROM s QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, artifact_id) <= 10",
+    "c13_skill_packs": f"""{_RANKED}, o(t, rank, quota) AS (VALUES ('principle', 0, 5), ('template', 1, 2), ('rubric', 2, 1), ('workflow', 3, 1), ('anti_pattern', 4, 1), ('style_note', 5, 1), ('execution_lesson', 6, 1), ('evaluation_lesson', 7, 1), ('example', 8, 3), ('raw_chunk', 9, 2)),
+n AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS u, count(*) FILTER (event_type = 'purchase') AS r, count(*) FILTER (event_type = 'error') AS c, count(*) FILTER (event_type = 'view') AS v FROM events GROUP BY user_id),
+g AS (SELECT user_id, CASE WHEN u + r + c < 2 THEN 0 ELSE greatest(-4.5, least(5, least(5, 1.6 * r + 0.4 * u + least(1, 0.2 * v)) - least(4.5, 1.5 * c))) END::DOUBLE AS adj FROM n),
+x AS (SELECT request_id, artifact_id, t AS artifact_type, rank, quota, round(score + coalesce(adj, 0), 6) AS score, coalesce(adj, 0) AS adjustment FROM s JOIN o USING (t) LEFT JOIN g ON user_id = artifact_id
+ QUALIFY row_number() OVER (PARTITION BY request_id, t ORDER BY round(score + coalesce(adj, 0), 6) DESC, artifact_id) <= quota),
+y AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, score DESC, artifact_id) AS place FROM x QUALIFY place <= 14),
+z AS (SELECT *, count(*) FILTER (artifact_type <> 'raw_chunk') OVER (PARTITION BY request_id) AS typed FROM y)
+SELECT request_id, place, artifact_id, artifact_type, score, round(adjustment, 6) AS adjustment FROM z WHERE artifact_type <> 'raw_chunk' OR typed < 6""",
     "l18_similar_cases": f"""
 WITH c AS (SELECT event_id AS case_id, event_type, 't' || (CAST(floor(value) AS BIGINT) % 4) AS task, user_id % 3 AS channel, user_id % 2 AS lang, {_TOKENS.format("concat_ws(' ', event_type, props)")} AS tok FROM events),
 s AS (SELECT a.case_id AS request_id, b.case_id, round(CAST(CASE WHEN a.event_type = b.event_type THEN 6 ELSE 0 END + CASE WHEN a.task = b.task THEN 6 ELSE 0 END + CASE WHEN a.channel = b.channel THEN 4 ELSE 0 END
