@@ -16,9 +16,8 @@ from lorewell.streaming.facts import transitions_of_files
 from lorewell.streaming.ingest import shared_path
 
 START, STEP = 1_700_000_000, 600
-#: Hours after its staging at which something happens to a fact: the fixed ones, and those after it is looked at.
+#: Hours after its staging at which something happens to a fact; the rest depends on when it is looked at.
 FIXED = (("promote", 1), ("workspace", 2), ("global", 3))
-LOOK = F.col("doc_id") % 100 + 20
 
 
 def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,8 @@ def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "claim_key": F.when(i % 3 == 0, F.col("source")).otherwise(F.concat(F.lit("own "), i.cast("string"))),
         "claim_value": F.col("lang"),
     }
-    hours = [("stage", F.lit(0)), *((op, F.lit(h)) for op, h in FIXED), ("evaluate", LOOK), ("revalidate", LOOK + 1), ("promote", LOOK + 2), ("evaluate", LOOK + 60)]
+    look = i % 100 + 20
+    hours = [("stage", F.lit(0)), *((op, F.lit(h)) for op, h in FIXED), ("evaluate", look), ("revalidate", look + 1), ("promote", look + 2), ("evaluate", look + 60)]
     steps = F.array(*(F.struct(F.lit(n).cast("long").alias("seq"), F.lit(op).alias("op"), h.cast("long").alias("hour")) for n, (op, h) in enumerate(hours)))
     rows = docs.select(i.alias("fact_id"), (F.lit(START) + i * STEP).alias("base"), *(v.alias(k) for k, v in staged.items()), F.explode(steps).alias("s"))
     rows = rows.where("not (s.op = 'revalidate' and fact_id % 4 = 1) and not (s.seq = 6 and fact_id % 2 = 1)")
