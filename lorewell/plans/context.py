@@ -147,8 +147,8 @@ def c15_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("import os\n\ndef first():\n    return '"), part(1, 50), F.lit("'\n\nclass Second:\n    x = 1\n"))
     is_code = F.col("doc_id") % 3 == 0
     rows = docs.select(F.concat(F.lit("d"), number).alias("document_id"), F.when(is_code, "a/b.py").otherwise("a/b.md").alias("source_path"), F.when(is_code, code).otherwise(md).alias("text"))
-    whole = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "level", "char_start", "char_end", "line_start", "line_end", "overlap_before", "overlap_after")]
-    return chunk.corpus_chunks(rows).select("document_id", "chunk_id", "source_type", "strategy", "title", "path", *whole)
+    whole = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "line_start", "line_end", "overlap_before", "overlap_after")]
+    return chunk.corpus_chunks(rows).select("document_id", "chunk_id", "source_type", "strategy", "title", "path", F.col("level").cast("string").alias("level"), *whole)
 
 
 def c04_bounded_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ m AS (SELECT doc_id, length('# Doc ' || doc_id) + 1 + least(n, 200) + 2 AS a, 8
 s AS (SELECT doc_id, 0 AS i, 'Doc ' || doc_id AS title, 'Doc ' || doc_id AS path, 1 AS level, 0 AS x, a AS y, 1 AS l, 4 AS r FROM m UNION ALL SELECT doc_id, 1, 'Part', 'Doc ' || doc_id || ' > Part', 2, a, a + b, 4, 7 FROM m UNION ALL SELECT doc_id, 2, 'End', 'End', 1, a + b, a + b + c, 7, 8 FROM m),
 k AS (SELECT doc_id, least(n, 50) AS t FROM d WHERE doc_id % 3 = 0),
 p AS (SELECT doc_id, 0 AS i, 'module_preamble' AS title, 0 AS x, 10 AS y, 1 AS l, 2 AS r FROM k UNION ALL SELECT doc_id, 1, 'first', 10, 10 + 14 + 12 + t + 2, 2, 5 FROM k UNION ALL SELECT doc_id, 2, 'Second', 38 + t, 38 + t + 1 + 14 + 10, 5, 8 FROM k)
-SELECT 'd' || doc_id AS document_id, 'd' || doc_id || '_chunk_000' || i AS chunk_id, 'markdown' AS source_type, 'markdown_section' AS strategy, title, path, i::BIGINT AS chunk_index, level::BIGINT AS level, x::BIGINT AS char_start, y::BIGINT AS char_end, l::BIGINT AS line_start, r::BIGINT AS line_end, 0::BIGINT AS overlap_before, 0::BIGINT AS overlap_after FROM s
+SELECT 'd' || doc_id AS document_id, 'd' || doc_id || '_chunk_000' || i AS chunk_id, 'markdown' AS source_type, 'markdown_section' AS strategy, title, path, i::BIGINT AS chunk_index, level::VARCHAR AS level, x::BIGINT AS char_start, y::BIGINT AS char_end, l::BIGINT AS line_start, r::BIGINT AS line_end, 0::BIGINT AS overlap_before, 0::BIGINT AS overlap_after FROM s
 UNION ALL SELECT 'd' || doc_id, 'd' || doc_id || '_chunk_000' || i, 'code', 'code_symbol', title, title, i, NULL, x, y, l, r, 0, 0 FROM p""",
     "c03_fixed_utility": f"""WITH {_HITS}, w(intent, rel, pv, rc, fr, nv, ft, rd, cn) AS (VALUES {_WEIGHED}),
 f AS (SELECT *, CASE intent WHEN 'exact_recall' THEN CASE WHEN lane IN ('episodic', 'fresh_tail') THEN 1.0 WHEN kind = 'summary' THEN 0.1 ELSE 0.2 END

@@ -47,13 +47,13 @@ def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c11_promotion_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fact at the end of its events."""
     found = webfacts.latest(webfacts.transitions(fact_events(spark, sf_dir)))
-    return found.select("fact_id", "state", "tier", "approval_reason", F.col("n_moves").cast("long").alias("n_moves"), "last_move", "approved_at")
+    return found.select("fact_id", "state", "tier", "approval_reason", F.col("n_moves").cast("long").alias("n_moves"), "last_move", F.col("approved_at").cast("string").alias("approved_at"))
 
 
 def t03_ttl_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freshness after each look and each request."""
     found = webfacts.transitions(fact_events(spark, sf_dir)).where("op in ('evaluate', 'revalidate')")
-    return found.select("fact_id", "seq", "op", "lifecycle", "freshness_reason", "validated_at", "asked_at", "changed")
+    return found.select("fact_id", "seq", "op", "lifecycle", "freshness_reason", *(F.col(c).cast("string").alias(c) for c in ("validated_at", "asked_at")), "changed")
 
 
 def t03_fact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def t03_fact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k17_promoted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims with the facts that make them and what contradicts them, by classes of equal claims."""
     claims = fact_events(spark, sf_dir).where("op = 'stage'")
-    return webfacts.claim_classes(claims).select("claim_key", "claim_value", "n_facts", "first_fact", "since", "n_conflicting", "conflict_from")
+    return webfacts.claim_classes(claims).select("claim_key", "claim_value", "n_facts", "first_fact", "since", "n_conflicting", F.col("conflict_from").cast("string").alias("conflict_from"))
 
 
 def web_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +95,7 @@ def k18_fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     web.fetch_log(requests, evidence, outcomes).write.parquet(f"{path}-in")
     stream = spark.readStream.schema(web.LOG).option("maxFilesPerTrigger", 4).parquet(f"{path}-in")
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(lambda batch, n: web.appended(batch, n, path)).start().awaitTermination()
-    return spark.read.schema(web.LOG).parquet(path).select("request_id", "query_variant", "status", F.col("http_status").cast("long").alias("http_status"), "error", "result_count")
+    return spark.read.schema(web.LOG).parquet(path).select("request_id", "query_variant", "status", F.col("http_status").cast("string").alias("http_status"), "error", "result_count")
 
 
 def l07_web_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +149,8 @@ ORACLE_SQL = {
     "t06_cache_reuse": f"""WITH {_REQUESTS} SELECT event_id AS request_id, cached, enough AS from_cache FROM d""",
     "k18_fetch_log": f"""
 WITH {_REQUESTS}, v AS (SELECT *, unnest(CASE WHEN fresh THEN [q, q || ' latest'] ELSE [q] END) AS variant FROM d WHERE NOT enough)
-SELECT event_id AS request_id, q AS query_variant, 'cache_hit' AS status, NULL::BIGINT AS http_status, NULL AS error, cached AS result_count FROM d WHERE enough
-UNION ALL SELECT event_id, variant, CASE WHEN user_id % 7 = 0 THEN 'error' ELSE 'ok' END, CASE WHEN user_id % 7 = 0 THEN NULL ELSE 200 END, CASE WHEN user_id % 7 = 0 THEN 'timeout' END,
+SELECT event_id AS request_id, q AS query_variant, 'cache_hit' AS status, NULL::VARCHAR AS http_status, NULL AS error, cached AS result_count FROM d WHERE enough
+UNION ALL SELECT event_id, variant, CASE WHEN user_id % 7 = 0 THEN 'error' ELSE 'ok' END, CASE WHEN user_id % 7 = 0 THEN NULL ELSE '200' END, CASE WHEN user_id % 7 = 0 THEN 'timeout' END,
  CASE WHEN user_id % 7 = 0 OR user_id % 4 = 3 THEN 0 ELSE user_id % 4 END FROM v""",
     "l07_web_memory": f"""{_FACTS}, q AS (SELECT item_id AS query_id, {_WORDS.format('text')} AS qw FROM benchmark),
 fw AS (SELECT f.fact_id, {_WORDS.format('d.text')} AS w FROM f JOIN documents d ON d.doc_id = f.fact_id), pw AS (SELECT page_id, url, {_WORDS.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS w FROM pages),
@@ -167,11 +167,11 @@ SELECT query_id, id, semantic_score, round(t, 6) AS trust_score, contradiction_r
 SELECT fact_id, CASE WHEN good THEN 'trusted' ELSE 'staged' END AS state, CASE WHEN wide THEN 'global' WHEN work THEN 'workspace' ELSE 'local' END AS tier,
  CASE WHEN approved THEN 'explicit_backend_approval' WHEN good THEN 'evidence_count_confidence_source_threshold' ELSE 'insufficient_evidence_or_confidence' END AS approval_reason,
  CAST(work AS BIGINT) + CAST(wide AS BIGINT) AS n_moves, CASE WHEN wide THEN 'workspace>global' WHEN work THEN 'local>workspace' END AS last_move,
- CASE WHEN good AND fact_id % 2 = 0 THEN base + (look + 2) * 3600 WHEN good THEN base + 3600 END AS approved_at FROM e2""",
+ CASE WHEN good AND fact_id % 2 = 0 THEN base + (look + 2) * 3600 WHEN good THEN base + 3600 END::VARCHAR AS approved_at FROM e2""",
     "t03_ttl_revalidation": f"""{_FACTS}
-SELECT fact_id, CAST(4 AS BIGINT) AS seq, 'evaluate' AS op, life1 AS lifecycle, why1 AS freshness_reason, valid1 AS validated_at, asked1 AS asked_at, good AS changed FROM e2
-UNION ALL SELECT fact_id, 5, 'revalidate', life2, why2, valid1, asked2, asked1 IS NULL FROM e2 WHERE asks
-UNION ALL SELECT fact_id, 7, 'evaluate', life4, why4, valid3, asked3, good AND (life4 <> life3 OR why4 <> why3) FROM e2""",
+SELECT fact_id, CAST(4 AS BIGINT) AS seq, 'evaluate' AS op, life1 AS lifecycle, why1 AS freshness_reason, valid1::VARCHAR AS validated_at, asked1::VARCHAR AS asked_at, good AS changed FROM e2
+UNION ALL SELECT fact_id, 5, 'revalidate', life2, why2, valid1::VARCHAR, asked2::VARCHAR, asked1 IS NULL FROM e2 WHERE asks
+UNION ALL SELECT fact_id, 7, 'evaluate', life4, why4, valid3::VARCHAR, asked3::VARCHAR, good AND (life4 <> life3 OR why4 <> why3) FROM e2""",
     "t03_fact_stream": f"""{_FACTS}, x AS (SELECT max(base + (look + 60) * 3600) - 1 AS until FROM f),
 due AS (SELECT *, base + 3600 + ttl * 3600 + 1 AS due1, CASE WHEN fact_id % 2 = 0 THEN base + (look + 2) * 3600 ELSE base + 3600 END + ttl * 3600 + 1 AS due2, asks AND asked1 IS NULL AS pends FROM e2 WHERE good)
 SELECT fact_id, due1 AS at, 'stale' AS lifecycle, 'ttl_expired' AS freshness_reason, base + 3600 AS validated_at FROM due, x
@@ -179,6 +179,6 @@ SELECT fact_id, due1 AS at, 'stale' AS lifecycle, 'ttl_expired' AS freshness_rea
 UNION ALL SELECT fact_id, due2, 'stale', 'ttl_expired', due2 - ttl * 3600 - 1 FROM due, x
  WHERE due2 <= until AND (fact_id % 2 = 0 OR (due2 > base + (look + 60) * 3600))""",
     "k17_promoted_facts": f"""{_FACTS}, q AS (SELECT k, v, count(*) AS n_facts, min(fact_id) AS first_fact, min(base) AS since FROM f WHERE k <> '' AND v <> '' GROUP BY k, v)
-SELECT lower(a.k) AS claim_key, lower(a.v) AS claim_value, a.n_facts, a.first_fact, a.since, CAST(coalesce(sum(b.n_facts), 0) AS BIGINT) AS n_conflicting, CASE WHEN min(b.since) IS NOT NULL THEN greatest(a.since, min(b.since)) END AS conflict_from
+SELECT lower(a.k) AS claim_key, lower(a.v) AS claim_value, a.n_facts, a.first_fact, a.since, CAST(coalesce(sum(b.n_facts), 0) AS BIGINT) AS n_conflicting, CASE WHEN min(b.since) IS NOT NULL THEN greatest(a.since, min(b.since)) END::VARCHAR AS conflict_from
 FROM q a LEFT JOIN q b ON a.k = b.k AND a.v <> b.v GROUP BY a.k, a.v, a.n_facts, a.first_fact, a.since""",
 }
