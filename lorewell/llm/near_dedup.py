@@ -31,6 +31,8 @@ from .textvec import mixed, set_class, shingle_sets
 ROWS = 6
 #: Pairs for which one copy of a class's text is dealt out.
 PAIRS_A_COPY = 5_000
+#: Nodes that a task holds when it folds its links.
+FOREST_NODES = 200_000
 #: Bins of the parity sketch, in words of 64 bits.
 SKETCH_WORDS = 16
 
@@ -114,28 +116,63 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> Da
     return own.mapInPandas(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of undirected links (a, b): alternating large and small stars until nothing changes.
+def forests(edges: DataFrame, most: int = FOREST_NODES) -> DataFrame:
+    """Edges (u, v) with the same components, each partition's own ones as stars around their least node.
+
+    A partition is folded `most` nodes at a time, so that what a task holds doesn't grow with it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def top(x: object) -> object:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def stars() -> pd.DataFrame:
+            below = [x for x in parent if parent[x] != x]
+            return pd.DataFrame({"u": below, "v": [top(x) for x in below]})
+
+        for pdf in batches:
+            for u, v in zip(pdf["u"], pdf["v"]):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                a, b = top(u), top(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                if len(parent) > most:
+                    yield stars()
+                    parent.clear()
+        yield stars()
+
+    return edges.mapInPandas(run, edges.schema)
+
+
+def components(links: DataFrame, most: int = FOREST_NODES) -> DataFrame:
+    """(node, root) for the nodes of undirected links (a, b): forests within partitions, then alternating large and small
+    stars until every node has one edge, to its component's least node.
 
     Every round is a written table; edges never exceed the links in number, and no task holds a node's neighbours.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", True)
+    read, edges = edges, written(forests(edges, most).distinct(), "forests", True)
+    discard(read)
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def unfinished(df: DataFrame) -> bool:
+        ends = df.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(df.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
+        return bool(ends.where("below > 1 or (below > 0 and above > 0)").limit(1).count())
 
-    now, before = mark(edges), None
-    while now != before and now[0]:
+    while unfinished(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        read = edges
-        edges = written(small, "small", True)
+        read, edges = edges, written(small, "small", True)
         discard(read)
-        before, now = now, mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 

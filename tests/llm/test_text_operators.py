@@ -1,6 +1,7 @@
 """Operators on single documents and on pairs, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -79,7 +80,7 @@ def test_every_byte_walks_the_transducer():
 
 
 def test_utf8_machine():
-    import random
+
 
     rng = random.Random(4)
     texts = ["aé€😀".encode()[i:j] for i in range(10) for j in range(11)] + [bytes(rng.choice([0x41, 0x80, 0xBF, 0xC1, 0xC3, 0xE0, 0xA0, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xF5, 0xFF]) for _ in range(rng.randrange(9))) for _ in range(4000)]
@@ -137,6 +138,29 @@ def shingles(text, k):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_components_against_union_find(spark, most):
+    """Random links, a path and a star, folded in one forest and in many small ones."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(80)] + [(7, 7)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    name = lambda i: i.to_bytes(4, "big")
+    links = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary").repartition(3)
+    got = {(int.from_bytes(r.node), int.from_bytes(r.root)) for r in near_dedup.components(links, most).collect()}
+    assert got == {(x, top(x)) for x in list(root)}
+    assert near_dedup.components(links.where("false"), most).count() == 0
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, docs, k, num):
     rows = [(i, shingles(t or "", k)) for i, t, *_ in fixtures.rows()]
@@ -267,7 +291,7 @@ def test_winnowing(spark, docs):
 def test_winnowing_chooses_minima_and_keeps_its_guarantee(spark):
     from pyspark.sql import functions as F
 
-    import random
+
 
     rng = random.Random(5)
     shared = [rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(10)]  # k + w - 1 words
