@@ -72,3 +72,27 @@ LANE_MINIMA_BY_INTENT = {
     "planning": {"episodic": 1},
 }
 CLUSTER_BONUS = 0.2
+#: The discovery plan's own lists: lanes of an intent, words of web-sensitive queries, words that are no topics, intents
+#: without discovery.
+PLAN_LANES = {
+    "exact_recall": ("episodic", "lexical", "semantic"),
+    "memory_summary": ("promoted", "episodic", "semantic"),
+    "architecture_explanation": ("promoted", "episodic"),
+    "corpus_overview": ("corpus", "large_file", "lexical"),
+    "planning": ("episodic", "lexical", "promoted", "semantic"),
+    "investigative": ("semantic", "lexical", "episodic", "promoted", "corpus", "large_file"),
+}
+PLAN_WEB_WORDS = ("latest", "current", "today", "yesterday", "recent", "news", "update", "2026", "verify", "fact-check", "confirm", "source", "citation")
+PLAN_STOPWORDS = ("what", "tell", "about", "does", "this", "that", "with", "from", "into", "your", "have", "been", "current", "latest", "today", "recent", "query", "where", "when", "should", "would")
+UNDISCOVERED = ("exact_recall", "architecture_explanation", "planning")
+#: Probes of a plan beside those of its roles: kind, role, priority, purpose, intents (none: all), only if web-sensitive.
+ROLE_PURPOSE = "Generate a bounded retrieval probe from this role perspective."
+PLAN_PROBES = (
+    ("contradiction", "skeptic", 1, "Find evidence that conflicts with the current strongest claim.", (), False),
+    ("contradiction", "security auditor", 2, "Check for policy/safety contradictions in architecture or process claims.", ("architecture_explanation", "planning"), False),
+    ("contradiction", "compliance reviewer", 3, "Cross-check freshness-sensitive claims against recent external evidence.", (), True),
+    ("novelty", "domain specialist", 1, "Find one high-value angle not already captured in obvious evidence.", ("exact_recall", "memory_summary", "corpus_overview", "planning", "investigative"), False),
+    ("novelty", "ops reviewer", 2, "Find practical edge-cases or operational implications missing from the baseline view.", ("corpus_overview", "investigative", "planning"), False),
+)
+PLAN_NOTES = ("m9-controller: structured planning only", "m10-discovery-loop not executed here")
+WEB_NOTE = "web-sensitivity detected from query terms"
