@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.operators import lanes, linear, nearest, packs, rank, vectors
+from lorewell.functions.dialect import Duck
+from lorewell.operators import bundle, lanes, linear, nearest, packs, rank, vectors
 from lorewell.sources.tables import read
 
-from . import context
+from . import context, memory, relational
 
 #: Messages that must be included, and all of a query's episodes: few, as the conversations here are short.
 TAIL, EPISODES = 3, 6
@@ -150,8 +151,27 @@ def u10_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.hybrid(lexical, found, 20)
 
 
+def u10_policy_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lanes as stores, each item under a plan and a policy by its number: its list, or one row without a chunk where
+    that is empty, and whether the web was used."""
+    message = F.concat_ws(":", F.lit("m"), F.col("session_id").cast("string"), F.col("message_id").cast("string"))
+    numbered = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    # A computed id: Spark zips the partitions of lists that are all partitioned by one, also where it coalesced them differently.
+    of = lambda rows, store, chunk, kind, score: rows.select((F.col("query_id") + F.lit(0)).alias("query_id"), F.lit(store).alias("store"), chunk.alias("chunk_id"), kind.alias("source_type"), F.round(F.col(score).cast("double"), 6).alias("score"))
+    hits = of(l05_corpus_lane(spark, sf_dir), "vector", numbered("d:", "doc_id"), F.when(F.col("doc_id") % 3 == 0, "episodic").otherwise("document"), "semantic_score")
+    hits = hits.unionByName(of(l11_lexical_store(spark, sf_dir), "lexical", message, F.lit("document"), "score"))
+    hits = hits.unionByName(of(l01_lexical_lane(spark, sf_dir), "episodic", message, F.lit("episodic"), "lexical_score"))
+    hits = hits.unionByName(of(l07_web_lane(spark, sf_dir), "web", numbered("w:", "page_id"), F.lit("web"), "score"))
+    hits = hits.unionByName(of(l04_promoted_lane(spark, sf_dir), "reasoning", numbered("r:", "fact_id"), F.lit("reasoning"), "lexical_score"))
+    i = F.col("item_id")
+    says = {"use_internal": i % 5 > 0, "use_graph": F.lit(False), "use_episodic": i % 2 == 0, "use_web": i % 3 > 0, "allow_episodic": F.when(i % 4 > 0, i % 8 > 1), "allow_web": F.when(i % 7 > 2, i % 7 > 3), "allow_task": F.lit(None).cast("boolean"), "allow_profile": F.lit(None).cast("boolean"), "allow_reasoning": i % 11 > 0, "mode": F.when(i % 2 == 1, bundle.TASK_MODE)}
+    plans = read(spark, sf_dir, "benchmark").select(i.alias("query_id"), *(v.alias(k) for k, v in says.items()))
+    chunks = bundle.bundled(bundle.admitted(hits, plans), 10)
+    return bundle.augmentation(chunks, plans).join(chunks.drop("ranking_reason").withColumn("rank", F.col("rank").cast("long")), "query_id", "left")
+
+
 #: The lanes that a plan of relational.py or memory.py checks, with the SQL of that plan, are here as searches.
-QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l10_vector_index, l02_vector_backend, l16_skill_ranking, c13_skill_packs, l18_similar_cases, u10_hybrid_retrieval)}
+QUERIES = {f.__name__: f for f in (l01_lexical_lane, l02_semantic_lane, l04_promoted_lane, l07_web_lane, l09_bm25, l11_lexical_store, j07_token_overlap_join, l03_episodic_lane, l05_corpus_lane, l06_large_file_lane, l10_vector_lane, l10_vector_index, l02_vector_backend, l16_skill_ranking, c13_skill_packs, l18_similar_cases, u10_hybrid_retrieval, u10_policy_bundles)}
 
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '[ \t\n\r\f\x0B]+'), lambda t: t <> ''))"
 _TOKENS = r"list_distinct(list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> ''))"
@@ -221,3 +241,22 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 n AS (SELECT *, sum(CAST(web AS BIGINT)) OVER (PARTITION BY query_id ORDER BY place) AS nth_web, max(score) OVER (PARTITION BY query_id) < 3 AS augment FROM o WHERE place <= 20)
 SELECT query_id, doc_id, score, place, augment FROM n WHERE NOT web OR nth_web <= 2""",
 }
+
+def _lane(name: str) -> str:
+    """A lane's checking SQL, wherever it is kept."""
+    return ORACLE_SQL[name] if name in ORACLE_SQL else (relational.PLANS | memory.PLANS)[name](Duck())
+
+
+ORACLE_SQL["u10_policy_bundles"] = f"""WITH h AS (SELECT query_id, 0 AS store, 'd:' || doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'episodic' ELSE 'document' END AS source_type, semantic_score AS s FROM ({_lane("l05_corpus_lane")}) a
+ UNION ALL SELECT query_id, 1, 'm:' || session_id || ':' || message_id, 'document', score FROM ({_lane("l11_lexical_store")}) b UNION ALL SELECT query_id, 3, 'm:' || session_id || ':' || message_id, 'episodic', lexical_score FROM ({_lane("l01_lexical_lane")}) c
+ UNION ALL SELECT query_id, 4, 'w:' || page_id, 'web', score FROM ({_lane("l07_web_lane")}) d UNION ALL SELECT query_id, 7, 'r:' || fact_id, 'reasoning', lexical_score FROM ({_lane("l04_promoted_lane")}) e),
+p AS (SELECT item_id AS query_id, item_id % 5 > 0 AS internal, item_id % 2 = 0 AS episodic, item_id % 3 > 0 AS web, item_id % 4 = 0 OR item_id % 8 > 1 AS may_recall, CASE WHEN item_id % 7 > 2 THEN item_id % 7 > 3 ELSE item_id % 3 > 0 END AS may_web, item_id % 2 = 1 AND item_id % 11 > 0 AS reasons FROM benchmark),
+g AS (SELECT h.query_id, store, chunk_id, source_type, round(CAST(s AS DOUBLE), 6) AS s FROM h JOIN p ON p.query_id = h.query_id WHERE CASE store WHEN 0 THEN internal AND (may_recall OR source_type = 'document') WHEN 1 THEN internal WHEN 3 THEN episodic AND may_recall WHEN 4 THEN web AND may_web ELSE reasons END),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY s DESC, store) AS best, row_number() OVER (PARTITION BY query_id ORDER BY store, s DESC, chunk_id) AS arrival FROM g),
+o AS (SELECT query_id, chunk_id, min(arrival) AS arrival, max(s) AS s, min(CASE WHEN best = 1 THEN source_type END) AS source_type FROM f GROUP BY query_id, chunk_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, arrival) AS n FROM o QUALIFY n <= 10),
+w AS (SELECT *, sum(CASE WHEN source_type = 'web' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY n) AS webs FROM n),
+k AS (SELECT query_id, chunk_id, source_type, s, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank FROM w WHERE source_type <> 'web' OR webs <= 2),
+u AS (SELECT query_id, bool_or(source_type = 'web') AS used FROM k GROUP BY query_id)
+SELECT p.query_id, web AS considered, may_web AS allowed, coalesce(used, false) AS used, CASE WHEN NOT web THEN 'web not requested by plan' WHEN NOT may_web THEN 'web requested by plan but blocked by policy' WHEN used THEN 'web used because plan requested it and policy allowed it' ELSE 'web allowed but search returned no usable results' END AS reason,
+ rank, chunk_id, source_type, s AS final_score FROM p LEFT JOIN u ON u.query_id = p.query_id LEFT JOIN k ON k.query_id = p.query_id"""
