@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.streaming.ingest import shared_path
+
 from .linear import linear_top_k
+from .rank import top_k
+from .skew import join_by_share
 from .vectors import nearest_vectors  # noqa: F401
 
 
@@ -55,21 +59,40 @@ def similar_cases(cases: DataFrame, requests: DataFrame, k: int, same: tuple[str
     def value(name: str) -> Column:
         return F.when(F.length(name) > 0, F.concat(F.lit(f"{name}="), F.col(name)))
 
-    tokens, own = F.transform(token_set(F.col("blob")), lambda t: F.concat(F.lit("word "), t)), F.transform(F.array_distinct("artifact_ids"), lambda a: F.concat(F.lit("artifact "), a))
-    rows = cases.select(F.col("case_id").alias("row_id"), F.col("case_id").alias("tie"), F.concat(tokens, own, F.array_compact(F.array(*map(value, CASE_MATCH)))).alias("features"), F.when(F.col("success"), CASE_SUCCESS).otherwise(0.0).alias("base"), F.col("case_id").alias("skip"))
-    words, wanted = token_set(F.col("query")), F.array_distinct("artifact_ids")
+    used = F.coalesce("artifact_ids", F.expr("cast(array() as array<string>)"))
+    tokens, own = F.transform(token_set(F.col("blob")), lambda t: F.concat(F.lit("word "), t)), F.transform(F.array_distinct(used), lambda a: F.concat(F.lit("artifact "), a))
+    rows = cases.select(F.col("case_id").alias("row_id"), F.concat(tokens, own, F.array_compact(F.array(*map(value, CASE_MATCH)))).alias("features"), F.when(F.col("success"), CASE_SUCCESS).otherwise(0.0).alias("base"))
+    words, wanted = token_set(F.col("query")), F.array_distinct(used)
 
     def each(names: Column, lead: str, weight: float) -> Column:
         return F.transform(names, lambda n: F.struct(F.concat(F.lit(lead), n).alias("feature"), (F.lit(weight) / F.size(names)).alias("weight")))
 
     says = [F.when(F.length(n) > 0, F.struct(value(n).alias("feature"), F.lit(w + (_HAS_TO if n in same else 0.0)).alias("weight"))) for n, w in CASE_MATCH.items()]
     asked = requests.select("request_id", F.concat(each(words, "word ", CASE_TEXT), each(wanted, "artifact ", CASE_ARTIFACTS), F.array_compact(F.array(*says))).alias("f"), F.size(F.array_compact(F.array(*(F.when(F.length(n) > 0, 1) for n in same)))).alias("n_same") if same else F.lit(0).alias("n_same"))
+    # Cases that say the same have one score: of each class the first ids decide, whichever request is asked.  A request's
+    # own case has `most` - k rows at most, so that `most` rows leave k others, and so many classes hold those.
+    most = k + (cases.join(requests.select(F.col("request_id").alias("case_id")), "case_id", "left_semi").groupBy("case_id").count().agg(F.max("count")).first()[0] or 0)
+    firsts = top_k(rows.select("row_id", F.array_sort("features").alias("features"), F.coalesce("base", F.lit(0.0)).alias("base")), ["features", "base"], [F.col("row_id")], most)
+    classes = _written(firsts.groupBy("features", "base").agg(F.array_sort(F.collect_list("row_id")).alias("ids")).withColumn("class_id", F.monotonically_increasing_id()), "case-classes")
+    asked = asked.withColumn("f", F.array_sort("f"))
+    kinds = _written(asked.groupBy("f", "n_same").agg(F.count("*").alias("n")).withColumn("kind_id", F.monotonically_increasing_id()), "request-classes")
+    rows = classes.select(F.col("class_id").alias("row_id"), F.element_at("ids", 1).alias("tie"), "features", "base")
     out = None
     for n in range(len(same) + 1):  # requests that state equally many conditions have one bound
-        some = asked.where(F.col("n_same") == n).select(F.col("request_id").alias("query_id"), F.col("f.feature").alias("features"), F.col("f.weight").alias("weights"))
-        found = linear_top_k(rows, some, k, above=n * _HAS_TO, digits=6).withColumn("score", F.round(F.col("score") - n * _HAS_TO, 6))
+        some = kinds.where(F.col("n_same") == n).select(F.col("kind_id").alias("query_id"), F.col("f.feature").alias("features"), F.col("f.weight").alias("weights"))
+        found = linear_top_k(rows, some, most, above=n * _HAS_TO, digits=6).withColumn("score", F.round(F.col("score") - n * _HAS_TO, 6))
         out = found if out is None else out.unionByName(found)
-    return out.select(F.col("query_id").alias("request_id"), F.col("row_id").alias("case_id"), "score")
+    hits = out.join(classes.select(F.col("class_id").alias("row_id"), F.explode("ids").alias("case_id")), "row_id").select(F.col("query_id").alias("kind_id"), "case_id", "score")
+    best = top_k(hits, ["kind_id"], [F.col("score").desc(), F.col("case_id")], most).groupBy("kind_id").agg(F.collect_list(F.struct("case_id", "score")).alias("best"))
+    told = _written(kinds.join(best, "kind_id").select("f", "n_same", "n", "best"), "request-answers")
+    answers = join_by_share(asked, told, ["f", "n_same"], "n").select("request_id", F.explode("best").alias("b")).select("request_id", "b.case_id", "b.score")
+    return top_k(answers.where("case_id is null or request_id is null or case_id <> request_id"), ["request_id"], [F.col("score").desc(), F.col("case_id")], k)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hybrid(lexical: DataFrame, vectors: DataFrame, k: int, most_web: int = 2, enough: float = 3.0) -> DataFrame:
