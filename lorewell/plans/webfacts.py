@@ -7,7 +7,7 @@ themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.operators import linear, rank, web, webfacts
@@ -70,14 +70,19 @@ def k17_promoted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webfacts.claim_classes(claims).select("claim_key", "claim_value", "n_facts", "first_fact", "since", "n_conflicting", F.col("conflict_from").cast("string").alias("conflict_from"))
 
 
+def seconds(ts: str) -> Column:
+    """A time as the nearest whole second since 1970, halves to the even one."""
+    return F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).cast("long")
+
+
 def web_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events as requests, pages as evidence that was fetched, one an hour from the first event on."""
     e = read(spark, sf_dir, "events")
-    start = e.agg(F.min(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()[0] or 0
+    start = e.agg(F.min(seconds("ts"))).first()[0] or 0
     query = F.concat(F.lit("q"), (F.col("user_id") % 50).cast("string"))
     sensitive = F.col("event_type") == "purchase"
     variants = F.when(sensitive, F.array(query, F.concat(query, F.lit(" latest")))).otherwise(F.array(query))
-    requests = e.select(F.col("event_id").alias("request_id"), query.alias("query"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), sensitive.alias("sensitive"), variants.alias("variants"), "user_id")
+    requests = e.select(F.col("event_id").alias("request_id"), query.alias("query"), seconds("ts").alias("at"), sensitive.alias("sensitive"), variants.alias("variants"), "user_id")
     return requests, read(spark, sf_dir, "pages").select(F.concat(F.lit("q"), (F.col("page_id") % 60).cast("string")).alias("query"), F.col("page_id").alias("evidence_id"), (F.lit(start) + F.col("page_id") * 3600).alias("fetched_at"))
 
 
