@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell.functions.dialect import Duck, Spark
 from lorewell.sources.tables import register
 
-from . import context, ingest, lessons, memory, recall, relational, retrieval, skills, webfacts
+from . import conflicts, context, ingest, lessons, memory, recall, relational, retrieval, skills, webfacts
 
 PLANS = relational.PLANS | memory.PLANS
 
@@ -21,7 +21,7 @@ def run_plan(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Plans in code, with SQL written by hand.
-MODULES = (context, ingest, lessons, recall, retrieval, skills, webfacts)
+MODULES = (conflicts, context, ingest, lessons, recall, retrieval, skills, webfacts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(run_plan, name) for name in PLANS}
 ORACLE_SQL: dict[str, str] = {name: make(Duck()) for name, make in PLANS.items()}
