@@ -25,8 +25,9 @@ def first_matching(cases: DataFrame, requests: DataFrame, keys: tuple[str, ...],
 
     Repeated requests count once, requests of one id that state different things are answered together.
 
-    Which keys requests state together are at most 2^keys patterns; each case is dealt to the patterns in use, and every
-    task cuts its groups to k before the shuffle, so that neither a frequent value nor a request for all is a hot group.
+    Which keys requests state together are at most 2^keys patterns.  Whatever a request states, only the first k cases of
+    equal values of all keys can be among its first k: those alone, cut within each task before the shuffle, are dealt to
+    the patterns in use, so that neither a frequent value nor a request for all is a hot group.
     """
     stated = [F.coalesce(F.length(c) > 0, F.lit(False)).alias(c) for c in keys]
     patterns = [tuple(r) for r in requests.select(*stated).distinct().collect()]
@@ -34,7 +35,9 @@ def first_matching(cases: DataFrame, requests: DataFrame, keys: tuple[str, ...],
         return requests.select("request_id", F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in cases.schema)).alias("case")).limit(0)
     values = lambda p: F.array(*(F.coalesce(F.col(c), F.lit("")) if on else F.lit("") for c, on in zip(keys, p)))
     dealt = F.array(*(F.struct(F.lit("".join("01"[on] for on in p)).alias("pattern"), values(p).alias("values")) for p in patterns))
-    rows = cases.withColumn("_dealt", F.explode(dealt)).select("*", "_dealt.*").drop("_dealt")
+    whole = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in keys]
+    few = rank.top_k(cases.select("*", *whole), [f"_{c}" for c in keys], order, k).drop(*(f"_{c}" for c in keys))
+    rows = few.withColumn("_dealt", F.explode(dealt)).select("*", "_dealt.*").drop("_dealt")
     cut = rank.top_k(rows, ["pattern", "values"], order, k).select("pattern", "values", F.struct(*cases.columns).alias("case"))
     own = F.concat(*(F.when(F.length(c) > 0, "1").otherwise("0") for c in keys))
     asked = requests.select("request_id", own.alias("pattern"), F.array(*(F.coalesce(F.col(c), F.lit("")) for c in keys)).alias("values")).distinct()
@@ -114,6 +117,7 @@ def evaluations_of_executions(evaluations: DataFrame, requests: DataFrame, k: in
     """The same for requests (request_id, execution_id, query): the evaluations of one execution, passed ones scored as
     good, failed ones as weak, and by the query's words that they say."""
     order = [F.col("overall").desc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("evaluation_id")]
-    cut = rank.top_k(evaluations.where("execution_id is not null"), ["execution_id"], order, max(3 * k, CASES))
+    wanted = evaluations.join(requests.select("execution_id"), "execution_id", "left_semi")
+    cut = rank.top_k(wanted, ["execution_id"], order, max(3 * k, CASES))
     found = requests.select("request_id", "execution_id", F.col("query").alias("_query")).distinct().join(cut, "execution_id")
     return _best(_scored(found, ~F.coalesce("passed", F.lit(False)), F.col("_query")), k)

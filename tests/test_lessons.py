@@ -5,7 +5,10 @@ import json
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lorewell.operators import controller, lessons, topics, tuning
+from lorewell.plans import queries
 
 ASKED = "query_id long, query string, hinted_intent string, local_evidence_count long, available_lanes array<string>"
 
@@ -136,3 +139,22 @@ def test_no_words_no_topics(spark):
         found = topics.fit_topics(d, 3)
         nodes, edges = topics.topic_graph(d, topics.place_documents(d, found), found)
         assert edges.count() == 0 and nodes.count() == d.count()
+
+
+def test_cases_are_cut_before_they_are_dealt_to_patterns(spark):
+    rows = [(i, f"a{i % 3}", None if i % 4 else "t", i) for i in range(60)]
+    cases = spark.createDataFrame(rows, "case_id long, agent_type string, task_type string, at long")
+    asked = spark.createDataFrame([(1, "a1", None), (2, None, "t"), (3, "", ""), (4, "a2", "t")], "request_id long, agent_type string, task_type string")
+    found = lessons.first_matching(cases, asked, ("agent_type", "task_type"), [F.col("at").desc(), F.col("case_id")], 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("WindowGroupLimit")
+    got = {}
+    for r in found.orderBy("request_id", F.col("case.at").desc()).select("request_id", "case.case_id").collect():
+        got.setdefault(r[0], []).append(r[1])
+    assert got == {1: [58, 55, 52, 49], 2: [56, 52, 48, 44], 3: [59, 58, 57, 56], 4: [56, 44, 32, 20]}
+
+
+def test_topic_graph_places_documents_once(spark):
+    found = queries.QUERIES["c16_topic_graph"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert found.where("label is null").count() == 0 and found.select("label").distinct().count() > 1
