@@ -20,6 +20,17 @@ _SYMBOL = re.compile(r"^(?:async\s+)?(?:def|class|func|function|fn|interface|str
 REACH = 240
 
 
+#: Texts whose chunks a worker holds at once.
+TEXTS_AT_ONCE = 100
+
+
+def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of at most TEXTS_AT_ONCE rows: the chunks of a batch are held together, and they are larger than its texts."""
+    for pdf in batches:
+        for at in range(0, len(pdf), TEXTS_AT_ONCE):
+            yield pdf.iloc[at : at + TEXTS_AT_ONCE]
+
+
 def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Windows of at most `size` characters, each ended at a paragraph, line or sentence end if one is near; the next
     starts size - overlap further on."""
@@ -54,7 +65,7 @@ def chunk(docs: DataFrame, size: int = 1024, overlap: int = 100) -> DataFrame:
     into windows too.  A null or empty text has no chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in few(batches):
             out = []
             for doc, kind, text in zip(pdf["document_id"], pdf["kind"], pdf["text"]):
                 pattern = _HEADING if kind == "md" else _SYMBOL if kind in ("py", "js", "go", "rs") else None
@@ -166,7 +177,7 @@ def corpus_chunks(docs: DataFrame, size: int = 1024, overlap: int = 100) -> Data
     names = [c.split()[0] for c in CORPUS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in few(batches):
             out = []
             for doc, path, text in zip(pdf["document_id"], pdf["source_path"], pdf["text"]):
                 kind = source_kind(path, text, size)

@@ -2,6 +2,7 @@
 
 import random
 
+from lorewell.operators import chunk
 from lorewell.operators.chunk import _pieces, aligned, corpus_chunks, source_kind, spans
 
 
@@ -50,3 +51,10 @@ def test_table(spark):
     assert {r.document_id for r in got} == {"m", "t"} and all(r.overlap_after >= 0 for r in got)
     own = sorted((r.chunk_index, r.overlap_before, r.overlap_after) for r in got if r.document_id == "t")
     assert all(a[2] == b[1] == 40 for a, b in zip(own, own[1:]))
+
+
+def test_chunks_of_a_few_texts_are_held_at_once():
+    import pandas as pd
+
+    parts = list(chunk.few(iter([pd.DataFrame({"a": range(250)}), pd.DataFrame({"a": []})])))
+    assert [len(p) for p in parts] == [100, 100, 50] and [x for p in parts for x in p["a"]] == list(range(250))
