@@ -4,10 +4,11 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import Row
 
 from lorewell.operators import webfacts
 from lorewell.operators.webfacts import Fact, claim_classes, latest, stepped, transitions, with_conflicts
-from lorewell.streaming.facts import transitions_of_files
+from lorewell.streaming.facts import FactProcessor, transitions_of_files
 
 H = 3600
 BLANK = {"seq": 0, "evidence": None, "confidence": None, "has_source": None, "approved": None, "ttl_hours": None, "state": None, "tier": None, "lifecycle": None, "reason": None, "conflict": False}
@@ -98,6 +99,49 @@ def test_stream_equals_batch(spark):
     assert want.where("op = 'expire'").count() > 5
 
 
+class Counted:
+    """A handle and its one state, which note what they are asked for; timers are not to be listed."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_the_stream_asks_its_state_seldom():
+    state, processor = Counted(), FactProcessor()
+    processor.init(state)
+
+    def given(*events):
+        state.calls = []
+        rows = [Row(**(BLANK | e)) for e in events]
+        return state.calls, list(processor.handleInputRows((7,), iter(rows), None))
+
+    calls, out = given({"op": "evaluate", "at": 9, "seq": 1}, trusted(ttl_hours=1.0))
+    assert calls == ["get", "update", "register"] and [r.op for r in out] == ["upsert", "evaluate"]
+    assert state.timers == {(H + 1) * 1000}
+    assert given({"op": "evaluate", "at": 20, "seq": 2})[0] == ["get"]  # still fresh: nothing is written
+    assert given({"op": "promote", "at": 30, "seq": 3})[0] == ["get", "update", "delete", "register"]
+    assert state.timers == {(30 + H + 1) * 1000}
+
+
 def test_batch_equals_a_plain_fold(spark):
     rows = log(2, 200)
     table = spark.createDataFrame([*rows, (None, 1, 1, "stage", *[None] * 10)], EVENTS).repartition(5)
