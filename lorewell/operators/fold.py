@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed limits: candidates tried for a pattern, ratio from which it is linked, words of the near fingerprint.
 CANDIDATES, RATIO, NEAR_WORDS = 4, 0.93, 24
+#: Patterns that become Python objects at once.
+AT_ONCE = 100
 
 
 def fingerprints(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -30,22 +32,36 @@ def alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= RATIO and m.quick_ratio() >= RATIO and m.ratio() >= RATIO
 
 
-def link_near(patterns: DataFrame) -> DataFrame:
-    """pattern_id, reuse_count, canonical_id: the most reused of the CANDIDATES best earlier patterns of its bucket that is
-    alike, else itself.
+def candidates(patterns: DataFrame) -> DataFrame:
+    """pattern_id, reuse_count, and norm and tried, what is to be compared: the text, and of the CANDIDATES best earlier
+    patterns of its bucket those that can be alike, in their order; both null where there are none.
 
-    Only the best few patterns of a bucket can be candidates, so each row is compared with a bounded list that a window
-    gathers, and a bucket of any size is compared in a row each.
+    Only the best few patterns of a bucket can be candidates, so each row has a bounded list that a window gathers, and a
+    bucket of any size is compared in a row each.  The ratio is at most twice the shorter text's share of both, so texts of
+    unlike lengths needn't be compared.
     """
     order = Window.partitionBy("near_fp").orderBy(F.desc("reuse_count"), "pattern_id")
     ranked = patterns.withColumn("place", F.row_number().over(order))
     heads = ranked.where(F.col("place") <= CANDIDATES).groupBy("near_fp").agg(F.array_sort(F.collect_list(F.struct("place", "pattern_id", "norm"))).alias("heads"))
 
-    @F.pandas_udf("long")
-    def canonical(ids: pd.Series, norms: pd.Series, places: pd.Series, heads: pd.Series) -> pd.Series:
+    def near(h: Column) -> Column:
+        a, b = F.length("norm"), F.length(h["norm"])
+        return F.lit(2.0) * F.least(a, b) >= F.lit(RATIO - 1e-9) * (a + b)  # a little less: alike decides at the bound
+
+    tried = F.filter("heads", lambda h: (h["place"] < F.col("place")) & near(h))
+    found = ranked.join(heads, "near_fp").withColumn("tried", F.when(F.size(tried) > 0, tried))
+    return found.select("pattern_id", "reuse_count", F.when(F.col("tried").isNotNull(), F.col("norm")).alias("norm"), "tried")
+
+
+def link_near(patterns: DataFrame) -> DataFrame:
+    """pattern_id, reuse_count, canonical_id: the most reused of the pattern's candidates that is alike, else itself."""
+
+    @F.arrow_udf("long")
+    def canonical(ids: pa.Array, norms: pa.Array, tried: pa.Array) -> pa.Array:
         out = []
-        for own, norm, place, some in zip(ids, norms, places, heads):
-            out.append(next((h["pattern_id"] for h in some if h["place"] < place and alike(norm, h["norm"])), own))
-        return pd.Series(out)
+        for low in range(0, len(ids), AT_ONCE):
+            for own, norm, some in zip(*(c.slice(low, AT_ONCE).to_pylist() for c in (ids, norms, tried))):
+                out.append(next((h["pattern_id"] for h in some or () if alike(norm, h["norm"])), own))
+        return pa.array(out, pa.int64())
 
-    return ranked.join(heads, "near_fp").select("pattern_id", "reuse_count", canonical("pattern_id", "norm", "place", "heads").alias("canonical_id"))
+    return candidates(patterns).select("pattern_id", "reuse_count", canonical("pattern_id", "norm", "tried").alias("canonical_id"))
