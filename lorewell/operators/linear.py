@@ -23,7 +23,9 @@ from .rank import top_k
 #: Features of a block's queries, counted once for each query: what is broadcast at once, some 40 MB at most.
 BLOCK_FEATURES = 500_000
 #: Distinct features and queries of one matrix, and values of a matrix of rows.
-MATRIX_FEATURES, MATRIX_QUERIES, MATRIX_VALUES = 16_000, 2_000, 4_000_000
+MATRIX_FEATURES, MATRIX_QUERIES, MATRIX_VALUES = 16_000, 2_000, 1_000_000
+#: Hits that are gathered before all but the best are dropped.
+MOST_HITS = 50_000
 
 
 @dataclass
@@ -80,11 +82,17 @@ class Best:
     def add(self, scores: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> None:
         """scores: (rows, queries).  A score at the bound counts only once k are held, where a tie may still win."""
         good = (scores > self.least) | (self.full & (scores == self.least))
+        if len(scores) > 1 and np.count_nonzero(good) > MOST_HITS:  # the best of the one half bound the other
+            half = len(scores) // 2
+            self.add(scores[:half], ids[:half], ties[:half])
+            self.compact()
+            self.add(scores[half:], ids[half:], ties[half:])
+            return
         row, query = np.nonzero(good)
         if len(row):
             self.held.append((query, scores[row, query], ties[row], ids[row]))
             self.pending += len(row)
-            if self.pending > 200_000 + 2 * self.k * len(self.least):
+            if self.pending > MOST_HITS + 2 * self.k * len(self.least):
                 self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:

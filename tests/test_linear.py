@@ -1,7 +1,9 @@
 """Linear searches against brute force, in one block and in many."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from lorewell.operators import linear
@@ -36,3 +38,21 @@ def test_shape_finish_and_empty(spark):
     assert [(r.row_id, r.score) for r in sorted(got)] == [(1, round(1 / 3, 9)), (2, round(2 / 3, 9))]
     assert linear_top_k(rows, asks, 5, shape=lambda c, n: c / n).count() == 2
     assert linear_top_k(rows.limit(0), asks, 5).count() == 0 and linear_top_k(rows, asks.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_many_equal_hits_take_little_memory(kind):
+    rng = np.random.default_rng(5)
+    scores = rng.integers(0, 3, (2_000, 200)).astype(np.float64)  # two thirds of all pairs are hits, most of them equal
+    ids = rng.permutation(2_000)
+    ties = ids if kind is int else np.array([f"{i:038}" for i in ids])
+    best = linear.Best(200, 5, 0.0)
+    tracemalloc.start()
+    best.add(scores, ids, ties)
+    query, score, tie, found = best.compact()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < (12 << 20 if kind is int else 40 << 20)
+    for q in range(200):
+        want = sorted(((-scores[i, q], ids[i]) for i in range(2_000) if scores[i, q] > 0))[:5]
+        assert [(-s, i) for s, i in zip(score[query == q], found[query == q])] == want
