@@ -22,6 +22,8 @@ TIERS = ("local", "workspace", "global")
 FRESH, STALE, PENDING = "fresh", "stale", "revalidation_pending"
 DEFAULT_TTL_HOURS = 72.0
 KEPT_MOVES = 20
+#: Events that become Python objects at once.
+AT_ONCE = 1000
 PROMOTED = {"explicit": "explicit_backend_approval", "evidence": "evidence_count_confidence_source_threshold", "neither": "insufficient_evidence_or_confidence"}
 MOVED = {"workspace": "local_to_workspace_threshold", "global": "workspace_to_global_strict_threshold"}
 STAGED_REASON, STAGED_AGE, VALIDATED, WITHIN, EXPIRED, NO_BASIS, ASKED = "staged_pending_approval", "staged_not_yet_validated", "approved_and_validated", "within_ttl_window", "ttl_expired", "missing_validation_basis", "stale_requires_revalidation"
@@ -207,9 +209,9 @@ def transitions(events: DataFrame, expire_until: int | None = None) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
 
         own, fact = None, None
-        for batch in batches:
+        for some in (b.slice(low, AT_ONCE) for b in batches for low in range(0, b.num_rows, AT_ONCE)):
             out: list[tuple] = []
-            for e in batch.to_pylist():
+            for e in some.to_pylist():
                 if e["fact_id"] != own:
                     out += expired(own, fact, expire_until) if expire_until is not None else []
                     own, fact = e["fact_id"], None

@@ -156,6 +156,13 @@ def test_batch_equals_a_plain_fold(spark):
     assert transitions(table.limit(0)).count() == 0
 
 
+def test_facts_go_on_over_slices(spark, monkeypatch):
+    table = spark.createDataFrame(log(3, 100), EVENTS).repartition(3)
+    want = sorted(map(tuple, transitions(table, expire_until=1000 * H).collect()), key=str)
+    monkeypatch.setattr(webfacts, "AT_ONCE", 3)
+    assert sorted(map(tuple, transitions(table, expire_until=1000 * H).collect()), key=str) == want and want
+
+
 @pytest.mark.parametrize("least", [1, 1000])
 def test_conflicts_equal_all_pairs(spark, monkeypatch, least):
     monkeypatch.setattr(webfacts, "join_by_share", lambda *a, **k: __import__("lorewell.operators.skew", fromlist=["x"]).join_by_share(*a, **k, least=least))
