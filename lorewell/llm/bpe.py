@@ -34,6 +34,9 @@ from .units import SPACE_PATTERN, Memo, UnitTable, portions
 #: Bounds of what a worker keeps; reaching one empties that table and changes no result.
 MAX_STATES = 250_000
 MAX_PIECES = 150_000
+MAX_PAIRS = 100_000
+#: Bytes of text that are cut into units at once.
+PORTION = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +59,8 @@ def merge_encode(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) ->
 class BpeTransducer:
     """Pieces in, token ids out; see the module's docstring.
 
-    States are numbers, and an arc is one too: arcs[state << 8 | byte] = next state << 8 | length of the last token.
+    States are numbers, and an arc is one too: arcs[state << 8 | byte] = next state << 8 | length of the last token, which
+    is the next state's own, so that all arcs to a state are one object.
     info[state] is (suffix, ranks of the tokens before its starts, -1 for none); equal states are one.  The starts are a
     suffix's own: where it, or a shorter one of its suffixes, begins a token.
     """
@@ -82,17 +86,19 @@ class BpeTransducer:
         self._reset()
 
     def _reset(self) -> None:
+        #: (suffix, ranks): the arc to the state
         self.states: dict[tuple, int] = {}
         self.info: list[tuple] = []
         self.arcs: dict[int, int] = {}
         #: suffix: (itself, its starts)
         self.starts: dict[bytes, tuple[bytes, tuple[int, ...]]] = {b"": (b"", (0,))}
-        self._state((b"", (-1,)))
+        self._to((b"", (-1,)), 0)
 
-    def _state(self, key: tuple[bytes, tuple[int, ...]]) -> int:
+    def _to(self, key: tuple[bytes, tuple[int, ...]], size: int) -> int:
+        """The arc to a state, with the length of the token that it ends with."""
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = len(self.info)
+            found = self.states[key] = len(self.info) << 8 | size
             self.info.append(key)
         return found
 
@@ -142,7 +148,7 @@ class BpeTransducer:
                 rank = self.ranks[token]
                 free = left < 0 or follows.get(left << 32 | rank)
                 if free is None:
-                    if len(follows) >= self.max_states:
+                    if len(follows) >= MAX_PAIRS:
                         follows.clear()
                     free = follows[left << 32 | rank] = self._may_follow(self.token_of[left], token)
                 if free:
@@ -162,7 +168,7 @@ class BpeTransducer:
         if full:
             self._reset()
             self.starts[new] = (new, tuple([x - cut for x in kept]))
-        arc = self._state(key) << 8 | size
+        arc = self._to(key, size)
         if not full:
             self.arcs[state << 8 | byte] = arc
         return arc
@@ -350,7 +356,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 4 * stream_ids
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, most_bytes=PORTION):
                 c = codec(ranks_path, pattern)
                 ids_of = c.encode(part.column(1))
                 n = [len(ids) // 4 for ids in ids_of]
@@ -372,6 +378,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, output: str = "te
                     ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids_of), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), made, pa.array(second, pa.bool_() if output == "ids" else pa.string())], ["doc_id", "n_tokens", a, b])
+                del part, ids_of, first, second, made
+            del batch  # else it stands beside the next one
 
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, ", ".join(("doc_id long", "n_tokens long", *kinds)))

@@ -9,7 +9,7 @@ from collections import defaultdict
 import public_tokenizers as tok
 import pytest
 
-from lorewell.llm import near_dedup, pii, secrets, winnow
+from lorewell.llm import bpe, near_dedup, pii, secrets, winnow
 from lorewell.llm.bpe import BpeTransducer, Utf8Machine, bpe_encode, codec, load_ranks, merge_encode
 from lorewell.llm.dac import DacFile, pack, token_ids
 from lorewell.llm.textvec import shingle_sets
@@ -54,6 +54,19 @@ def test_bpe_equals_tiktoken(spark, docs):
     assert bpe_encode(empty(spark), path, tok.PATTERN).count() == 0
 
 
+def test_arcs_to_a_state_are_one_object(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 20)
+    ranks = load_ranks(tok.path("byte_bpe_multi_50k.tiktoken"))
+    fst, codes = BpeTransducer(ranks), {r.to_bytes(4, "little"): t for t, r in ranks.items()}
+    rng = random.Random(4)
+    for _ in range(400):
+        piece = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 12))).encode()
+        ids = fst.encode_piece(piece)
+        assert [codes[ids[i : i + 4]] for i in range(0, len(ids), 4)] == ([piece] if piece in ranks else merge_encode(piece, ranks))
+        assert len(fst.follows) <= 20
+    assert len({id(arc) for arc in fst.arcs.values()}) < len(fst.info) < len(fst.arcs)
+
+
 def test_every_byte_walks_the_transducer():
     ranks = load_ranks(tok.path("byte_bpe_multi_50k.tiktoken"))
     codes = {r.to_bytes(4, "little"): t for t, r in ranks.items()}
