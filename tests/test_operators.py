@@ -234,3 +234,19 @@ def test_promoted_summaries(spark):
         (1, "run the tests then ship"): ("prescription", "workflow_pattern", 0.85, 1, [0]),
         (2, "plain fact"): ("proposition", "stable_fact", 0.7, 1, [0]),
     }
+
+
+def test_near_patterns_are_compared_with_the_whole_bucket(spark):
+    """Against a loop over all earlier patterns of a bucket: the only alike one may have any place, in any cell."""
+    random.seed(5)
+    lead = " ".join(f"a{n:02}" for n in range(24))  # one bucket
+    kinds = [" ".join("".join(random.sample("stuvwxyz", 5)) for _ in range(25)) for _ in range(9)]
+    texts = [f"{lead} {random.choice(kinds)} {'z' * random.randrange(1, 9)}{n}" for n in range(60)] + [lead + " z" * n for n in range(30)] + ["", "other"]
+    rows = [*enumerate(texts), (200, texts[50]), (201, texts[50]), (202, texts[7]), (300, None)]
+    patterns = fold.fold_exact(fold.fingerprints(spark.createDataFrame(rows, "id long, text string"))).cache()
+    held = sorted(patterns.collect(), key=lambda r: (-r.reuse_count, r.pattern_id))
+    want = {r.pattern_id: next((h.pattern_id for h in held[:n] if h.near_fp == r.near_fp and fold.alike(r.norm, h.norm)), r.pattern_id) for n, r in enumerate(held)}
+    places = {r.pattern_id: n for n, r in enumerate(held)}
+    assert sum(places[want[i]] >= 4 and want[i] != i for i in want) > 10  # links beyond the best four
+    for block in (7, 250):
+        assert {r.pattern_id: r.canonical_id for r in fold.link_near(patterns, block).collect()} == want
