@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 DOCUMENT = "document_id string, source_path string, suffix string, content string, content_hash string, error string"
 PLAIN, STRUCTURED = (".txt", ".md"), ".json"
+#: The folder below a path that holds its packs, each a Parquet table of many files (path, content); hidden from other readers.
+PACKS = "_packs"
 
 
 def _content(suffix: str, data: bytes, indent: bool) -> str:
@@ -24,11 +26,25 @@ def _content(suffix: str, data: bytes, indent: bool) -> str:
     raise ValueError(f"Unsupported file type: {suffix}")
 
 
+def write_pack(rows: DataFrame, path: str, name: str) -> None:
+    """Files (path, content binary) as a pack in a folder: few large files in the store instead of one for each."""
+    rows.select("path", "content").write.parquet(f"{path}/{PACKS}/{name}")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every file below a path, and of those in its packs, whose paths are as they were given."""
+    loose = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    packs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, PACKS)
+    if not packs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(packs):
+        return loose
+    return loose.unionByName(spark.read.schema("path string, content binary").parquet(f"{path}/{PACKS}/*"))
+
+
 def load_documents(spark: SparkSession, path: str, indent: bool = True) -> DataFrame:
     """DOCUMENT for every file below a path: a file that can't be read as its kind has an error and no content.
 
     A document's id comes from its content, so equal files have one id.  `indent` writes JSON over lines, else as Python
-    shows it.  Hidden files aren't read; a file is one row, so it must fit a worker."""
+    shows it.  Hidden files aren't read, but those in packs are; a file is one row, so it must fit a worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -44,8 +60,7 @@ def load_documents(spark: SparkSession, path: str, indent: bool = True) -> DataF
                     out.append((None, source, suffix, None, None, str(e).split("\n")[0]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DOCUMENT.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, DOCUMENT)
+    return _files(spark, path).mapInPandas(run, DOCUMENT)
 
 
 def folder_texts(spark: SparkSession, path: str) -> DataFrame:

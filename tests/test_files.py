@@ -36,3 +36,24 @@ def test_each_message_is_written_by_one_of_many_tasks(spark):
     names = spark.read.format("binaryFile").load(f"{path}/plain").select("path").collect()
     tasks = {r["path"].rsplit("/", 1)[-1].split("-")[1] for r in names}
     assert len(names) > 100 and len(tasks) == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_packed_messages_are_the_same_documents_in_few_files(spark):
+    from lorewell.plans import ingest
+
+    sf = "/root/testdata/sf0.001"
+    told = lambda path: sorted(tuple(r) for r in files.load_documents(spark, path).select("suffix", "content", "content_hash", "error").collect())
+    packed = ingest.message_packs(spark, sf)
+    assert told(packed) == told(ingest.message_files(spark, sf))
+    stored = spark.read.format("binaryFile").load(f"{packed}/_packs/messages").count() + spark.read.format("binaryFile").option("recursiveFileLookup", True).load(packed).count()
+    assert stored < 20 < len(told(packed))
+
+
+def test_files_in_packs_are_read_beside_loose_ones(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("loose")
+    rows = spark.createDataFrame([("b.txt", b"packed"), ("c.json", b'{"k": 1}'), ("d.json", b"{nope"), ("e.pdf", b"x")], "path string, content binary")
+    files.write_pack(rows, str(tmp_path), "one")
+    got = {r.source_path.rsplit("/", 1)[-1]: r for r in files.load_documents(spark, str(tmp_path)).collect()}
+    assert sorted(got) == ["a.txt", "b.txt", "c.json", "d.json", "e.pdf"] and got["b.txt"].content == "packed"
+    assert got["d.json"].error and got["e.pdf"].error == "Unsupported file type: .pdf"
+    assert sorted(r.text for r in files.folder_texts(spark, str(tmp_path)).collect()) == ["loose", "packed", "{'k': 1}"]
