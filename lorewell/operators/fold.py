@@ -21,7 +21,7 @@ CANDIDATES = 4
 #: Patterns that become Python objects at once.
 AT_ONCE = 100
 #: Patterns of either side that meet in one cell, about.
-BLOCK = 250
+BLOCK = 100
 #: Texts that can be alike are in one band of lengths or in neighbouring ones; a little wide, as it is a rounded logarithm.
 BAND = math.log((2 - RATIO) / RATIO) * 1.001
 
@@ -41,7 +41,22 @@ def fold_exact(rows: DataFrame) -> DataFrame:
 def alike(a: str, b: str) -> bool:
     """Whether the matching ratio reaches RATIO; its cheap upper bounds decide most pairs."""
     m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= RATIO and m.quick_ratio() >= RATIO and m.ratio() >= RATIO
+    return m.real_quick_ratio() >= RATIO and m.quick_ratio() >= RATIO and reaches(m)
+
+
+def reaches(m: SequenceMatcher) -> bool:
+    """Whether m.ratio() reaches RATIO: the same blocks are matched, but no more once the parts left over are too small."""
+    total = len(m.a) + len(m.b)
+    matched, possible, parts = 0, min(len(m.a), len(m.b)), [(0, len(m.a), 0, len(m.b))]
+    while parts and 2.0 * possible >= RATIO * total - 1e-6:
+        a, a_end, b, b_end = parts.pop()
+        i, j, n = m.find_longest_match(a, a_end, b, b_end)
+        possible -= min(a_end - a, b_end - b)
+        if n:
+            matched += n
+            possible += n + min(i - a, j - b) + min(a_end - i - n, b_end - j - n)
+            parts += [p for p in ((a, i, b, j), (i + n, a_end, j + n, b_end)) if p[0] < p[1] and p[2] < p[3]]
+    return not parts and (not total or 2.0 * matched / total >= RATIO)
 
 
 def candidates(patterns: DataFrame) -> DataFrame:
@@ -95,7 +110,7 @@ def first_alike(askers: list[tuple[int, str]], heads: list[tuple[int, str]]) ->
         found = []
         for n in able.tolist():
             m.set_seq1(askers[n][1])
-            if m.ratio() >= RATIO:
+            if reaches(m):
                 found.append(n)
                 out.append((askers[n][0], place))
         if found:

@@ -250,3 +250,17 @@ def test_near_patterns_are_compared_with_the_whole_bucket(spark):
     assert sum(places[want[i]] >= 4 and want[i] != i for i in want) > 10  # links beyond the best four
     for block in (7, 250):
         assert {r.pattern_id: r.canonical_id for r in fold.link_near(patterns, block).collect()} == want
+
+
+def test_a_ratio_that_is_cut_short_is_decided_as_the_whole_one():
+    from difflib import SequenceMatcher
+
+    random.seed(7)
+    seen = set()
+    for n in range(400):
+        a = "".join(random.choice("abc de") for _ in range(random.randrange(0, 400)))
+        b = "".join(c for c in a if random.random() > random.choice((0.02, 0.07, 0.2))) + "x" * (n % 9)
+        m = SequenceMatcher(None, a, b)
+        assert fold.reaches(m) == (m.ratio() >= fold.RATIO)
+        seen.add(fold.reaches(m))
+    assert seen == {True, False}
